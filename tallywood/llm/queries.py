@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, line_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +43,58 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text less the runs of lines of 50 words or more that stand at an earlier place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs, min_words=50)
+
+
+ORACLE_SQL["op2_line_dedup"] = r"""
+WITH parts AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS i
+  FROM documents
+), worded AS (
+  SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+  FROM parts WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), seq AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s,
+         sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto
+  FROM worded
+), forward AS (
+  SELECT a.doc_id, a.s, min(b.s) AS e FROM seq a JOIN seq b
+    ON a.doc_id = b.doc_id AND b.s BETWEEN a.s AND a.s + 49 AND b.upto - a.upto + a.w >= 50
+  GROUP BY a.doc_id, a.s
+), backward AS (
+  SELECT b.doc_id, max(a.s) AS s, b.s AS e FROM seq a JOIN seq b
+    ON a.doc_id = b.doc_id AND a.s BETWEEN b.s - 49 AND b.s AND b.upto - a.upto + a.w >= 50
+  GROUP BY b.doc_id, b.s
+), windows AS (
+  SELECT * FROM forward UNION SELECT * FROM backward
+), filled AS (
+  SELECT v.doc_id, v.s, v.e, string_agg(q.line, chr(10) ORDER BY q.s) AS content
+  FROM windows v JOIN seq q ON v.doc_id = q.doc_id AND q.s BETWEEN v.s AND v.e
+  GROUP BY v.doc_id, v.s, v.e
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS nth FROM filled
+), gone AS (
+  SELECT DISTINCT q.doc_id, q.i FROM placed p JOIN seq q ON p.doc_id = q.doc_id AND q.s BETWEEN p.s AND p.e
+  WHERE p.nth > 1
+)
+SELECT p.doc_id,
+       coalesce(string_agg(p.line, chr(10) ORDER BY p.i) FILTER (WHERE g.i IS NULL), '') AS text,
+       count(*) AS n_lines, count(g.i) AS n_deleted
+FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i
+GROUP BY p.doc_id
+"""
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text: links at four or fewer differing bits."""
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"), max_distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
