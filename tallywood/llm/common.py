@@ -53,6 +53,18 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def sliced(batch: pa.RecordBatch, where: Sequence[int], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in parts of rows whose columns where hold about most bytes together, or one row."""
+    rows, at = max(1, batch.num_rows), 0
+    step = max(1, int(rows * most / max(1, sum(batch.column(i).nbytes for i in where))))
+    while at < batch.num_rows:
+        part = batch.slice(at, step)
+        while part.num_rows > 1 and sum(part.column(i).nbytes for i in where) > 2 * most:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
 def appended(df: DataFrame, make: Callable[[], Callable[..., list[pa.Array]]], needs: Sequence[str], adds: Sequence[tuple[str, T.DataType]]) -> DataFrame:
     """df with the columns adds, computed batch by batch from the columns needs.
 
@@ -68,7 +80,7 @@ def appended(df: DataFrame, make: Callable[[], Callable[..., list[pa.Array]]], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch, where)):
             more = [x.cast(k) if x.type != k else x for x, k in zip(f(*[b.column(i) for i in where]), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=arrow.names)
 

@@ -25,18 +25,42 @@ def odd_texts():
 
 def test_ids_equal_those_of_the_reference_library(reference):
     c = bpe.codec(PATH, P.PATTERN)
-    for t in odd_texts():
-        ids = bpe.np.frombuffer(c.encode(t), bpe.np.int32)
+    texts = odd_texts()
+    for t, packed in zip(texts, c.encode_all(texts), strict=True):
+        ids = bpe.np.frombuffer(packed, bpe.np.int32)
+        assert c.encode(t) == packed
         assert ids.tolist() == reference.encode_ordinary(t), repr(t[:80])
         assert c.decode(ids) == t.encode()
         assert not c.queue.top
 
 
-def test_queue_gives_lowest_rank_and_leftmost_first():
+def test_queue_gives_the_lowest_rank_first():
     q = bpe.RankQueue(300_000)
     for rank, at in ((70_000, 4), (5, 9), (5, 2), (299_999, 1), (64, 3)):
         q.push(rank, at)
-    assert [q.pop() for _ in range(6)] == [(5, 2), (5, 9), (64, 3), (70_000, 4), (299_999, 1), (-1, -1)]
+    got = []
+    while (r := q.first()) >= 0:
+        got.append((r, q.take(r)))
+    assert got == [(5, [9, 2]), (64, [3]), (70_000, [4]), (299_999, [1])]
+
+
+def test_ranks_in_any_order(tmp_path):
+    """Ranks that no training gives, where merges make pairs of lower rank."""
+    import itertools
+
+    r = random.Random(11)
+    for seed in range(12):
+        longer = [bytes(x) for n in (2, 3, 4) for x in itertools.product(b"ab", repeat=n)]
+        r.shuffle(longer)
+        tokens = [bytes([i]) for i in range(256)] + longer[: r.randint(4, 20)]
+        path = tmp_path / f"{seed}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+        c = bpe.Codec(str(path), P.PATTERN)
+        ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        words = ["".join(r.choice("aabb") for _ in range(r.randint(1, 30))) for _ in range(60)]
+        for w, got in zip(words, c.merge_all([w.encode() for w in words]), strict=True):
+            want = ref.encode_ordinary(w)
+            assert c.merge(w.encode()) == want and (w.encode() in c.ranks or bpe.np.frombuffer(got, bpe.np.int32).tolist() == want)
 
 
 def test_frames_with_nulls_clashing_names_and_no_rows(spark, reference):
