@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, simhash, token_store
+from . import bpe, line_dedup, quality, simhash, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,3 +105,59 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids, written in rANS blocks and read back."""
     read = token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's counts and verdict by the table of thresholds."""
+    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+ORACLE_SQL["op3_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT doc_id, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines
+  FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+), grams AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
+), counted AS (
+  SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '!')) AS bangs,
+         len(list_filter(w, lambda x: list_contains(string_split('STOPS', ' '), lower(rtrim(x, '.,;:!?'))))) AS stops,
+         l.n_lines, l.n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d JOIN lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND word_chars / n_words::DOUBLE BETWEEN 2 AND 12 AND n_symbols / n_words::DOUBLE <= 0.1
+         AND bangs / n_words::DOUBLE <= 0.2 AND stops / n_words::DOUBLE >= 0.05
+         AND n_dup_lines / n_lines::DOUBLE <= 0.4 AS kept
+FROM counted
+""".replace("STOPS", " ".join(quality.STOP_WORDS))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written in seekable bundles and read back."""
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target")
+
+
+ORACLE_SQL["op7_warc"] = """
+WITH p AS (
+  SELECT page_id, url AS target, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), first AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS head FROM p
+)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to, target
+FROM first
+"""
