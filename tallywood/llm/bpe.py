@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import appended
 
 #: Entries a worker keeps of pieces and pre-tokens seen before; beyond them the cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Longer pieces aren't kept.
 CACHE_CHARS = 64
 #: All that any of the libraries takes for white space, and some more: a blank beside these is no plain word break.
@@ -99,12 +99,9 @@ class Codec:
         self.split = regex.compile(pattern).findall
         n = max(ranks.values(), default=0) + 1
         self.queue = RankQueue(n)
-        self.bytes_of: list[bytes] = [b""] * n
-        for b, r in ranks.items():
-            self.bytes_of[r] = b
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        halves = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        a, b, r = np.array(halves, np.int64).reshape(-1, 3).T
+        halves = (x for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], r))
+        a, b, r = np.fromiter(halves, np.int64).reshape(-1, 3).T
         order = np.argsort(a << 32 | b)
         self.pair_key, self.pair_rank = (a << 32 | b)[order], r[order]
         self.pre: dict[str, bytes] = {}
@@ -286,15 +283,26 @@ class Codec:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for b, r in ranks.items():
+        out[r] = b
+    return out
+
+
+def decoded(ids: np.ndarray, of: list[bytes]) -> bytes:
+    return b"".join(map(of.__getitem__, ids.tolist()))
+
+
 def as_lists(parts: list[bytes]) -> pa.Array:
     """A list array from the packed 32-bit integers of each row."""
     ends = np.zeros(len(parts) + 1, np.int64)
@@ -315,17 +323,17 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     return appended(df, make, [text], [(out, T.ArrayType(T.IntegerType()))])
 
 
-def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def bpe_decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df with the binary column out: the bytes of the ids. A null array gives no bytes."""
 
     def make():
-        c = codec(ranks_path, pattern)
+        of = vocabulary(ranks_path)
 
         def f(lists: pa.Array) -> list[pa.Array]:
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            return [pa.array([c.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
+            return [pa.array([decoded(flat[a:b], of) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
 
         return f
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality, simhash, token_store, warc
+from . import bpe, html_text, line_dedup, quality, simhash, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,7 +36,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.bpe_encode(docs, path, pattern).drop("text")
-    back = bpe.bpe_decode(ids, path, pattern)
+    back = bpe.bpe_decode(ids, path)
     return back.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
@@ -161,3 +161,10 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
        CASE WHEN page_id <> head THEN head END AS refers_to, target
 FROM first
 """
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
