@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, line_dedup, quality, simhash, token_store, warc
+from . import bpe, decontaminate, html_text, lang_id, line_dedup, quality, simhash, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -168,3 +168,19 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language by a network learned from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs)
+    found = lang_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and test item that match: score, verified shares and place."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"), "first_word")
