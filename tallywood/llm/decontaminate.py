@@ -6,7 +6,7 @@ An item's weights are divided by what its own text scores, so an item scores 1 a
 holds all its terms, and one threshold serves all. Documents are read in strides as long as the longest
 item; a passage is two strides, so every run of that length lies inside a passage whole.
 
-For a passage and a block the sum over the passage's words of their largest weights in the block bounds
+For a passage and a block the sum over its different words of their largest weights in the block bounds
 the score of every item in it. These bounds are computed for all passages and blocks by array
 operations; only where one reaches the threshold do the posting lists' cursors move: the pivot is the
 first item at which the lists' largest weights add up to the threshold, blocks whose own bounds don't
@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -138,23 +139,25 @@ class Index:
 
     def candidates(self, w: list[str], threshold: float) -> Iterator[tuple[int, int]]:
         """(first word, end) of each passage for which some block's bound reaches threshold."""
-        known = self.terms.get
-        got = [(k, i) for i, x in enumerate(w) if (k := known(x)) is not None]
-        if not got:
+        at, ids = self._known(w)
+        if not len(ids):
             return
-        ids, at = np.array(got).T
-        stride_of = at // self.stride
-        n = (len(w) - 1) // self.stride + 1
-        # a term counts once a stride
-        key = np.unique(stride_of * len(self.terms) + ids)
-        stride_of, ids = key // len(self.terms), key % len(self.terms)
-        begin = np.flatnonzero(np.concatenate([[True], stride_of[1:] != stride_of[:-1]]))
-        sums = np.zeros((n + 1, self.bounds.shape[1]), np.float32)
-        sums[stride_of[begin]] = np.add.reduceat(self.bounds[ids], begin, axis=0)
-        reach = (sums[:-1] + sums[1:]).max(axis=1) >= threshold - 1e-4
-        for k in np.flatnonzero(reach).tolist():
+        first = at // self.stride
+        n, size = (len(w) - 1) // self.stride + 1, len(self.terms)
+        # passage k is strides k and k + 1; a term counts once in a passage
+        key = np.unique(np.concatenate([first * size + ids, (first[first > 0] - 1) * size + ids[first > 0]]))
+        passage, ids = key // size, key % size
+        begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+        sums = np.add.reduceat(self.bounds[ids], begin, axis=0)
+        for k in passage[begin[sums.max(axis=1) >= threshold - 1e-4]].tolist():
             yield k * self.stride, min(len(w), (k + 2) * self.stride)
 
+    def _known(self, w: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the words that some item has."""
+        ids = np.fromiter(map(self.terms.get, w, repeat(-1)), np.int64, len(w))
+        at = np.flatnonzero(ids >= 0)
+        return at, ids[at]
+
     def matches(self, text: str | None, threshold: float, overlap: float) -> dict[int, tuple[float, float, float, int]]:
         """For each item found: score, shares of question and answer, and the passage's first word."""
         w = words(text)
@@ -182,7 +185,7 @@ def _holds(passage: list[str], run: tuple[str, ...], single: set) -> bool:
     return all((x,) in single for x in run) and any(tuple(passage[i : i + n]) == run for i in range(len(passage) - n + 1))
 
 
-def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.6, block_items: int = 4, shard_chars: int = 4 << 20) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.6, overlap: float = 0.6, block_items: int = 2, shard_chars: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of each document and item that match."""
     spark = docs.sparkSession
     tests = items.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("t"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, lang_id, line_dedup, quality, simhash, token_store, warc
+from . import bpe, decontaminate, html_text, lang_id, licenses, line_dedup, quality, simhash, token_store, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -184,3 +184,62 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and test item that match: score, verified shares and place."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"), "first_word")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """Documents as files: short ones are license files of source/language, others lie in numbered folders below."""
+    folder = F.concat_ws("/", "source", "lang")
+    name = F.when(F.length("text") < 1000, F.concat_ws("/", folder, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))))
+    return docs.select("doc_id", "text", name.otherwise(F.concat_ws("/", folder, F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))).alias("path"))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license: its own by cosine, or that of the nearest folder above."""
+    found = licenses.scan(_placed(table(spark, sf_dir, "documents")).select("doc_id", "path", "text"))
+    return found.select("doc_id", "path", "own_license", "cosine", "license", "inherited_from")
+
+
+def _license_sql() -> str:
+    rows, idf, unknown = licenses.weights(licenses.TEMPLATES)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    vectors = ", ".join(f"({quoted(n)}, {quoted(t)}, {w!r}::DOUBLE)" for n, t, w in rows)
+    known = ", ".join(f"({quoted(t)}, {x!r}::DOUBLE)" for t, x in sorted(idf.items()))
+    stop = ", ".join(map(quoted, licenses.STOP))
+    return rf"""
+WITH files AS (
+  SELECT doc_id, text, CASE WHEN length(text) < 1000 THEN source || '/' || lang || '/LICENSE-' || doc_id
+         ELSE source || '/' || lang || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path FROM documents
+), vectors(license, term, w) AS (VALUES {vectors}), known(term, idf) AS (VALUES {known}),
+lines AS (
+  SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(lower(text), chr(10))) AS line FROM files)
+), tf AS (
+  SELECT path, line, term, count(*) AS f FROM (
+    SELECT path, line, unnest(regexp_extract_all(line, '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM lines
+    WHERE regexp_matches(line, 'licen|reserved|redistribut|attribution|apache|mit|gnu|bsd|cc|mozilla|creative|public|version|source|rights|binary'))
+  WHERE term NOT IN ({stop}) GROUP BY ALL
+), weighed AS (
+  SELECT tf.*, f * coalesce(idf, {unknown!r}::DOUBLE) AS x FROM tf LEFT JOIN known USING (term)
+), sizes AS (SELECT path, line, sqrt(sum(x * x)) AS size FROM weighed GROUP BY ALL
+), dots AS (SELECT path, line, license, sum(x * w) AS dot FROM weighed JOIN vectors USING (term) GROUP BY ALL
+), cosines AS (
+  SELECT path, license, round(dot / size, 4) AS cosine FROM dots JOIN sizes USING (path, line) WHERE round(dot / size, 4) >= 0.6
+), own AS (
+  SELECT path, license, cosine FROM cosines QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1
+), spoken AS (
+  SELECT dir, license FROM (
+    SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, count(*) AS n FROM own WHERE regexp_matches(path, '/LICENSE[^/]*$') GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, license) = 1
+), placed AS (
+  SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM files
+), nearest AS (
+  SELECT p.path, s.dir, s.license FROM placed p JOIN spoken s ON p.dir = s.dir OR starts_with(p.dir, s.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY p.path ORDER BY length(s.dir) DESC) = 1
+)
+SELECT p.doc_id, p.path, o.license AS own_license, o.cosine, coalesce(o.license, n.license) AS license,
+       CASE WHEN o.license IS NULL THEN n.dir END AS inherited_from
+FROM placed p LEFT JOIN own o USING (path) LEFT JOIN nearest n USING (path)
+"""
+
+
+ORACLE_SQL["op10_license_scan"] = _license_sql()
