@@ -168,7 +168,7 @@ def weights(edges: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
-def clusters(edges: DataFrame, sweeps: int = 12) -> DataFrame:
+def clusters(edges: DataFrame, sweeps: int = 8) -> DataFrame:
     """(node, community, size): communities by modularity, each named by its smallest node.
 
     Moves are decided for a whole sweep at once instead of node after node: in odd and even sweeps half
