@@ -21,10 +21,10 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import let, without
 
 #: (license, sentence that announces it)
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -64,7 +64,18 @@ def own_licenses(files: DataFrame, path: str, text: str, templates: Sequence[tup
     spark = files.sparkSession
     rows, idf, unknown = weights(templates)
     some = "|".join(re.escape(t) for t in sorted(idf))
-    lines = files.select(F.col(f"`{path}`").alias("path"), F.explode(F.filter(F.split(F.lower(F.col(f"`{text}`")), "\n"), lambda x: x.rlike(rf"(?<![a-z0-9])(?:{some})(?![a-z0-9])"))).alias("line")).filter(F.col("path").isNotNull())
+    # A line of k known and u unknown terms has a cosine of threshold only if, with the largest weight of
+    # a known term, (k * most)^2 * (1 - threshold^2) >= threshold^2 * u * unknown^2: an unknown term that
+    # stands f times weighs (f * unknown)^2, no less than f times unknown^2. Other lines go before any shuffle.
+    most, share = max(idf.values(), default=0.0), (threshold - 1e-4) ** 2  # cosines are rounded to four places
+
+    def may_match(line: Column) -> Column:
+        own = F.filter(F.regexp_extract_all(line, F.lit(f"({TERM})")), lambda t: ~t.isin(*STOP))
+        return let(own, lambda w: let(F.size(F.filter(w, lambda t: t.isin(*sorted(idf)))), lambda k: F.pow(k * most, F.lit(2.0)) * (1 - share) + 1e-9 >= share * unknown**2 * (F.size(w) - k)))
+
+    whole = F.split(F.lower(F.col(f"`{text}`")), "\n")
+    some_lines = F.filter(F.filter(whole, lambda x: x.rlike(rf"(?<![a-z0-9])(?:{some})(?![a-z0-9])")), may_match)
+    lines = files.select(F.col(f"`{path}`").alias("path"), F.explode(some_lines).alias("line")).filter(F.col("path").isNotNull())
     tf = lines.distinct().select("path", F.xxhash64("line").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(f"({TERM})"))).alias("term")).filter(~F.col("term").isin(*STOP))
     tf = tf.groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("f"))
     # as many rows as the templates have terms
