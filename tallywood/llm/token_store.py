@@ -22,6 +22,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from .common import fresh_path, sliced, staged
 
 SCALE, LANES, LOW = 20, 2048, np.uint64(1 << 31)
 MAGIC, END_MARK = b"TWB1", b"\xf1TWE"
-#: Pieces a worker keeps the ids of; beyond them the cache starts anew.
+STOPS = ",.;:!?"
+#: Pieces a worker keeps the ids of; beyond them the later half goes.
 CACHE_ENTRIES = 800_000
 
 
@@ -159,37 +161,46 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     piece; other texts it gets whole.
     """
     t, kind, known = tokenizer(path)
-    if len(known) > CACHE_ENTRIES:
+    if len(known) > CACHE_ENTRIES:  # the commonest pieces came first
+        early = dict(islice(known.items(), CACHE_ENTRIES // 2))
         known.clear()
-    new: dict[str, bytes] = {}
-    parts: dict[int, list] = {}
-    heads: list[str] = []
+        known.update(early)
+    new: set[str] = set()
+    heads: dict[int, str] = {}
+    found: dict[int, list] = {}
     whole: list[int] = []
     for i, x in enumerate(texts):
         head, *rest = x.split(" ")
-        found = list(map(known.get, rest))
-        lacks = [rest[k] for k, ids in enumerate(found) if ids is None] if None in found else ()
+        ids = list(map(known.get, rest))
+        lacks = ()
+        if None in ids:
+            lacks = [r for r, v in zip(rest, ids, strict=True) if v is None]
+            ids = [r if v is None else v for r, v in zip(rest, ids, strict=True)]
         if uneven(head if rest else "") or any(map(uneven_inside, lacks)):
             whole.append(i)
-            continue
-        new.update(dict.fromkeys(lacks))
-        parts[i] = [b"", *(r if ids is None else ids for r, ids in zip(rest, found, strict=True))] if lacks else [b"", *found]
-        heads.append(head)
-    got = t.encode_batch_fast([" " + x for x in new] + heads + [texts[i] for i in whole], add_special_tokens=False)
+        else:
+            heads[i], found[i] = head, ids
+            new.update(lacks)
+    # the split also ends a match between a letter and a stop, so a word is asked for without its stop
+    ended = {x: x[:-1] for x in new if x[-1] in STOPS and x[-2:-1].isalpha()}
+    asked = list((new - ended.keys()).union(ended.values()).difference(known))
+    got = t.encode_batch_fast([" " + x for x in asked] + list(STOPS) + list(heads.values()) + [texts[i] for i in whole], add_special_tokens=False)
     flat = [e.ids for e in got]
     ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat))) * kind.itemsize
-    packed = np.fromiter((v for ids in flat for v in ids), kind, int(ends[-1]) // kind.itemsize if flat else 0).tobytes()
-    ends = ends.tolist()
-    cut = [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    new = dict(zip(new, cut, strict=False))
-    for i, ids in zip(parts, cut[len(new) : len(new) + len(heads)], strict=True):
-        parts[i][0] = ids
+    packed = np.fromiter(chain.from_iterable(flat), kind, int(ends[-1]) // kind.itemsize).tobytes()
+    cut = map(packed.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))
+    known.update(zip(asked, islice(cut, len(asked)), strict=True))
+    stops = dict(zip(STOPS, islice(cut, len(STOPS)), strict=True))
+    for x, word in ended.items():
+        known[x] = known[word] + stops[x[-1]]
     out = [b""] * len(texts)
-    for i, ids in zip(whole, cut[len(new) + len(heads) :], strict=True):
+    for i, ids in zip([*heads, *whole], cut, strict=True):
         out[i] = ids
-    for i, ids in parts.items():
-        out[i] = b"".join([new[x] if x.__class__ is str else x for x in ids])
-    known.update((x, ids) for x, ids in new.items() if len(x) <= CACHE_CHARS)
+    for i, ids in found.items():
+        out[i] += b"".join([known[v] if v.__class__ is str else v for v in ids])
+    for x in [*asked, *ended]:
+        if len(x) > CACHE_CHARS:
+            known.pop(x, None)
     return out
 
 
