@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import appended
 
-#: Entries a worker keeps of pieces and pre-tokens seen before; beyond them the cache starts anew.
-CACHE_ENTRIES = 300_000
+#: Entries a worker keeps of pieces and pre-tokens seen before; beyond them the later half goes.
+CACHE_ENTRIES = 220_000
 #: Longer pieces aren't kept.
 CACHE_CHARS = 64
 #: All that any of the libraries takes for white space, and some more: a blank beside these is no plain word break.
@@ -239,10 +240,11 @@ class Codec:
         do are taken apart there, and each piece is looked up whole.
         """
         pre, known = self.pre, self.after_blank
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        if len(pre) > CACHE_ENTRIES:
-            pre.clear()
+        for cache in (known, pre):
+            if len(cache) > CACHE_ENTRIES:  # the commonest entries came first
+                early = dict(islice(cache.items(), CACHE_ENTRIES // 2))
+                cache.clear()
+                cache.update(early)
         new: set[str] = set()
         matches: dict[int, list[str]] = {}
         whole: set[int] = set()

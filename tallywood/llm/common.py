@@ -53,7 +53,7 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def sliced(batch: pa.RecordBatch, where: Sequence[int], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, where: Sequence[int], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """batch in parts of rows whose columns where hold about most bytes together, or one row."""
     rows, at = max(1, batch.num_rows), 0
     step = max(1, int(rows * most / max(1, sum(batch.column(i).nbytes for i in where))))
