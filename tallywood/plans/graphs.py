@@ -19,9 +19,11 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).filter("r <= 2").select("src", "dst", F.when(F.col("r") == 1, "import").otherwise("calls").alias("kind"))
 
 
-def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user to the user of the next error event, of every fifth event."""
-    e = table(spark, sf_dir, "events").filter("event_type = 'error' AND event_id % 5 = 0").select("ts", "event_id", "user_id")
+def user_edges(spark: SparkSession, sf_dir: str, fifth: bool = True) -> DataFrame:
+    """Each user to the user of the next error event: of every fifth event, as USERS has it, or of all."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select("ts", "event_id", "user_id")
+    if fifth:
+        e = e.filter("event_id % 5 = 0")
     ordered = graph.ranked(e, ["ts", "event_id"])
     after = ordered.select((F.col("rank") - 1).alias("rank"), F.col("user_id").alias("dst"))
     return ordered.select("rank", F.col("user_id").alias("src")).join(after, "rank").filter("src <> dst").select("src", "dst", F.lit("import").alias("kind"))
@@ -103,7 +105,8 @@ def graph_cycles_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.clusters(user_edges(spark, sf_dir))
+    """Communities of users by next errors, of all error events."""
+    return graph.clusters(user_edges(spark, sf_dir, fifth=False))
 
 
 @query()

@@ -4,6 +4,7 @@ from collections import deque
 import pytest
 
 from tallywood.operators import graph as G
+from tallywood.plans import graphs, registry
 
 
 def made(spark, edges):
@@ -57,3 +58,12 @@ def test_clusters_part_two_cliques(spark):
 def test_ranked_numbers_all_rows(spark):
     df = spark.createDataFrame([(x,) for x in random.Random(1).sample(range(1000), 300)], "v long")
     assert [r.rank for r in G.ranked(df, ["v"]).orderBy("v").collect()] == list(range(1, 301))
+
+
+def test_clusters_query_sees_all_error_events(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'").orderBy("ts", "event_id").collect()
+    users = [r.user_id for r in rows]
+    want = sorted((a, b) for a, b in zip(users[:-1], users[1:], strict=True) if a != b)
+    assert sorted((r.src, r.dst) for r in graphs.user_edges(spark, sf, fifth=False).collect()) == want
+    assert {r.node for r in registry.QUERIES["graph_clusters"](spark, sf).collect()} == {x for e in want for x in e}
