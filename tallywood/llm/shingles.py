@@ -1,0 +1,136 @@
+"""Near copies by exact Jaccard similarity of word shingles, without a signature in between.
+
+Words are those of simhash; a text's set holds the XXH64 (seed 42) of each run of width words, or of
+all words where they are fewer. Two texts link where their sets share at least share (a fraction, as
+a pair of integers) of their union.
+
+In any fixed order of shingles, two sets that link have one of their first n - ceil(share * n) + 1
+shingles in common (n: the size of the set), so only those are paired. The order is that of the
+hashes, with the shingles last that many sets hold (frequent): texts that only have a common passage
+aren't paired for it. Where a shingle still has more sets than frequent, as in a large group of near
+copies, a few of them are paired with all others each round, and pairs already in one component are
+left out. All pairs are then confirmed on the whole sets. Texts with equal sets are never paired.
+
+Defined results: as in simhash; null texts and texts without a word have the empty set and link.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import appended, cut
+from .graph import components
+
+
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the runs of width words, in order."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    flat, of = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([of(flat, 42)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[: len(words) - width]]).tolist()
+    h = np.fromiter([of(flat[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64, len(starts))
+    return np.unique(h.view(np.int64))
+
+
+def first_ones(found: np.ndarray, share: tuple[int, int], frequent: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which two linked sets have one in common; frequent ones come last."""
+    p = len(found) - -(-share[0] * len(found) // share[1]) + 1
+    if len(frequent) and len(found):
+        late = np.isin(found, frequent)
+        found = np.concatenate([found[~late], found[late]])
+    return found[:p]
+
+
+def described(df: DataFrame, width: int, share: tuple[int, int], frequent: np.ndarray, whole: bool = False) -> DataFrame:
+    """(id, digest, n, shingles) of df (id, text): the first ones, or with whole all."""
+
+    def make():
+        def f(texts: pa.Array) -> list[pa.Array]:
+            sets = [shingles(t.as_py() or b"", width) for t in texts.cast(pa.large_binary())]
+            digest = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+            kept = sets if whole else [first_ones(s, share, frequent) for s in sets]
+            return [pa.array(digest), pa.array([len(s) for s in sets], pa.int32()), pa.array(kept, pa.list_(pa.int64()))]
+
+        return f
+
+    adds = [("digest", T.LongType()), ("n", T.IntegerType()), ("shingles", T.ArrayType(T.LongType()))]
+    return appended(df, make, ["text"], adds).select("id", "digest", "n", "shingles")
+
+
+def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5), frequent: int = 200) -> DataFrame:
+    """(id, component_id) for each row of df."""
+    raw = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    docs = cut(described(raw, width, share, np.zeros(0, np.int64)))
+    nodes = cut(docs.groupBy("digest").agg(F.min("id").alias("node")))
+    sets = cut(docs.filter("id IS NOT NULL").select("digest", "n", "shingles").dropDuplicates(["digest"]))
+
+    def again(digests: DataFrame, common: np.ndarray, whole: bool) -> DataFrame:
+        """What described gives for these digests, from the texts."""
+        ids = nodes.join(digests, "digest", "left_semi").select(F.col("node").alias("id")).distinct()
+        found = described(raw.join(ids, "id", "left_semi"), width, share, common, whole)
+        return found.join(digests, "digest", "left_semi").select("digest", "n", "shingles").dropDuplicates(["digest"])
+
+    common = np.zeros(0, np.int64)
+    while True:
+        held = cut(sets.select("digest", "n", F.explode("shingles").alias("key")))
+        counts = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+        large = cut(counts.filter(F.col("c") > frequent).select("key"))
+        seen = {int(k) for k in common}
+        new = [r.key for r in large.collect() if r.key not in seen]
+        if not new:
+            break
+        common = np.concatenate([common, np.array(new, np.int64)])
+        hit = cut(held.join(large, "key", "left_semi").select("digest").distinct())
+        sets = cut(sets.join(hit, "digest", "left_anti").unionByName(again(hit, common, False)))
+    held = held.join(counts.select("key"), "key", "left_semi")
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        """(a, b) of the same key whose sizes allow a link."""
+        x = a.select("key", F.col("digest").alias("a"), F.col("n").alias("an"))
+        y = b.select("key", F.col("digest").alias("b"), F.col("n").alias("bn"))
+        fits = F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0]
+        return x.join(y, "key").filter((F.col("a") != F.col("b")) & fits)
+
+    def confirmed(candidates: DataFrame) -> DataFrame:
+        candidates = cut(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ends = candidates.select(F.col("a").alias("digest")).union(candidates.select("b")).distinct()
+        full = cut(again(cut(ends), np.zeros(0, np.int64), True))
+        x = full.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
+        y = full.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        ok = both * share[1] >= (F.size("x") + F.size("y") - both) * share[0]
+        return cut(candidates.join(x, "a").join(y, "b").filter(ok).select("a", "b"))
+
+    small = cut(held.join(large, "key", "left_anti"))
+    links = confirmed(pairs(small, small).filter("a < b"))
+    rest = cut(held.join(large, "key", "left_semi"))
+    centres = 1
+    while True:
+        labels = components(links).select(F.col("node").alias("digest"), "component")
+        tagged = rest.join(labels, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+        # pairs of one component need no look: a key whose sets all are in one is done
+        spread = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        rest = cut(tagged.join(spread, "key", "left_semi"))
+        if not rest.limit(1).count():
+            break
+        firsts = rest.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("digest")), 1, centres).alias("d")) if centres > 1 else rest.groupBy("key").agg(F.array(F.min("digest")).alias("d"))
+        chosen = cut(firsts.select("key", F.explode("d").alias("digest")))
+        own = rest.select(F.col("digest").alias("a"), F.col("component").alias("ac")).distinct()
+        other = rest.select(F.col("digest").alias("b"), F.col("component").alias("bc")).distinct()
+        apart = pairs(rest.join(chosen, ["key", "digest"], "left_semi"), rest).select("a", "b").distinct().join(own, "a").join(other, "b").filter("ac <> bc")
+        links = cut(links.unionByName(confirmed(apart)))
+        rest = cut(rest.join(chosen, ["key", "digest"], "left_anti").select("key", "digest", "n"))
+        centres = frequent
+    a, b = nodes.select(F.col("digest").alias("a"), F.col("node").alias("na")), nodes.select(F.col("digest").alias("b"), F.col("node").alias("nb"))
+    found = components(links.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    of = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return docs.select("id", "digest").join(of, "digest").select(F.col("id").alias(id), "component_id")

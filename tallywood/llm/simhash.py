@@ -215,7 +215,11 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", **options)
     Rows that share the id that stays are one document: of those one stays, that with the smallest
     hash of the text.
     """
-    found = simhash_components(df, id, text, **options)
+    return firsts(df, simhash_components(df, id, text, **options), id, text)
+
+
+def firsts(df: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What near_dedup keeps, for the components found (id, component_id)."""
     stays = found.filter(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
     kept = df.join(stays, F.col(f"`{id}`") == F.col("__id"))
     names = [F.col(f"`{c}`") for c in df.columns]
