@@ -55,6 +55,12 @@ def test_language_stage_keeps_prose_and_drops_what_has_no_letter(spark):
     assert kept == {r.doc_id for r in docs.collect()}
 
 
+def test_language_stage_keeps_prose_whatever_the_number_of_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    alike = [(i, "the words of this text stand in every language", f"l{i % 8}", "s", 46) for i in range(80)]
+    assert C.language_id(spark, spark.createDataFrame(alike, docs.schema), SF).count() == 80
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, f in C.STAGES:
