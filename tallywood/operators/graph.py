@@ -168,35 +168,76 @@ def weights(edges: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
-def clusters(edges: DataFrame, sweeps: int = 8) -> DataFrame:
+def clusters(edges: DataFrame) -> DataFrame:
     """(node, community, size): communities by modularity, each named by its smallest node.
 
-    Moves are decided for a whole sweep at once instead of node after node: in odd and even sweeps half
-    of the nodes, by hash, join the neighbouring community that gains most (ties: the smallest name), so
-    two nodes that would swap can't do so for ever. Unlike a sequential pass it needs no task that holds
-    the graph; the communities may differ from those of a sequential pass.
+    Nodes move until no move gains, then communities become the nodes of the next level, until a level
+    moves nothing. Moves are decided for a sweep at once (see settled) instead of node after node, so no
+    task holds the graph; the communities may differ from those of a sequential pass.
     """
     w = cut(weights(edges))
-    strength = cut(w.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
-    total = strength.agg(F.sum("k")).first()[0] or 1
-    labels = cut(strength.select("node", F.col("node").alias("c"), "k"))
-    still = 0
-    for s in range(sweeps):
-        mass = labels.groupBy("c").agg(F.sum("k").alias("mass"))
-        to = w.join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("links"))
-        options = to.join(mass, "c").join(labels.select("node", F.col("c").alias("own"), "k"), "node")
-        gain = F.col("links") - F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)) / F.lit(total)
-        stay = labels.join(mass, "c").select("node", "c", (-F.col("k") * (F.col("mass") - F.col("k")) / F.lit(total)).alias("gain"), F.col("c").alias("own"))
-        scored = options.select("node", "c", gain.alias("gain"), "own").unionAll(stay)
-        best = scored.groupBy("node", "own").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), (F.col("c") != F.col("own")).alias("moves"), "c")).alias("m"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == s % 2
-        new = cut(labels.join(best.select("node", F.col("m.c").alias("to")), "node").select("node", F.when(turn, F.col("to")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("to") != F.col("c"))).alias("moved")))
-        labels = new.select("node", "c", "k")
-        still = 0 if new.filter("moved").limit(1).count() else still + 1
-        if still == 2:
+    of = cut(w.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    while True:
+        labels = settled(w)
+        if not labels.filter("node <> c").limit(1).count():
             break
-    named = labels.groupBy("c").agg(F.min("node").alias("community"), F.count(F.lit(1)).alias("size"))
-    return labels.join(named, "c").select("node", "community", "size")
+        names = labels.groupBy("c").agg(F.min("node").alias("name"))
+        named = cut(labels.join(names, "c").select("node", "name"))
+        of = cut(of.join(named.select(F.col("node").alias("community"), "name"), "community").select("node", F.col("name").alias("community")))
+        if named.select("name").distinct().count() == named.count():
+            break
+        ends = w.join(named.select(F.col("node").alias("a"), F.col("name").alias("x")), "a").join(named.select(F.col("node").alias("b"), F.col("name").alias("y")), "b")
+        w = cut(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+    return of.join(of.groupBy("community").agg(F.count(F.lit(1)).alias("size")), "community").select("node", "community", "size")
+
+
+def settled(w: DataFrame) -> DataFrame:
+    """(node, c) of one level, w (a, b, w) both ways: from nodes apart, until no node gains by a move.
+
+    A sweep lets half of the nodes, by hash, make their best move (ties: the smallest name). Where that
+    doesn't raise the modularity, moves are made of which no two touch one community: their gains add up.
+    So modularity, in whole numbers, rises with every sweep and the loop ends by itself.
+    """
+    big = "decimal(18,0)"
+    degree = w.groupBy(F.col("a").alias("node")).agg(F.sum("w").cast(big).alias("k"))
+    labels = cut(degree.select("node", F.col("node").alias("c"), "k"))
+    total = F.lit(int(labels.agg(F.sum("k")).first()[0] or 0)).cast(big)
+    apart = cut(w.filter("a <> b"))
+
+    def quality(of: DataFrame) -> int:
+        inner = w.join(of.select(F.col("node").alias("a"), F.col("c").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("c").alias("y")), "b").filter("x = y").agg(F.sum("w").cast(big).alias("w"))
+        mass = of.groupBy("c").agg(F.sum("k").cast(big).alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("m"))
+        got = inner.crossJoin(mass).select((F.coalesce("w", F.lit(0).cast(big)) * total).alias("i"), "m").first()
+        return int(got.i or 0) - int(got.m or 0)
+
+    at, sweep = quality(labels), 0
+    while True:
+        sweep += 1
+        mass = labels.groupBy("c").agg(F.sum("k").cast(big).alias("mass"))
+        to = apart.join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").cast(big).alias("links"))
+        stay = labels.select("node", "c", F.lit(0).cast(big).alias("links"))
+        options = to.unionAll(stay).groupBy("node", "c").agg(F.sum("links").cast(big).alias("links")).join(mass, "c").join(labels.select("node", F.col("c").alias("own"), "k"), "node")
+        others = (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0).cast(big))).cast(big)
+        gain = F.col("links") * total - F.col("k") * others
+        best = options.withColumn("gain", gain).groupBy("node", "own").agg(F.min(F.struct((-F.col("gain")).alias("g"), (F.col("c") != F.col("own")).alias("moves"), "c")).alias("m"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"))
+        moves = cut(best.filter("m.moves").select("node", "own", F.col("m.c").alias("to"), (F.col("m.g") + F.col("now")).alias("rank")))
+        if not moves.limit(1).count():
+            return labels.select("node", "c")
+        half = moves.filter(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0)
+        new = _moved(labels, half)
+        rises = quality(new)
+        if rises <= at:
+            ends = moves.select("node", "rank", F.explode(F.array("own", "to")).alias("c"))
+            first = ends.groupBy("c").agg(F.min(F.struct("rank", "node")).alias("m")).groupBy(F.col("m.node").alias("node")).count().filter("count = 2")
+            new = _moved(labels, moves.join(first, "node", "left_semi"))
+            rises = quality(new)
+        if rises <= at:
+            raise RuntimeError("a sweep of gaining moves didn't raise the modularity")
+        labels, at = new, rises
+
+
+def _moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
+    return cut(labels.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "c").alias("c"), "k"))
 
 
 def tour(edges: DataFrame, entries: list, steps: int = 20) -> DataFrame:

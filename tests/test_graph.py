@@ -67,3 +67,14 @@ def test_clusters_query_sees_all_error_events(spark):
     want = sorted((a, b) for a, b in zip(users[:-1], users[1:], strict=True) if a != b)
     assert sorted((r.src, r.dst) for r in graphs.user_edges(spark, sf, fifth=False).collect()) == want
     assert {r.node for r in registry.QUERIES["graph_clusters"](spark, sf).collect()} == {x for e in want for x in e}
+
+
+def test_clusters_join_communities_until_none_gains(spark):
+    edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(15)]
+    got = {r.node: r.community for r in G.clusters(made(spark, edges)).collect()}
+    assert len(got) == 16 and all(min(n for n in got if got[n] == c) == c for c in set(got.values()))
+    mass = {c: sum((n in e) for e in edges for n in got if got[n] == c) for c in set(got.values())}
+    for a in mass:
+        for b in mass:
+            between = sum({got[x], got[y]} == {a, b} for x, y in edges)
+            assert a == b or between * 2 * len(edges) <= mass[a] * mass[b]
