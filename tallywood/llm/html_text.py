@@ -220,9 +220,10 @@ def features(found: Sequence[Block]) -> np.ndarray:
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of PAGES."""
-    pages = [[("", w, d, where in "ab", where in "mb", bool(h)) for w, d, h, where, _ in p] for p in PAGES]
-    return np.concatenate([features(p) for p in pages]), np.array([float(b[4]) for p in PAGES for b in p])
+    """Features and labels of the blocks of PAGES; a page's blocks all belong to the text where an article holds them all."""
+    held = [tuple((w, d, h, "m", 1) for w, d, h, _, _ in p) for p in PAGES]
+    pages = [[("", w, d, where in "ab", where in "mb", bool(h)) for w, d, h, where, _ in p] for p in [*PAGES, *held]]
+    return np.concatenate([features(p) for p in pages]), np.array([float(b[4]) for p in [*PAGES, *held] for b in p])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
