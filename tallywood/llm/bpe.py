@@ -35,6 +35,9 @@ CACHE_CHARS = 64
 #: All that any of the libraries takes for white space, and some more: a blank beside these is no plain word break.
 BROAD_SPACE = frozenset(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
 
+#: Split patterns (fixed values) by which a blank between two characters that aren't white space always begins a match.
+BLANK_BEGINS = frozenset([r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""])
+
 
 def uneven(head: str) -> bool:
     """Whether white space ends the part of a text before its first blank."""
@@ -98,6 +101,7 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
+        self.by_blanks = pattern in BLANK_BEGINS
         n = max(ranks.values(), default=0) + 1
         self.queue = RankQueue(n)
         self.byte_rank = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
@@ -236,8 +240,9 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers.
 
-        A blank between two characters that aren't white space begins a match. Texts where all blanks
-        do are taken apart there, and each piece is looked up whole.
+        By the patterns BLANK_BEGINS a blank between two characters that aren't white space begins a
+        match. Texts where all blanks do are taken apart there, and each piece is looked up whole; by
+        other patterns every text is split whole.
         """
         pre, known = self.pre, self.after_blank
         for cache in (known, pre):
@@ -249,6 +254,10 @@ class Codec:
         matches: dict[int, list[str]] = {}
         whole: set[int] = set()
         for i, t in enumerate(texts):
+            if not self.by_blanks:
+                whole.add(i)
+                matches[i] = self.split(t)
+                continue
             head, *rest = t.split(" ")
             more = set(rest).difference(known)
             if uneven(head if rest else "") or any(map(uneven_inside, more)):

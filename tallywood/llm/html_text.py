@@ -150,7 +150,13 @@ def blocks(page: str) -> list[Block]:
         opened[name] -= 1
         return name
 
+    last = page.rfind(">")
     while at < len(page):
+        if at > last:  # no tag ends any more
+            rest = page[at:].partition("<!--")[0]
+            parts.append(rest)
+            linked += len(html.unescape(rest).split()) if links else 0
+            break
         m = TOKEN.match(page, at)
         at = m.end()
         text = m["text"]

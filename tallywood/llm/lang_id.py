@@ -3,11 +3,17 @@
 Two recurrent layers read the bytes of a chunk forward and backward; at every byte their states give
 probabilities of the languages, and the mean over all bytes of a document gives its own. Texts are cut
 into chunks of chunk_bytes, all of which are read. The network is trained in numpy by backpropagation
-through time, on one chunk each of at most 2 * per_language documents of each language.
+through time, on a part of sample_chars characters each of about per_language labelled documents of
+each language: that is the bound of the sample. Every language that has a labelled row is learned.
 
-Defined results: null texts and texts without a letter get ``und`` and score 0, as all texts do where
-no row has a language to learn from; rows without doc_id are never learned from; ties between
-languages go to the first in alphabetical order; repeated rows are labelled alike.
+Beside the languages the network learns one more label, "other": texts of the sample whose letters are
+exchanged for others, and runs of random characters. The share a document gives it tells text of none of
+the learned languages, whatever their number.
+
+Defined results: null texts and texts without a letter (str.isalpha) get ``und``, score 0 and other 1, as all texts do where
+no row has a language to learn from; rows without doc_id are never learned from; rows labelled ``und`` are
+learned like any language; ties between languages go to the first in alphabetical order; repeated rows
+are labelled alike.
 """
 
 from __future__ import annotations
@@ -23,9 +29,24 @@ from pyspark.sql import types as T
 
 from .common import appended
 
-LETTER = re.compile(r"[^\W\d_]")
-#: Languages beyond this many, the rarest, aren't learned.
-MOST_LABELS = 64
+#: Letters, and some characters that str.isalpha doesn't take for any.
+WORDY = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in WORDY.finditer(text))
+
+
+def strange(text: str, r: np.random.Generator) -> str:
+    """The text with its letters exchanged for others, all alike or vowels for vowels; or as many random characters."""
+    kind = int(r.integers(0, 4))
+    if kind == 0:
+        marks = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "qwrtzpsdfgjklmnbvcxy ", "".join(map(chr, range(at := int(r.integers(0x370, 0xD000)), at + 60))) + " " * 9)[int(r.integers(0, 4))]
+        return "".join(r.choice(list(marks), len(text)))
+    low = sorted({c for c in text.lower() if c.isalpha()} | set("abcdefghijklmnopqrstuvwxyz"))
+    groups = [low] if kind == 1 else [[c for c in low if c in "aeiouyáéíóúàèùâêîôûäöü"], [c for c in low if c not in "aeiouyáéíóúàèùâêîôûäöü"]]
+    to = {a: b for g in groups for a, b in zip(g, r.permutation(g).tolist(), strict=True)}
+    return "".join(to.get(c, to.get(c.lower(), c).upper() if c.lower() in to else c) for c in text)
 
 
 @dataclass
@@ -181,34 +202,43 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang
     of each a part of sample_chars characters from a place that the hash gives.
     """
     rows = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()}
+    rows = rows.filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # as many rows as there are languages
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], None
     names = sorted(counts)
     share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_language / counts[k]))])
     chance = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
     start = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.length("text") - sample_chars, F.lit(1))) + 1
-    sample = rows.filter(chance < F.try_element_at(share, F.col("lang"))).select("lang", F.col("text").substr(start.cast("int"), F.lit(sample_chars)).alias("t"), "id").limit(2 * per_language * len(names)).collect()
-    sample = sorted(((r.id, r.t, r.lang) for r in sample if LETTER.search(r.t)))
+    sample = rows.filter(chance < F.try_element_at(share, F.col("lang"))).select("lang", F.col("text").substr(start.cast("int"), F.lit(sample_chars)).alias("t"), "id", chance.alias("c"))
+    # repeated ids have the same chance: beyond twice the number the bound holds by an order of its own
+    sample = sample.orderBy("c", "id", "lang", "t").limit(2 * per_language * len(names)).collect()
+    sample = sorted((r.id, r.t, r.lang) for r in sample if has_letter(r.t))
     if not sample:
         return [], None
-    labels = np.array([names.index(r[2]) for r in sample])
-    return names, train([r[1].encode() for r in sample], labels, len(names), **options)
+    r = np.random.default_rng(11)
+    none = [strange(sample[int(k)][1], r) for k in r.integers(0, len(sample), max(60, len(sample) // len(names)))]
+    labels = np.array([names.index(x[2]) for x in sample] + [len(names)] * len(none))
+    return names, train([x[1].encode() for x in sample] + [t.encode() for t in none], labels, len(names) + 1, **options)
 
 
 def identify(df: DataFrame, model: tuple[list[str], Network | None], text: str = "text") -> DataFrame:
-    """df with lang_pred and score; columns of these names are replaced."""
+    """df with lang_pred, score and other; columns of these names are replaced.
+
+    score is the mean probability of the language named, other that of none of the learned ones.
+    """
     names, net = model
 
     def make():
         def f(texts: pa.Array) -> list[pa.Array]:
-            known = [t.encode() if t and net is not None and LETTER.search(t) else b"" for t in texts.to_pylist()]
-            p = pooled(net, known) if net is not None else np.zeros((len(known), 1))
-            best = p.argmax(axis=1)
-            some = [len(t) > 0 for t in known]
-            return [pa.array([names[k] if s else "und" for k, s in zip(best, some, strict=True)], pa.string()), pa.array(np.where(some, np.clip(p.max(axis=1), 0, 1), 0.0), pa.float64())]
+            known = [t.encode() if net is not None and has_letter(t) else b"" for t in texts.to_pylist()]
+            p = pooled(net, known) if net is not None else np.zeros((len(known), 2))
+            best = p[:, :-1].argmax(axis=1)
+            some = np.array([len(t) > 0 for t in known], bool)
+            score, other = np.clip(p[np.arange(len(p)), best], 0, 1), np.clip(p[:, -1], 0, 1)
+            return [pa.array([names[k] if s else "und" for k, s in zip(best, some, strict=True)], pa.string()), pa.array(np.where(some, score, 0.0), pa.float64()), pa.array(np.where(some, other, 1.0), pa.float64())]
 
         return f
 
-    return appended(df, make, [text], [("lang_pred", T.StringType()), ("score", T.DoubleType())])
+    return appended(df, make, [text], [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("other", T.DoubleType())])

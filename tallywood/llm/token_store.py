@@ -11,6 +11,8 @@ the CRC-32 of the ids up to the next), from which decoding can begin.
 File: blocks one after the other, each ``TWB1``, header length (4 bytes), header (JSON), sections, and
 the end mark. The folder ``table`` holds the shared table in one block of the same kind.
 
+A text of an added token (such as ``<|endoftext|>``) gives that token's id, as the library's default has it.
+
 Defined results: null and empty texts have the end id only; no documents give no blocks; the ids must
 be below 2**SCALE; repeated rows are written each.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -144,13 +147,18 @@ def unpack(content: bytes) -> Iterator[tuple[dict, dict[str, memoryview]]]:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """The tokenizer, the type its ids are packed in, and the packed ids of pieces seen lately."""
+    """The tokenizer, the type its ids are packed in, the packed ids of pieces seen lately, a pattern of the added
+    tokens' texts (None if there are none), and whether texts may be taken apart at blanks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"), {}
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    pre = made.get("pre_tokenizer") or {}
+    plain = not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    added = [re.escape(x["content"]) for x in made.get("added_tokens", []) if x["content"]]
+    return t, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"), {}, re.compile("|".join(added)) if added else None, plain
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
@@ -158,9 +166,10 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
 
     Where a blank stands between two characters that aren't white space, the library's split begins a
     match. Texts where all blanks do are taken apart there, and the library is asked once for each
-    piece; other texts it gets whole.
+    piece; other texts it gets whole, as it does texts that hold an added token's text, and all texts
+    where the file names another split or a normalizer.
     """
-    t, kind, known = tokenizer(path)
+    t, kind, known, added, plain = tokenizer(path)
     if len(known) > CACHE_ENTRIES:  # the commonest pieces came first
         early = dict(islice(known.items(), CACHE_ENTRIES // 2))
         known.clear()
@@ -170,6 +179,9 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     found: dict[int, list] = {}
     whole: list[int] = []
     for i, x in enumerate(texts):
+        if not plain or (added is not None and added.search(x)):
+            whole.append(i)
+            continue
         head, *rest = x.split(" ")
         ids = list(map(known.get, rest))
         lacks = ()
@@ -209,7 +221,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id: str = "doc_i
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     docs = docs.repartitionByRange("id").withColumn("h", F.xxhash64("text")).sortWithinPartitions("id", "h").select("id", "text")
-    _, kind, _ = tokenizer(tokenizer_path)
+    kind = tokenizer(tokenizer_path)[1]
     end, width = np.array([end_id], kind).tobytes(), kind.itemsize
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,10 +45,10 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows_and_nothing_to_learn_from(spark):
-    rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, "12 .. !!", "fr", "s"), (4, "the the", None, "s"), (None, "le la", "fr", None), (5, "the and of " * 30_000, "en", "s"), (5, "the and", "en", "s"), (6, "le la du", "fr", "s"), (7, "le un et", "fr", "s"), (8, "of it", "en", "s")]
+    rows = [(11, "½ ² Ⅷ ①", "en", "s"), (1, None, "en", "s"), (2, "", "en", "s"), (3, "12 .. !!", "fr", "s"), (4, "the the", None, "s"), (None, "le la", "fr", None), (5, "the and of " * 30_000, "en", "s"), (5, "the and", "en", "s"), (6, "le la du", "fr", "s"), (7, "le un et", "fr", "s"), (8, "of it", "en", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, SCORE string")
     got = L.identify(df, L.fit(df, steps=20))
-    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "other"]
     out = got.collect()
     assert len(out) == len(rows)
     assert all((r.lang_pred == "und") == (r.text is None or not any(c.isalpha() for c in r.text)) for r in out)
@@ -56,3 +56,20 @@ def test_odd_rows_and_nothing_to_learn_from(spark):
     model = L.fit(none)
     assert model == ([], None) and L.identify(none, model).count() == 0
     assert {r.lang_pred for r in L.identify(df, model).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word {'abcdefghij'[i % 10] * 3} of {i % 90}", f"l{i % 90:02d}", "s") for i in range(900)]
+    names, net = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), steps=2)
+    assert names == [f"l{i:02d}" for i in range(90)] and net.out.shape[1] == 91
+
+
+def test_other_tells_what_is_none_of_the_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    three = docs.filter("lang <> 'de'")
+    model = L.fit(docs)
+    odd = ["deadbeef0123456789abcdef0011223344556677" * 3, "Minden emberi lény szabadon születik és egyenlő méltósága és joga van", "QmFzZTY0IGVuY29kZWQgc3RyaW5nIG9mIHNvbWUga2luZA=="]
+    got = L.identify(spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string"), model).collect()
+    assert all(r.other > 0.7 for r in got), [r.other for r in got]
+    clean = [r.other for r in L.identify(three, model).collect() if r.text and len(r.text) > 200]
+    assert np.mean([x < 0.5 for x in clean]) > 0.995

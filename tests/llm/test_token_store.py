@@ -32,12 +32,19 @@ def test_uniform_and_single_symbol_tables():
         assert t.freq.sum() == 1 << S.SCALE and ((t.freq > 0) == (counts > 0)).all()
 
 
+def test_added_tokens_are_the_librarys():
+    lib = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y. <|endoftext", "plain words, no token. At all!", " <|endoftext|> ", "<|endof text|>"]
+    got = S.token_ids(texts, PATH)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(got[0], "<u2")
+
+
 def test_files_hold_the_librarys_ids(spark, tmp_path):
     texts = ["The the.", "", None, "  two  blanks\n\nand 'll <|endoftext|> é漢", "x" * 30_000, "a b\nc", " lead", "tail ", "one two " * 3_000]
     rows = [(i * 7 % 9 - 3, t, "k") for i, t in enumerate(texts)] + [(None, "no id", "k"), (50, "twice", "k"), (50, "twice", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
     lib = Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
     path = f"file://{tmp_path}/out"
     S.write_tokens(df, path, PATH, block_tokens=500, checkpoint_steps=2, blocks_per_file=2)
     got = sorted(S.read_tokens(spark, path).collect(), key=lambda r: r.start)
