@@ -38,8 +38,8 @@ def made(items, block=4):
 def plain_scores(index, passage):
     out = np.zeros(len(index.ids))
     for t in {index.terms[x] for x in passage if x in index.terms}:
-        at, x = index.postings[t]
-        out[at] += x
+        a, b = (index.ends[t - 1] if t else 0), index.ends[t]
+        out[index.items[a:b]] += index.weights[a:b]
     return out
 
 
@@ -52,13 +52,33 @@ def test_wand_finds_what_scoring_all_finds(corpus):
             for a in range(0, len(w), index.stride):
                 passage = w[a : a + 2 * index.stride]
                 for threshold in (0.2, 0.6):
-                    want = {i: s for i, s in enumerate(plain_scores(index, passage)) if s >= threshold}
+                    want = {i: s for i, s in enumerate(plain_scores(index, passage)) if s >= threshold - D.MARGIN}
                     got = dict(index.wand(sorted({index.terms[x] for x in passage if x in index.terms}), threshold))
                     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
                     if want:
                         assert (a, min(len(w), a + 2 * index.stride)) in list(index.candidates(w, threshold))
 
 
+def test_own_text_reaches_the_whole_score(corpus):
+    items, _ = corpus
+    for block in (1, 4):
+        index = made(items, block)
+        for _, t in items:
+            w = D.words(t)
+            assert 1.0 <= max(s for _, s in index.wand(sorted({index.terms[x] for x in w}), 1.0)) + 1e-8
+            assert index.matches(t, 1.0, 1.0)
+
+
+def test_index_of_a_whole_shard_is_small():
+    r = np.random.default_rng(2)
+    items = [(i, " ".join(f"t{x}" for x in r.integers(0, 26_000, 20))) for i in range(35_000)]
+    index = made(items, 2)
+    arrays = [index.ends, index.items, index.weights, index.block_ends, index.blocks, index.maxima, index.most]
+    assert sum(a.nbytes for a in arrays) < 40 << 20
+    w = D.words(items[77][1])
+    assert 77 in {index.ids[i] for i, _ in index.wand(sorted({index.terms[x] for x in w}), 1.0)}
+
+
 def test_leaks_equal_brute_force_whatever_the_shards(spark, corpus):
     items, docs = corpus
     index = made(items)
@@ -69,7 +89,7 @@ def test_leaks_equal_brute_force_whatever_the_shards(spark, corpus):
             passage = w[a : a + 2 * index.stride]
             joined = " " + " ".join(passage) + " "
             for i, s in enumerate(plain_scores(index, passage)):
-                shares = [sum(f" {' '.join(r)} " in joined for r in part) / len(part) if part else 1 for part in (index.questions[i], index.answers[i])]
+                shares = [sum(f" {' '.join(r)} " in joined for r in part) / len(part) if part else 1 for part in index.runs_of(i)]
                 if s >= 0.6 and min(shares) >= 0.6:
                     want.add((d, index.ids[i]))
     assert len(want) >= 20
@@ -77,6 +97,7 @@ def test_leaks_equal_brute_force_whatever_the_shards(spark, corpus):
     for chars in (1 << 22, 900):
         got = D.leaks(a, b, shard_chars=chars).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        assert {r.doc_id for r in D.decontaminated(a, b, shard_chars=chars).collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert {r.doc_id for r in D.decontaminated(a, b).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
