@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all its machines share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -47,6 +49,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores before it as no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = "_" + n
+        out.append(n)
+        taken.add(n)
+    return out
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """df less the columns whose names equal one of names, upper and lower case alike."""
     low = {n.lower() for n in names}

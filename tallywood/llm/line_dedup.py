@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, staged, without
+from .common import free, let, staged, without
 
 #: Words are runs of characters other than these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,16 +97,17 @@ def line_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", min_words:
     base = without(df, ["n_lines", "n_deleted"])
     gone = repeated_lines(df, id, text, min_words)
     mine = F.col(f"`{id}`")
-    keyed = base.withColumn("__hash", F.xxhash64(F.col(f"`{text}`")))
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__h"), F.col("gone").alias("__gone"))
-    joined = keyed.join(gone, mine.eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__h")), "left")
+    h, d, k, g = free(base, "hash", "doc", "key", "gone")
+    keyed = base.withColumn(h, F.xxhash64(F.col(f"`{text}`")))
+    gone = gone.select(F.col("doc").alias(d), F.col("text_hash").alias(k), F.col("gone").alias(g))
+    joined = keyed.join(gone, mine.eqNullSafe(F.col(d)) & (F.col(h) == F.col(k)), "left")
     left = let(
         F.split(F.col(f"`{text}`"), "\n"),
-        lambda lines: F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))),
+        lambda lines: F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g)), lambda i: F.get(lines, i))),
     )
-    new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(left)
+    new = F.when(F.col(g).isNull(), F.col(f"`{text}`")).otherwise(left)
     return joined.select(
         *[new.alias(c) if c == text else F.col(f"`{c}`") for c in base.columns],
         F.coalesce(F.size(F.split(F.col(f"`{text}`"), "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_deleted"),
+        F.coalesce(F.size(g), F.lit(0)).cast("long").alias("n_deleted"),
     )

@@ -13,11 +13,21 @@ differences met so far and drops a node as soon as they exceed max_distance; whe
 left free can't exceed it, all below the node link without being looked at.
 
 A group gives a star for each set of linked fingerprints instead of all their pairs. Components of the
-stars are found by joins. Copies share one fingerprint and are never paired.
+stars are found by joins. Copies share one fingerprint and are never paired. Groups are sorted by Spark and
+searched one after the other; no task holds more than a few groups.
+
+similar_components links by similarity instead: texts whose sets of width-word shingles share at least share of
+their union. Fingerprints of 64 bits tell that only roughly (0.8 is some ten bits away, and as many as 20), too far
+for bit segments, so the groups are made otherwise: a text goes to those of its anchors, the smallest hashes
+of its set, of which two such sets nearly always have one in common. Within the groups the same index
+finds all pairs within wide bits, and each is confirmed on the whole sets. An anchor that more than frequent
+texts have (a passage that many share, a large group of copies) is passed over for the next smallest; where a text has
+no other, as in large groups of near copies, the group's texts are held against a few of its own each round,
+and those already in one component are left out, until none is left.
 
 Defined results: a null text counts as empty; no words give fingerprint zero, linked like any other;
 rows without doc_id carry no links and get the component of their fingerprint (null if no row with a
-doc_id has it); repeated rows are in one component.
+doc_id has it); repeated rows are in one component; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -28,11 +38,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, cut
+from .common import appended, cut, free
 from .graph import components
 
 FAN = 16
@@ -83,12 +93,12 @@ def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
 
 
-def linked(codes: np.ndarray, group: np.ndarray, most: int, block: int = 8192) -> np.ndarray:
-    """For codes sorted by (group, Gray rank): for each, the index of its star's centre within its group."""
+def searched(codes: np.ndarray, group: np.ndarray, most: int, block: int, every: bool) -> np.ndarray:
+    """For codes sorted by (group, Gray rank): links (2, n) between indexes; with every all pairs within most, else enough
+    of them to hold each set of linked codes together."""
     n = len(codes)
-    label = np.arange(n)
     if n < 2:
-        return label
+        return np.zeros((2, 0), np.int64)
     # levels[0] is the leaves; a level holds AND and OR of the codes below, first child, children, first and last leaf
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     one = np.ones(n, np.int64)
@@ -111,7 +121,7 @@ def linked(codes: np.ndarray, group: np.ndarray, most: int, block: int = 8192) -
             ends.append(np.stack([a, b]))
 
     close = [np.bitwise_count(~m) <= most for m in masks]  # any two below link
-    for k in range(1, len(levels)):
+    for k in range(1, 0 if every else len(levels)):
         under = np.flatnonzero(close[k])
         row, leaf = _spread(levels[k][4][under], levels[k][5][under] - levels[k][4][under])
         keep(leaf, levels[k][4][under][row])
@@ -125,9 +135,11 @@ def linked(codes: np.ndarray, group: np.ndarray, most: int, block: int = 8192) -
             fits = (acc <= most) & (levels[k][5][node] > q + 1)
             q, node, acc = q[fits], node[fits], acc[fits]
             whole = acc + np.bitwise_count(~masks[k][node]) <= most
+            if every:
+                whole[:] = False
             whole &= levels[k][4][node] > q
+            # all below link with each other too, so one link into the node is enough
             keep(q[whole], levels[k][4][node[whole]])
-            # where any two below link, one link into the node is enough, but it must be found
             q, node, acc = q[~whole], node[~whole], acc[~whole]
             row, child = _spread(levels[k][2][node], levels[k][3][node])
             q, acc = q[row], acc[row]
@@ -136,9 +148,13 @@ def linked(codes: np.ndarray, group: np.ndarray, most: int, block: int = 8192) -
             node = child
         fits = (acc <= most) & (node > q)
         keep(q[fits], node[fits])
-    if not ends:
-        return label
-    a, b = np.concatenate(ends, axis=1)
+    return np.concatenate(ends, axis=1) if ends else np.zeros((2, 0), np.int64)
+
+
+def linked(codes: np.ndarray, group: np.ndarray, most: int, block: int = 8192) -> np.ndarray:
+    """For codes sorted by (group, Gray rank): for each, the index of its star's centre within its group."""
+    a, b = searched(codes, group, most, block, every=False)
+    label = np.arange(len(codes))
     while True:  # the smallest label spreads along the links
         old = label.copy()
         np.minimum.at(label, a, label[b])
@@ -148,6 +164,31 @@ def linked(codes: np.ndarray, group: np.ndarray, most: int, block: int = 8192) -
             return label
 
 
+def by_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """The columns of whole groups, about rows rows at a time, of batches sorted by their first columns, keys of them."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(size, bool)
+        for k in range(keys):
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if last:
+            yield [c.to_numpy() for c in t.slice(0, last).columns]
+        held = t.slice(last).to_batches()
+        size -= last
+    if held:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).combine_chunks().columns]
+
+
 def segment_keys(segments: int, most: int) -> list[list[tuple[int, int]]]:
     """For each choice of segments - most segments: (first bit, bits) of its segments."""
     cuts = [round(64 * i / segments) for i in range(segments + 1)]
@@ -155,12 +196,17 @@ def segment_keys(segments: int, most: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(spans, segments - most)]
 
 
-def near_links(nodes: DataFrame, max_distance: int = 4, segments: int = 5, group_rows: int = 50_000) -> DataFrame:
+def near_links(nodes: DataFrame, max_distance: int = 4, segments: int | None = None, group_rows: int = 50_000) -> DataFrame:
     """(a, b): links whose components are those of all pairs within max_distance.
 
-    nodes: (node long, fp long), one row for each distinct fp. With the default of five segments a
-    group holds one 8192nd of the fingerprints; more segments make more and smaller groups.
+    nodes: (node long, fp long), one row for each distinct fp. By default there are as few segments, five or more, as
+    keep the mean group within group_rows: a group holds one 8192nd of the fingerprints with five of them,
+    a 2,000,000th with six.
     """
+    if segments is None:
+        n, segments = nodes.count(), max_distance + 1
+        while n >> (64 * (segments - max_distance) // segments) > group_rows and len(segment_keys(segments + 1, max_distance)) <= 120:
+            segments += 1
     choices = segment_keys(segments, max_distance)
     if max(sum(w for _, w in c) for c in choices) > 55 or len(choices) > 120:
         raise ValueError("segments: too many for the key")
@@ -179,27 +225,23 @@ def near_links(nodes: DataFrame, max_distance: int = 4, segments: int = 5, group
     pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda j: F.least(mine, j).cast("long") * 1_000_000 + F.greatest(mine, j))
     )
-    keyed = keyed.select("node", "fp", "key", F.explode(pairs).alias("pair")).repartition("key", "pair")
+    keyed = keyed.select("key", F.explode(pairs).alias("pair"), "node", "fp").repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        node, fp, k, pair = (c.to_numpy() for c in t.columns)
-        fp = fp.view(np.uint64)
-        order = np.lexsort((gray_rank(fp), pair, k))
-        node, fp, k, pair = node[order], fp[order], k[order], pair[order]
-        group = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (pair[1:] != pair[:-1]))])
-        label = linked(fp, group, max_distance)
-        on = np.flatnonzero(label != np.arange(len(label)))
-        if len(on):
-            yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[label[on]])], names=["a", "b"])
+        for k, pair, node, fp in by_groups(batches, 2):
+            fp = fp.view(np.uint64)
+            order = np.lexsort((gray_rank(fp), pair, k))
+            node, fp, k, pair = node[order], fp[order], k[order], pair[order]
+            group = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (pair[1:] != pair[:-1]))])
+            label = linked(fp, group, max_distance)
+            on = np.flatnonzero(label != np.arange(len(label)))
+            if len(on):
+                yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[label[on]])], names=["a", "b"])
 
     return keyed.mapInArrow(stars, "a long, b long").distinct()
 
 
-def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", max_distance: int = 4, segments: int = 5, width: int = 4) -> DataFrame:
+def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", max_distance: int = 4, segments: int | None = None, width: int = 4) -> DataFrame:
     """(id, fp long, component_id) for each row of df."""
     docs = cut(simhash(df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")), width=width).select("id", "fp"))
     nodes = docs.groupBy("fp").agg(F.min("id").alias("node"))
@@ -209,6 +251,125 @@ def simhash_components(df: DataFrame, id: str = "doc_id", text: str = "text", ma
     return docs.join(of, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of the runs of width words, in order; of all words where they are fewer."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    flat, of = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([of(flat, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[: len(words) - width]]).tolist()
+    return np.unique(np.fromiter([of(flat[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64, len(starts)))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65_536):
+        counts += np.unpackbits(h[at : at + 65_536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+
+
+#: A broadcast table has at most so many rows of one or two longs.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a checkpointed table, marked for a broadcast where it is short enough."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def smallest(rest: DataFrame, k: int) -> DataFrame:
+    """(key, node): the k smallest nodes of each key; every partition sends k at most."""
+    part = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")
+    some = rest.select("key", "node").distinct().withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k)
+    return some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("r") <= k).select("key", "node")
+
+
+def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5), wide: int = 24, anchors: int = 4, depth: int = 16, frequent: int = 100) -> DataFrame:
+    """(id, component_id) for each row of df: components of texts that share share (a fraction, as a pair of integers) of their shingles."""
+    raw = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+
+    def sketch():
+        def f(texts: pa.Array) -> list[pa.Array]:
+            sets = [shingles(t.as_py() or b"", width) for t in texts.cast(pa.large_binary())]
+            digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            fp = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
+            return [pa.array(digest, pa.binary()), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array([x[:depth].view(np.int64) for x in sets], pa.list_(pa.int64()))]
+
+        return f
+
+    adds = [("digest", T.BinaryType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("low", T.ArrayType(T.LongType()))]
+    docs = cut(appended(raw, sketch, ["text"], adds).select("id", "digest", "fp", "n", "low"))
+    # texts with equal sets are one node, named by the smallest id
+    nodes = cut(docs.filter("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("low").alias("low")))
+    held = nodes.select("node", F.explode("low").alias("key"))
+    counts = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > frequent).select("key"))
+    if counts.limit(1).count():
+        passed = held.join(small(counts), "key").groupBy("node").agg(F.collect_set("key").alias("common"))
+        marked = nodes.select("node", "fp", "n", "low").join(passed, "node", "left")
+        common = F.coalesce("common", F.array().cast("array<bigint>"))
+        rare = F.slice(F.array_except("low", common), 1, anchors)
+        marked = marked.select("node", "fp", "n", rare.alias("rare"), F.slice(F.array_sort(common), 1, F.greatest(anchors - F.size(rare), F.lit(0))).alias("common"))
+        marked = cut(marked)
+    else:
+        marked = nodes.select("node", "fp", "n", F.slice("low", 1, anchors).alias("rare"), F.array().cast("array<bigint>").alias("common"))
+
+    groups = marked.select(F.explode("rare").alias("key"), "node", "fp", "n").repartition("key").sortWithinPartitions("key")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, fp, n in by_groups(batches, 1):
+            twin = key[1:] == key[:-1]
+            shared = np.append(twin, False) | np.append(False, twin)
+            key, node, fp, n = key[shared], node[shared], fp[shared].view(np.uint64), n[shared].astype(np.int64)
+            order = np.lexsort((gray_rank(fp), key))
+            key, node, fp, n = key[order], node[order], fp[order], n[order]
+            a, b = searched(fp, np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]), wide, 8192, every=True)
+            fits = (np.minimum(n[a], n[b]) * share[1] >= np.maximum(n[a], n[b]) * share[0]) & (node[a] != node[b])
+            if fits.any():
+                x, y = node[a[fits]], node[b[fits]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def confirmed(candidates: DataFrame) -> DataFrame:
+        """The candidates (a, b) whose whole sets share enough, from the texts."""
+        candidates = cut(candidates.distinct())
+        ends = cut(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
+
+        def whole():
+            return lambda texts: [pa.array([shingles(t.as_py() or b"", width).view(np.int64) for t in texts.cast(pa.large_binary())], pa.list_(pa.int64()))]
+
+        sets = cut(appended(raw.join(small(ends), "id", "left_semi"), whole, ["text"], [("s", T.ArrayType(T.LongType()))]).select("id", "s").distinct())
+        x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        ok = both * share[1] >= (F.size("x") + F.size("y") - both) * share[0]
+        return cut(candidates.join(x, "a").join(y, "b").filter(ok).select("a", "b").distinct())
+
+    links = confirmed(groups.mapInArrow(near, "a long, b long"))
+    rest = cut(marked.select(F.explode("common").alias("key"), "node", "fp", "n"))
+    centres = 1
+    while True:
+        tagged = rest.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # a key whose texts all are in one component is done
+        spread = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        rest = cut(tagged.join(spread, "key", "left_semi"))
+        if not rest.limit(1).count():
+            break
+        # the smallest ones of each key, by a sketch no longer than centres
+        firsts = rest.groupBy("key").agg(F.min("node").alias("node")) if centres == 1 else smallest(rest, centres)
+        chosen = cut(rest.join(firsts, ["key", "node"], "left_semi"))
+        x = chosen.select("key", F.col("node").alias("a"), F.col("fp").alias("af"), F.col("n").alias("an"), F.col("component").alias("ac"))
+        y = rest.select("key", F.col("node").alias("b"), F.col("fp").alias("bf"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+        fits = (F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0]) & (F.bit_count(F.col("af").bitwiseXOR(F.col("bf"))) <= wide)
+        apart = x.join(y, "key").filter(fits & (F.col("ac") != F.col("bc"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = cut(links.unionByName(confirmed(apart)))
+        rest = cut(rest.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "fp", "n"))
+        centres = frequent
+    of = nodes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return docs.select("id", "digest").join(of, "digest", "left").select(F.col("id").alias(id), "component_id")
+
+
 def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of df of which no other of their component has a smaller id; rows with a null id stay.
 
@@ -220,8 +381,10 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", **options)
 
 def firsts(df: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """What near_dedup keeps, for the components found (id, component_id)."""
-    stays = found.filter(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = df.join(stays, F.col(f"`{id}`") == F.col("__id"))
+    k, n, row = free(df, "id", "n", "row")
+    stays = found.filter(F.col(id) == F.col("component_id")).groupBy(F.col(id).alias(k)).agg(F.count(F.lit(1)).alias(n))
+    kept = df.join(stays, F.col(f"`{id}`") == F.col(k))
     names = [F.col(f"`{c}`") for c in df.columns]
-    first = kept.filter("__n > 1").withColumn("__all", F.struct(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.struct(*names).alias("r"))).groupBy("__id").agg(F.min("__all").alias("m")).select("m.r.*")
-    return kept.filter("__n = 1").select(*names).unionAll(first).unionAll(df.filter(F.col(f"`{id}`").isNull()))
+    whole = F.struct(*names)
+    first = kept.filter(F.col(n) > 1).groupBy(k).agg(F.min_by(whole, F.struct(F.xxhash64(F.col(f"`{text}`")), F.to_json(whole))).alias(row)).select(f"{row}.*")
+    return kept.filter(F.col(n) == 1).select(*names).unionAll(first).unionAll(df.filter(F.col(f"`{id}`").isNull()))

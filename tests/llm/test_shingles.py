@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline as C
 import pytest
-from tallywood.llm import shingles as S
+from tallywood.llm import simhash as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,12 +44,31 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("frequent", [200, 20])
+def found_and_missed(got, sets):
+    """Links by brute force, those the components hold, and classes of got that no link holds together."""
+    want = classes(sets)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    wrong = sum(len({want[i] for i in range(len(sets)) if got[i] == c}) > 1 for c in set(got))
+    return pairs, [p for p in pairs if got[p[0]] != got[p[1]]], wrong
+
+
+@pytest.mark.parametrize("frequent", [100, 12])
 def test_components_equal_brute_force(spark, frequent):
     all_texts = texts()
     df = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")
-    got = dict(S.jaccard_components(df, frequent=frequent).select("doc_id", "component_id").collect())
-    assert [got[i] for i in range(len(all_texts))] == classes([plain(t) for t in all_texts])
+    got = dict(S.similar_components(df, frequent=frequent).select("doc_id", "component_id").collect())
+    sets = [plain(t) for t in all_texts]
+    pairs, missed, wrong = found_and_missed([got[i] for i in range(len(all_texts))], sets)
+    assert wrong == 0 and len(pairs) > 30 and len(missed) <= 0.02 * len(pairs), (len(pairs), missed)
+
+
+def test_a_large_group_of_near_copies_stays_whole(spark):
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(r, base, 2))) for i in range(400)] + [(1000 + i, " ".join(f"u{r.randrange(10**6)}" for _ in range(100))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(S.similar_components(df, frequent=20).select("doc_id", "component_id").collect())
+    assert {got[i] for i in range(400)} == {0} and len(set(got.values())) == 51
 
 
 def test_stage_drops_a_near_copy_beyond_four_bits(spark):
