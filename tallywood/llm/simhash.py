@@ -350,7 +350,10 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
     rest = cut(marked.select(F.explode("common").alias("key"), "node", "fp", "n"))
     centres = 1
     while True:
-        tagged = rest.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labels = components(links)
+        if not rest.limit(1).count():
+            break
+        tagged = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # a key whose texts all are in one component is done
         spread = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
         rest = cut(tagged.join(spread, "key", "left_semi"))
@@ -365,8 +368,8 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         apart = x.join(y, "key").filter(fits & (F.col("ac") != F.col("bc"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         links = cut(links.unionByName(confirmed(apart)))
         rest = cut(rest.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "fp", "n"))
-        centres = frequent
-    of = nodes.join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+        centres = 8 * frequent
+    of = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return docs.select("id", "digest").join(of, "digest", "left").select(F.col("id").alias(id), "component_id")
 
 
