@@ -166,6 +166,11 @@ def test_in_guard(path: Column) -> Column:
     return test_in_graph(path) & ~path.rlike(r"(?:^|/)(?:conftest|__init__|setup)\.py$")
 
 
+def is_ci(path: Column) -> Column:
+    """Whether a path is that of a file which tells a build service what to run."""
+    return path.rlike(r"(?:^|/)\.github/workflows/[^/]+\.ya?ml$|(?:^|/)(?:\.gitlab-ci\.yml|azure-pipelines\.yml|Jenkinsfile|\.travis\.yml)$|(?:^|/)\.circleci/config\.yml$")
+
+
 def in_scope(path: Column, globs: str) -> Column:
     """Whether a comma-separated list of globs holds a path: as a whole, below any folder, or after a slash."""
     out = F.lit(False)
