@@ -69,7 +69,8 @@ def normal_path(path: Column) -> Column:
     return F.when(~bad & (F.size(parts) > 0), F.concat_ws("/", parts))
 
 
-NUMBER = r"\d+(?:\.\d+)?"
+#: A number with sign and exponent; digits inside a name are none.
+NUMBER = r"(?<![\w.])[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 
 
 def numbers(text: Column) -> Column:
@@ -82,21 +83,28 @@ def skeleton(text: Column) -> Column:
 
 
 def segments(name: Column) -> Column:
-    """Lower-case parts of an identifier's last dotted part, at case changes, underscores and hyphens."""
-    last = F.regexp_extract(name, r"([^.]*)$", 1)
-    return F.filter(F.split(F.lower(F.regexp_replace(last, "([a-z0-9])([A-Z])", "$1_$2")), "[_-]+"), lambda x: x != "")
+    """Lower-case words of an identifier's last dotted part: capitals begin a word, digits are one by themselves."""
+    words = F.regexp_extract_all(F.substring_index(name, ".", -1), F.lit("([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+)"))
+    return F.transform(words, F.lower)
+
+
+#: Names of bounds from above and from below: the first are looser when they grow, the others when they fall.
+CEILINGS = ("allowance", "budget", "cap", "ceiling", "max", "retries", "timeout", "tolerance", "upper")
+FLOORS = ("coverage", "floor", "lower", "min", "quorum", "required")
 
 
 def direction(key: Column, before: Column, after: Column) -> Column:
-    """Which way of a number is looser: up, down or null. A comparator before it decides, then one after, then the key's parts."""
-    parts = segments(key)
-    words = lambda *w: F.arrays_overlap(parts, F.array(*[F.lit(x) for x in w]))
-    return (
-        F.when(before.rlike(r"(?:<=?)\s*$"), "up").when(before.rlike(r"(?:>=?)\s*$"), "down")
-        .when(after.rlike(r"^\s*<=?"), "down").when(after.rlike(r"^\s*>=?"), "up")
-        .when(words("max", "maximum", "limit", "most", "tolerance", "timeout", "budget"), "up")
-        .when(words("min", "minimum", "least", "floor", "coverage", "threshold"), "down")
-    )
+    """Which way of a number is looser: up, down or null.
+
+    A comparison on either side tells it (``x < 5`` and ``5 > x`` bound x from above), and one for equality
+    leaves it open. Without any, the words of the key do, unless they name bounds of both kinds.
+    """
+    left, right = F.regexp_extract(before, r"([<>=!]=?)\s*$", 1), F.regexp_extract(after, r"^\s*([<>=!]=?)", 1)
+    sign = F.substring(F.when(left.rlike("[<>]|[=!]="), left).otherwise(F.translate(right, "<>", "><")), 1, 1)
+    exact = left.isin("==", "!=") | right.isin("==", "!=")
+    held = lambda words: F.arrays_overlap(segments(key), F.array(*map(F.lit, words)))
+    named = F.when(held(CEILINGS) & ~held(FLOORS), "up").when(held(FLOORS) & ~held(CEILINGS), "down")
+    return F.when(exact, F.lit(None)).when(sign == "<", "up").when(sign == ">", "down").otherwise(named)
 
 
 def blob_id(body: Column) -> Column:

@@ -19,11 +19,9 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).filter("r <= 2").select("src", "dst", F.when(F.col("r") == 1, "import").otherwise("calls").alias("kind"))
 
 
-def user_edges(spark: SparkSession, sf_dir: str, fifth: bool = True) -> DataFrame:
-    """Each user to the user of the next error event: of every fifth event, as USERS has it, or of all."""
+def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user to the user of the next error event."""
     e = table(spark, sf_dir, "events").filter("event_type = 'error'").select("ts", "event_id", "user_id")
-    if fifth:
-        e = e.filter("event_id % 5 = 0")
     ordered = graph.ranked(e, ["ts", "event_id"])
     after = ordered.select((F.col("rank") - 1).alias("rank"), F.col("user_id").alias("dst"))
     return ordered.select("rank", F.col("user_id").alias("src")).join(after, "rank").filter("src <> dst").select("src", "dst", F.lit("import").alias("kind"))
@@ -35,7 +33,7 @@ p AS (SELECT a.n AS src, b.n AS dst, count(*) AS c FROM l a JOIN l b ON a.l_orde
 e AS (SELECT src, dst, CASE WHEN r = 1 THEN 'import' ELSE 'calls' END AS kind FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS r FROM p) WHERE r <= 2)
 """
 USERS = """
-v AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error' AND event_id % 5 = 0),
+v AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error'),
 e AS (SELECT src, dst, 'import' AS kind FROM v WHERE src <> dst)
 """
 _DEGREES = """, d AS (SELECT node, count(DISTINCT i) AS in_degree, count(DISTINCT o) AS out_degree FROM (
@@ -106,7 +104,7 @@ def graph_cycles_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of users by next errors, of all error events."""
-    return graph.clusters(user_edges(spark, sf_dir, fifth=False))
+    return graph.clusters(user_edges(spark, sf_dir))
 
 
 @query()

@@ -43,14 +43,14 @@ def guard_removed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS a FROM part WHERE p_size <= 25 GROUP BY 1), n AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS a FROM part WHERE p_size > 25 AND p_partkey % 3 = 0 GROUP BY 1)
+WITH b AS (SELECT p_brand, list_sort(list(DISTINCT p_type || ' ' || p_size % 25)) AS a FROM part WHERE p_size <= 25 GROUP BY 1), n AS (SELECT p_brand, list_sort(list(DISTINCT p_type || ' ' || p_size % 25)) AS a FROM part WHERE p_size > 25 GROUP BY 1)
 SELECT b.p_brand, list_sort(list_filter(b.a, lambda x: NOT list_contains(coalesce(n.a, []), x))) AS lost FROM b LEFT JOIN n ON b.p_brand = n.p_brand
 WHERE len(list_filter(b.a, lambda x: NOT list_contains(coalesce(n.a, []), x))) > 0""")
 def lost_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List entries that a key has lost between two snapshots."""
-    part = table(spark, sf_dir, "part")
-    b = part.filter("p_size <= 25").groupBy("p_brand").agg(F.collect_set("p_type").alias("before"))
-    n = part.filter("p_size > 25 AND p_partkey % 3 = 0").groupBy("p_brand").agg(F.collect_set("p_type").alias("now"))
+    part = table(spark, sf_dir, "part").withColumn("entry", F.concat_ws(" ", "p_type", (F.col("p_size") % 25).cast("string")))
+    b = part.filter("p_size <= 25").groupBy("p_brand").agg(F.collect_set("entry").alias("before"))
+    n = part.filter("p_size > 25").groupBy("p_brand").agg(F.collect_set("entry").alias("now"))
     lost = F.sort_array(F.array_except("before", F.coalesce("now", F.array().cast("array<string>"))))
     return b.join(n, "p_brand", "left").select("p_brand", lost.alias("lost")).filter(F.size("lost") > 0)
 

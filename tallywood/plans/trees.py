@@ -51,7 +51,7 @@ def _path(k: str, kind: int) -> str:
 
 @query(f"""
 WITH f AS ({FILES})
-SELECT path, CASE k % 10 WHEN 0 THEN 'python' WHEN 4 THEN 'python' WHEN 1 THEN 'javascript' WHEN 8 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 7 THEN 'typescript' WHEN 3 THEN 'markdown' WHEN 5 THEN 'yaml' ELSE 'json' END AS language,
+SELECT path, CASE k % 10 WHEN 0 THEN 'python' WHEN 4 THEN 'python' WHEN 1 THEN 'javascript' WHEN 8 THEN 'javascript' WHEN 2 THEN 'typescript' WHEN 7 THEN 'typescript' WHEN 3 THEN 'markdown' WHEN 6 THEN 'json' WHEN 9 THEN 'json' END AS language,
   CASE WHEN k % 10 IN (0, 1, 2, 4, 7, 8) THEN 'code' WHEN k % 10 = 3 THEN 'prose' ELSE 'data' END AS kind,
   CASE k % 10 WHEN 0 THEN 16 WHEN 1 THEN 6 WHEN 3 THEN 12 WHEN 4 THEN 13 WHEN 5 THEN 7 WHEN 7 THEN 0 ELSE 1 END AS n_lines,
   k % 10 = 4 AS in_tests, k % 10 = 5 AS is_ci, CASE WHEN k % 10 = 8 THEN 'name' END AS generated, k % 10 IN (0, 4) AS in_python_scope,

@@ -53,9 +53,10 @@ def test_scalar_functions(spark):
     assert one(T.slug(s("  Añ b! C "))) == "a-b-c" and one(T.slug(s("--"))) == "unnamed" and one(T.route_slug(s("/"))) == "root"
     assert one(T.longest_fixed(s("/a/{id}/long/:x/b"))) == "/long/"
     assert one(T.normal_path(s("a/./b//c"))) == "a/b/c" and one(T.normal_path(s("a/../b"))) is None
-    assert one(T.numbers(s("a 1.5 b 20"))) == [1.5, 20.0] and one(T.skeleton(s("x1.5y2"))) == "x#y#"
+    assert one(T.numbers(s("a 1.5 b 20"))) == [1.5, 20.0] and one(T.skeleton(s("x1 = 1.5, y2 = -2e3"))) == "x1 = #, y2 = #" and one(T.numbers(s("a -5 b-3 1e2"))) == [-5.0, 3.0, 100.0]
     assert one(T.segments(s("cfg.maxRetryCount_ms"))) == ["max", "retry", "count", "ms"]
-    assert one(T.direction(s("maxDelay"), s("x = "), s(";"))) == "up" and one(T.direction(s("a"), s("a >= "), s(""))) == "down"
+    assert one(T.direction(s("maxDelay"), s("x = "), s(";"))) == "up" and one(T.direction(s("a"), s("a >= "), s(""))) == "down" and one(T.direction(s("a"), s(""), s(" > a"))) == "up"
+    assert one(T.direction(s("max"), s("a == "), s(""))) is None and one(T.direction(s("minOfMax"), s(""), s(""))) is None
     assert one(T.blob_id(F.encode(s("abc"), "UTF-8"))) == "f2ba8f84ab5c1bce84a7b441cb1959cfc7093b7f"
     assert one(T.face(s("User - all"))) == "user" and one(T.face(s("whoever"))) is None
     assert one(T.in_scope(s("src/a/b.py"), "*.py, docs/*")) and not one(T.in_scope(s("src/a.js"), "*.py"))
