@@ -1,17 +1,24 @@
-"""License scan (operator 10): sparse TF-IDF cosine of lines to templates, then inheritance by directory.
+"""License scan (operator 10): sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-Every line of a file is a header candidate, whole texts are read. Terms are lower-cased runs of letters
-and digits, joined by dots or hyphens inside; STOP words carry no weight. The inverse document
-frequency is that over the templates, ln((1 + n) / (1 + df)) + 1, so a term no template has weighs most.
-A line matches the template of the highest cosine if that is threshold or more; of several lines the
-best one gives the file's license (ties: first name in the alphabet).
+A template is a paragraph of a licence's text or notice, or a line that names it (license_texts). A file's
+units are its lines, their sentences and its paragraphs (lines up to a blank one), so wrapped headers and whole licence
+files are compared too; whole texts are read. Terms are lower-cased runs of letters and digits, joined by
+dots or hyphens inside; STOP words carry no weight. The inverse document frequency is that over the
+templates, ln((1 + n) / (1 + df)) + 1, so a term no template has weighs most. Units without any of WORDS,
+one of which every template has, aren't compared.
+
+A unit matches a template at a cosine of threshold or more, and speaks for the licence of its best match, or for
+all of them if licences share a text. A file's license is that with the largest sum of such cosines of lines and
+paragraphs (ties: of sentences, then the first name in the alphabet), but one that only reserves rights
+("proprietary") comes last; the file's cosine is the best one of that license.
 
 Files called LICENSE, LICENCE, COPYING or NOTICE, whatever follows, speak for their directory: the
 license most of them match (ties: first name). A file without a license of its own inherits that of the
 nearest directory above it that has one, by joins of each directory's ancestors.
 
 Defined results: null and empty texts match nothing; a null path inherits nothing; rows of equal path
-are one file and get one result; a path without a slash lies in the directory ''.
+are one file and get one result; a path without a slash lies in the directory ''; columns of any name but those
+added pass through.
 """
 
 from __future__ import annotations
@@ -21,76 +28,71 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, without
-
-#: (license, sentence that announces it)
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("proprietary", "All rights reserved."),
-)
+from .common import cut, free, small, without
+from .license_texts import TEMPLATES
+
 STOP = ("a", "all", "and", "are", "by", "for", "form", "in", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without", "work")
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 NAMED = r"^(?:LICEN[CS]E|COPYING|NOTICE)"
+#: Every template holds one of these.
+WORDS = r"licen[cs]|copyright|warrant|redistribut|permission|rights reserved|cc0|proprietary|public domain|distribut"
 
 
 def terms(text: str) -> Counter:
     return Counter(t for t in re.findall(TERM, text.lower()) if t not in STOP)
 
 
-def weights(templates: Sequence[tuple[str, str]]) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(license, term, weight of unit length by inverse document frequency), frequencies' logs, that of an unknown term."""
+def weights(templates: Sequence[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+    """(number, license, term, weight of unit length by inverse document frequency), frequencies' logs, that of an unknown term."""
     counts = [(n, terms(t)) for n, t in templates]
     df = Counter(t for _, c in counts for t in c)
     idf = {t: math.log((1 + len(counts)) / (1 + k)) + 1 for t, k in df.items()}
     rows = []
-    for name, c in counts:
+    for i, (name, c) in enumerate(counts):
         size = math.sqrt(sum((f * idf[t]) ** 2 for t, f in c.items()))
-        rows += [(name, t, f * idf[t] / size) for t, f in sorted(c.items())]
+        rows += [(i, name, t, f * idf[t] / size) for t, f in sorted(c.items())]
     return rows, idf, math.log(1 + len(counts)) + 1
 
 
 def own_licenses(files: DataFrame, path: str, text: str, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
     """(path, license, cosine) of each file that has one."""
     spark = files.sparkSession
+    if lacking := [t for _, t in templates if not re.search(WORDS, t.lower())]:
+        raise ValueError(f"templates without any of WORDS: {lacking}")
     rows, idf, unknown = weights(templates)
-    some = "|".join(re.escape(t) for t in sorted(idf))
-    # A line of k known and u unknown terms has a cosine of threshold only if, with the largest weight of
-    # a known term, (k * most)^2 * (1 - threshold^2) >= threshold^2 * u * unknown^2: an unknown term that
-    # stands f times weighs (f * unknown)^2, no less than f times unknown^2. Other lines go before any shuffle.
-    most, share = max(idf.values(), default=0.0), (threshold - 1e-4) ** 2  # cosines are rounded to four places
-
-    def may_match(line: Column) -> Column:
-        own = F.filter(F.regexp_extract_all(line, F.lit(f"({TERM})")), lambda t: ~t.isin(*STOP))
-        return let(own, lambda w: let(F.size(F.filter(w, lambda t: t.isin(*sorted(idf)))), lambda k: F.pow(k * most, F.lit(2.0)) * (1 - share) + 1e-9 >= share * unknown**2 * (F.size(w) - k)))
-
-    whole = F.split(F.lower(F.col(f"`{text}`")), "\n")
-    some_lines = F.filter(F.filter(whole, lambda x: x.rlike(rf"(?<![a-z0-9])(?:{some})(?![a-z0-9])")), may_match)
-    lines = files.select(F.col(f"`{path}`").alias("path"), F.explode(some_lines).alias("line")).filter(F.col("path").isNotNull())
-    tf = lines.distinct().select("path", F.xxhash64("line").alias("line"), F.explode(F.regexp_extract_all("line", F.lit(f"({TERM})"))).alias("term")).filter(~F.col("term").isin(*STOP))
-    tf = tf.groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("f"))
+    whole = F.lower(F.col(f"`{text}`"))
+    lined = F.filter(F.split(whole, "\\n"), lambda x: x.rlike(WORDS))
+    sentences = F.flatten(F.transform(lined, lambda x: F.split(x, r"[.;][ \t]+")))
+    named = lambda of, is_whole: F.transform(of, lambda u: F.struct(u.alias("line"), F.lit(is_whole).alias("whole")))
+    units = F.filter(F.array_distinct(F.concat(named(lined, True), named(sentences, False), named(F.split(whole, r"\n[ \t\r]*\n"), True))), lambda u: u["line"].rlike(WORDS))
+    some = files.filter(whole.rlike(WORDS) & F.col(f"`{path}`").isNotNull())
+    lines = some.select(F.col(f"`{path}`").alias("path"), F.explode(units).alias("u")).select("path", "u.line", "u.whole")
+    tf = lines.distinct().select("path", F.xxhash64("line", "whole").alias("line"), "whole", F.explode(F.regexp_extract_all("line", F.lit(f"({TERM})"))).alias("term")).filter(~F.col("term").isin(*STOP))
+    tf = tf.groupBy("path", "line", "whole", "term").agg(F.count(F.lit(1)).alias("f"))
     # as many rows as the templates have terms
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    vectors = F.broadcast(spark.createDataFrame(rows, "license string, term string, w double"))
+    vectors = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))
     weighed = tf.join(known, "term", "left").withColumn("x", F.col("f") * F.coalesce("idf", F.lit(unknown)))
-    sizes = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = weighed.join(vectors, "term").groupBy("path", "line", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    cosines = dots.join(sizes, ["path", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 4)).filter(F.col("cosine") >= threshold)
-    return cosines.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m")).select("path", F.col("m.license").alias("license"), (-F.col("m.c")).alias("cosine"))
+    sizes = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"), F.sum(F.when(F.col("idf").isNotNull(), F.col("x") * F.col("x"))).alias("mine"))
+    # the cosine to any template is at most the share of the known terms
+    sizes = sizes.filter(F.sqrt("mine") >= (threshold - 1e-4) * F.col("size")).select("path", "line", "size")
+    dots = weighed.join(sizes, ["path", "line"]).join(vectors, "term").groupBy("path", "line", "whole", "template", "license").agg((F.sum(F.col("x") * F.col("w")) / F.first("size")).alias("cosine"))
+    cosines = dots.withColumn("cosine", F.round("cosine", 4)).filter(F.col("cosine") >= threshold)
+    # a unit speaks for the licences it is nearest to; a list is no longer than the licences are many
+    near = cosines.groupBy("path", "line", "whole", "license").agg(F.max("cosine").alias("cosine")).groupBy("path", "line", "whole").agg(F.collect_list(F.struct("cosine", "license")).alias("c"))
+    said = near.select("path", "whole", F.explode(F.filter("c", lambda x: x["cosine"] == F.array_max("c")["cosine"])).alias("c"))
+    best = said.groupBy("path", F.col("c.license").alias("license")).agg(*[F.round(F.sum(F.when(F.col("whole") == w, F.col("c.cosine")).otherwise(0.0)), 4).alias(n) for n, w in (("all", True), ("more", False))], F.max("c.cosine").alias("cosine"))
+    order = F.struct((F.col("license") == "proprietary").alias("p"), (-F.col("all")).alias("s"), (-F.col("more")).alias("t"), "license", "cosine")
+    return best.groupBy("path").agg(F.min(order).alias("m")).select("path", "m.license", "m.cosine")
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
     """files with own_license, cosine, license and inherited_from (a directory, or null); columns of these names are replaced."""
     base = without(files, ["own_license", "cosine", "license", "inherited_from"])
+    d, up, lic = free(base, "dir", "up", "dir_license")
     own = own_licenses(base, path, text, templates, threshold)
     folder = F.when(F.col(f"`{path}`").contains("/"), F.regexp_replace(F.col(f"`{path}`"), "/[^/]*$", "")).when(F.col(f"`{path}`").isNotNull(), "")
     named = own.filter(F.regexp_extract("path", r"([^/]*)$", 1).rlike(NAMED)).withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(""))
@@ -98,13 +100,16 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: Se
     dirs = base.select(folder.alias("dir")).filter("dir IS NOT NULL").distinct()
     steps = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.concat_ws("/", F.slice(steps, 1, k)).alias("up")))).alias("a")).select("dir", "a.depth", "a.up").distinct()
-    nearest = above.join(spoken.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "dir_license")).alias("m")).select(F.col("dir").alias("__dir"), F.col("m.up").alias("__up"), F.col("m.dir_license").alias("__license"))
-    found = base.withColumn("__mine", folder).join(own.select(F.col("path").alias("__path"), F.col("license").alias("__own"), F.col("cosine").alias("__cosine")), F.col(f"`{path}`") == F.col("__path"), "left")
-    found = found.join(nearest, F.col("__mine") == F.col("__dir"), "left")
+    nearest = above.join(spoken.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "dir_license")).alias("m")).select(F.col("dir").alias(d), F.col("m.up").alias(up), F.col("m.dir_license").alias(lic))
+    # as long as there are directories: broadcast if short, else a written table, so that a hot directory can be split
+    nearest = small(cut(nearest))
+    mine, key, own_license, cosine = free(base, "mine", "key", "own", "cos")
+    found = base.withColumn(mine, folder).join(own.select(F.col("path").alias(key), F.col("license").alias(own_license), F.col("cosine").alias(cosine)), F.col(f"`{path}`") == F.col(key), "left")
+    found = found.join(nearest, F.col(mine) == F.col(d), "left")
     return found.select(
         *[F.col(f"`{c}`") for c in base.columns],
-        F.col("__own").alias("own_license"),
-        F.col("__cosine").alias("cosine"),
-        F.coalesce("__own", "__license").alias("license"),
-        F.when(F.col("__own").isNull(), F.col("__up")).alias("inherited_from"),
+        F.col(own_license).alias("own_license"),
+        F.col(cosine).alias("cosine"),
+        F.coalesce(own_license, lic).alias("license"),
+        F.when(F.col(own_license).isNull(), F.col(up)).alias("inherited_from"),
     )

@@ -201,31 +201,40 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    rows, idf, unknown = licenses.weights(licenses.TEMPLATES)
+    """The texts of the templates are all that the SQL has of the operator; it weighs them itself."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    vectors = ", ".join(f"({quoted(n)}, {quoted(t)}, {w!r}::DOUBLE)" for n, t, w in rows)
-    known = ", ".join(f"({quoted(t)}, {x!r}::DOUBLE)" for t, x in sorted(idf.items()))
-    stop = ", ".join(map(quoted, licenses.STOP))
+    given = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    stop, words, term = ", ".join(map(quoted, licenses.STOP)), licenses.WORDS, licenses.TERM
     return rf"""
 WITH files AS (
   SELECT doc_id, text, CASE WHEN length(text) < 1000 THEN source || '/' || lang || '/LICENSE-' || doc_id
          ELSE source || '/' || lang || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path FROM documents
-), vectors(license, term, w) AS (VALUES {vectors}), known(term, idf) AS (VALUES {known}),
-lines AS (
-  SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(lower(text), chr(10))) AS line FROM files)
+), templates(template, license, body) AS (VALUES {given}),
+counted AS (
+  SELECT template, license, term, count(*) AS f FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '{term}')) AS term FROM templates)
+  WHERE term NOT IN ({stop}) GROUP BY ALL
+), n AS (SELECT count(*) AS n FROM templates), known AS (
+  SELECT term, ln((1 + (SELECT n FROM n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM counted GROUP BY term
+), vectors AS (
+  SELECT template, license, term, f * idf / sqrt(sum((f * idf) * (f * idf)) OVER (PARTITION BY template)) AS w FROM counted JOIN known USING (term)
+), lines AS (
+  SELECT DISTINCT path, line, whole FROM (
+    SELECT path, unnest(string_split(lower(text), chr(10)) || regexp_split_to_array(lower(text), '\n[ \t\r]*\n')) AS line, true AS whole FROM files
+    UNION ALL SELECT path, unnest(regexp_split_to_array(x, '[.;][ \t]+')), false FROM (SELECT path, unnest(string_split(lower(text), chr(10))) AS x FROM files) WHERE regexp_matches(x, '{words}'))
+  WHERE regexp_matches(line, '{words}')
 ), tf AS (
-  SELECT path, line, term, count(*) AS f FROM (
-    SELECT path, line, unnest(regexp_extract_all(line, '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS term FROM lines
-    WHERE regexp_matches(line, 'licen|reserved|redistribut|attribution|apache|mit|gnu|bsd|cc|mozilla|creative|public|version|source|rights|binary'))
+  SELECT path, line, whole, term, count(*) AS f FROM (SELECT path, line, whole, unnest(regexp_extract_all(line, '{term}')) AS term FROM lines)
   WHERE term NOT IN ({stop}) GROUP BY ALL
 ), weighed AS (
-  SELECT tf.*, f * coalesce(idf, {unknown!r}::DOUBLE) AS x FROM tf LEFT JOIN known USING (term)
-), sizes AS (SELECT path, line, sqrt(sum(x * x)) AS size FROM weighed GROUP BY ALL
-), dots AS (SELECT path, line, license, sum(x * w) AS dot FROM weighed JOIN vectors USING (term) GROUP BY ALL
+  SELECT tf.*, f * coalesce(idf, ln((1 + (SELECT n FROM n))::DOUBLE) + 1) AS x FROM tf LEFT JOIN known USING (term)
+), sizes AS (SELECT path, line, whole, sqrt(sum(x * x)) AS size FROM weighed GROUP BY ALL
+), dots AS (SELECT path, line, whole, template, license, sum(x * w) AS dot FROM weighed JOIN vectors USING (term) GROUP BY ALL
 ), cosines AS (
-  SELECT path, license, round(dot / size, 4) AS cosine FROM dots JOIN sizes USING (path, line) WHERE round(dot / size, 4) >= 0.6
+  SELECT path, line, whole, license, max(round(dot / size, 4)) AS cosine FROM dots JOIN sizes USING (path, line, whole) WHERE round(dot / size, 4) >= 0.6 GROUP BY ALL
+), said AS (SELECT * FROM cosines QUALIFY cosine = max(cosine) OVER (PARTITION BY path, line, whole)
+), scored AS (SELECT path, license, round(sum(CASE WHEN whole THEN cosine ELSE 0 END), 4) AS score, round(sum(CASE WHEN whole THEN 0 ELSE cosine END), 4) AS more, max(cosine) AS cosine FROM said GROUP BY ALL
 ), own AS (
-  SELECT path, license, cosine FROM cosines QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1
+  SELECT path, license, cosine FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY license = 'proprietary', score DESC, more DESC, license) = 1
 ), spoken AS (
   SELECT dir, license FROM (
     SELECT regexp_replace(path, '/[^/]*$', '') AS dir, license, count(*) AS n FROM own WHERE regexp_matches(path, '/LICENSE[^/]*$') GROUP BY ALL)

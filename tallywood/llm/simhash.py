@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, cut, free
+from .common import appended, cut, free, small
 from .graph import components
 
 FAN = 16
@@ -272,15 +272,6 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-#: A broadcast table has at most so many rows of one or two longs.
-SMALL_ROWS = 1_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, a checkpointed table, marked for a broadcast where it is short enough."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
 def smallest(rest: DataFrame, k: int) -> DataFrame:
     """(key, node): the k smallest nodes of each key; every partition sends k at most."""
     part = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")
