@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary_files import read_files, write_blocks
-from .common import fresh_path
+from .common import SMALL_ROWS, cut, fresh_path, small
 
 SKIPPABLE, SEEK_TABLE, END_MARK = 0x184D2A5D, 0x184D2A5E, struct.pack("<I", 0x8F92EAB1)
 DATE = "1970-01-01T00:00:00Z"
@@ -40,8 +40,14 @@ def with_kind(pages: DataFrame, id: str, url: str, payload: str, min_bytes: int)
     body = F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload").cast("long")})
-    groups = rows.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = rows.join(groups.filter("n > 1").select("digest", "first"), "digest", "left")
+    # digests alone are grouped: no payload is shuffled for it, and a common page is counted where it stands
+    heads = rows.select("id", "digest", "size").filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    heads = small(cut(heads.filter("n > 1").select("digest", "first")))
+    if heads.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        joined = rows.join(heads, "digest", "left")
+    else:  # payloads are joined by their own ids, not by a digest that many share
+        of = cut(rows.select("id", "digest").join(heads, "digest").distinct())
+        joined = rows.join(of.select(F.col("id").alias("of"), F.col("digest").alias("same"), "first"), F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")), "left")
     other = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     # a revisit's payload isn't needed any more
     return joined.select("id", "url", F.when(other.isNull(), F.col("payload")).alias("payload"), "digest", "size", other.alias("first"))
