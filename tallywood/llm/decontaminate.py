@@ -71,6 +71,8 @@ def runs(w: list[str]) -> set[tuple[str, ...]]:
 MARGIN = 1e-9
 #: Postings whose bounds are added up at once.
 AT_ONCE = 1 << 20
+#: A small shard's block maxima are looked up in a table of so many cells at most.
+TABLE_CELLS = 1 << 20
 
 
 @dataclass(eq=False)
@@ -165,6 +167,15 @@ class Index:
             lists = [c for c in lists if c[2] < len(c[0])]
         return found
 
+    def table(self, n_blocks: int) -> np.ndarray | None:
+        """The block maxima as a table (terms, blocks), if that has TABLE_CELLS cells at most."""
+        if "_table" not in self.__dict__:
+            self._table = None
+            if len(self.terms) * n_blocks <= TABLE_CELLS:
+                self._table = np.zeros((len(self.terms), n_blocks))
+                self._table[np.repeat(np.arange(len(self.terms)), np.diff(self.block_ends, prepend=0)), self.blocks] = self.maxima
+        return self._table
+
     def candidates(self, w: list[str], threshold: float) -> Iterator[tuple[int, int]]:
         """(first word, end) of each passage for which some block's maxima add up to threshold."""
         at, ids = self._known(w)
@@ -180,9 +191,10 @@ class Index:
         passage, ids = passage[fits], ids[fits]
         if not len(ids):
             return
-        low = np.where(ids > 0, self.block_ends[ids - 1], 0)
-        count = self.block_ends[ids] - low
         n_blocks = int(self.blocks.max()) + 1
+        table = self.table(n_blocks)
+        low = np.where(ids > 0, self.block_ends[ids - 1], 0)
+        count = self.block_ends[ids] - low if table is None else np.full(len(ids), n_blocks)
         begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         upto = np.cumsum(count)
         lo = 0
@@ -191,6 +203,12 @@ class Index:
             hi = max(lo + 1, int(np.searchsorted(upto[np.append(begin[1:], len(ids)) - 1], before + AT_ONCE, side="right")))
             a, b = begin[lo], begin[hi] if hi < len(begin) else len(ids)
             n = count[a:b]
+            if table is not None:
+                sums = np.add.reduceat(table[ids[a:b]], begin[lo:hi] - a, axis=0)
+                for k in passage[begin[lo:hi][sums.max(axis=1) >= least]].tolist():
+                    yield k * self.stride, min(len(w), (k + 2) * self.stride)
+                lo = hi
+                continue
             flat = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
             own = np.repeat(passage[a:b], n) * n_blocks + self.blocks[flat]
             where, to = np.unique(own, return_inverse=True)

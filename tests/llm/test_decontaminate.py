@@ -43,7 +43,10 @@ def plain_scores(index, passage):
     return out
 
 
-def test_wand_finds_what_scoring_all_finds(corpus):
+@pytest.mark.parametrize("cells", [D.TABLE_CELLS, 0])
+def test_wand_finds_what_scoring_all_finds(corpus, monkeypatch, cells):
+    monkeypatch.setattr(D, "TABLE_CELLS", cells)
+    monkeypatch.setattr(D, "AT_ONCE", 500)
     items, docs = corpus
     for block in (1, 4, 64):
         index = made(items, block)
