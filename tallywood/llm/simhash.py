@@ -21,9 +21,12 @@ their union. Fingerprints of 64 bits tell that only roughly (0.8 is some ten bit
 for bit segments, so the groups are made otherwise: a text goes to those of its anchors, the smallest hashes
 of its set, of which two such sets nearly always have one in common. Within the groups the same index
 finds all pairs within wide bits, and each is confirmed on the whole sets. An anchor that more than frequent
-texts have (a passage that many share, a large group of copies) is passed over for the next smallest; where a text has
-no other, as in large groups of near copies, the group's texts are held against a few of its own each round,
-and those already in one component are left out, until none is left.
+texts have (a passage that many share, a large group of copies) is passed over for the next smallest. A text that
+so has fewer than anchors of them, as in a large group of near copies, is also entered for the smallest of all the shingles
+that frequent texts of its kind or fewer share, and held against one text of each common anchor, round after
+round with what isn't linked yet, until a round links nothing more. Work stays in proportion to the rows: pairs of
+a large group are never all looked at. What can be missed there are two texts that link with each other, with none
+of the texts they were held against, and share no shingle that few have; that takes the same long deletions.
 
 Defined results: a null text counts as empty; no words give fingerprint zero, linked like any other;
 rows without doc_id carry no links and get the component of their fingerprint (null if no row with a
@@ -38,7 +41,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,13 +275,6 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def smallest(rest: DataFrame, k: int) -> DataFrame:
-    """(key, node): the k smallest nodes of each key; every partition sends k at most."""
-    part = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")
-    some = rest.select("key", "node").distinct().withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k)
-    return some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("r") <= k).select("key", "node")
-
-
 def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5), wide: int = 24, anchors: int = 4, depth: int = 16, frequent: int = 100) -> DataFrame:
     """(id, component_id) for each row of df: components of texts that share share (a fraction, as a pair of integers) of their shingles."""
     raw = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -296,6 +292,15 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
     docs = cut(appended(raw, sketch, ["text"], adds).select("id", "digest", "fp", "n", "low"))
     # texts with equal sets are one node, named by the smallest id
     nodes = cut(docs.filter("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("low").alias("low")))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, s): the whole sets of some rows, from their texts."""
+
+        def whole():
+            return lambda texts: [pa.array([shingles(t.as_py() or b"", width).view(np.int64) for t in texts.cast(pa.large_binary())], pa.list_(pa.int64()))]
+
+        return appended(raw.join(small(ids), "id", "left_semi"), whole, ["text"], [("s", T.ArrayType(T.LongType()))]).select("id", "s")
+
     held = nodes.select("node", F.explode("low").alias("key"))
     counts = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > frequent).select("key"))
     if counts.limit(1).count():
@@ -305,6 +310,13 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         rare = F.slice(F.array_except("low", common), 1, anchors)
         marked = marked.select("node", "fp", "n", rare.alias("rare"), F.slice(F.array_sort(common), 1, F.greatest(anchors - F.size(rare), F.lit(0))).alias("common"))
         marked = cut(marked)
+        # what sets a member of a large group apart are the shingles that its base doesn't have, wherever they stand
+        few = cut(marked.filter(F.size("common") > 0).select(F.col("node").alias("id")))
+        spelled = sets_of(few).select(F.col("id").alias("node"), F.explode("s").alias("key")).distinct()
+        own = cut(spelled)
+        frequent_ones = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") == 1) | (F.col("c") > frequent)).select("key"))
+        own = own.join(frequent_ones, "key", "left_anti").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, 2 * anchors).alias("deep"))
+        marked = cut(marked.join(own, "node", "left").withColumn("rare", F.array_union("rare", F.coalesce("deep", F.array().cast("array<bigint>")))).drop("deep"))
     else:
         marked = nodes.select("node", "fp", "n", F.slice("low", 1, anchors).alias("rare"), F.array().cast("array<bigint>").alias("common"))
 
@@ -328,10 +340,7 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         candidates = cut(candidates.distinct())
         ends = cut(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
 
-        def whole():
-            return lambda texts: [pa.array([shingles(t.as_py() or b"", width).view(np.int64) for t in texts.cast(pa.large_binary())], pa.list_(pa.int64()))]
-
-        sets = cut(appended(raw.join(small(ends), "id", "left_semi"), whole, ["text"], [("s", T.ArrayType(T.LongType()))]).select("id", "s").distinct())
+        sets = cut(sets_of(ends).distinct())
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         ok = both * share[1] >= (F.size("x") + F.size("y") - both) * share[0]
@@ -339,27 +348,22 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
 
     links = confirmed(groups.mapInArrow(near, "a long, b long"))
     rest = cut(marked.select(F.explode("common").alias("key"), "node", "fp", "n"))
-    centres = 1
     while True:
-        labels = components(links)
+        labels = cut(components(links))
         if not rest.limit(1).count():
             break
-        tagged = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # a key whose texts all are in one component is done
-        spread = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        rest = cut(tagged.join(spread, "key", "left_semi"))
-        if not rest.limit(1).count():
-            break
-        # the smallest ones of each key, by a sketch no longer than centres
-        firsts = rest.groupBy("key").agg(F.min("node").alias("node")) if centres == 1 else smallest(rest, centres)
-        chosen = cut(rest.join(firsts, ["key", "node"], "left_semi"))
-        x = chosen.select("key", F.col("node").alias("a"), F.col("fp").alias("af"), F.col("n").alias("an"), F.col("component").alias("ac"))
-        y = rest.select("key", F.col("node").alias("b"), F.col("fp").alias("bf"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+        tagged = cut(rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        # one text of each key against the others that aren't in its component; a key whose texts all are in one is done
+        first = cut(tagged.groupBy("key").agg(F.min(F.struct("node", "fp", "n", "component")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi"))
+        x = first.select("key", F.col("m.node").alias("a"), F.col("m.fp").alias("af"), F.col("m.n").alias("an"), F.col("m.component").alias("ac"))
+        y = tagged.select("key", F.col("node").alias("b"), F.col("fp").alias("bf"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+        other = y.join(small(cut(x)), "key").filter(F.col("ac") != F.col("bc"))
         fits = (F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0]) & (F.bit_count(F.col("af").bitwiseXOR(F.col("bf"))) <= wide)
-        apart = x.join(y, "key").filter(fits & (F.col("ac") != F.col("bc"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = cut(links.unionByName(confirmed(apart)))
-        rest = cut(rest.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "fp", "n"))
-        centres = 8 * frequent
+        new = confirmed(other.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        if not new.limit(1).count():
+            break
+        links = cut(links.unionByName(new))
+        rest = cut(other.select("key", F.col("b").alias("node"), F.col("bf").alias("fp"), F.col("bn").alias("n")))
     of = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return docs.select("id", "digest").join(of, "digest", "left").select(F.col("id").alias(id), "component_id")
 
