@@ -24,7 +24,7 @@ finds all pairs within wide bits, and each is confirmed on the whole sets. An an
 texts have (a passage that many share, a large group of copies) is passed over for the next smallest. A text that
 so has fewer than anchors of them, as in a large group of near copies, is also entered for the smallest of all the shingles
 that frequent texts of its kind or fewer share, and held against one text of each common anchor, round after
-round with what isn't linked yet, until a round links nothing more. Work stays in proportion to the rows: pairs of
+round with what isn't linked yet, until two rounds on end link nothing more. Work stays in proportion to the rows: pairs of
 a large group are never all looked at. What can be missed there are two texts that link with each other, with none
 of the texts they were held against, and share no shingle that few have; that takes the same long deletions.
 
@@ -308,7 +308,7 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         marked = nodes.select("node", "fp", "n", "low").join(passed, "node", "left")
         common = F.coalesce("common", F.array().cast("array<bigint>"))
         rare = F.slice(F.array_except("low", common), 1, anchors)
-        marked = marked.select("node", "fp", "n", rare.alias("rare"), F.slice(F.array_sort(common), 1, F.greatest(anchors - F.size(rare), F.lit(0))).alias("common"))
+        marked = marked.select("node", "fp", "n", rare.alias("rare"), F.slice(F.array_intersect("low", common), 1, F.greatest(anchors - F.size(rare), F.lit(0))).alias("common"))
         marked = cut(marked)
         # what sets a member of a large group apart are the shingles that its base doesn't have, wherever they stand
         few = cut(marked.filter(F.size("common") > 0).select(F.col("node").alias("id")))
@@ -348,21 +348,24 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
 
     links = confirmed(groups.mapInArrow(near, "a long, b long"))
     rest = cut(marked.select(F.explode("common").alias("key"), "node", "fp", "n"))
+    turn, empty = 0, 0
     while True:
         labels = cut(components(links))
         if not rest.limit(1).count():
             break
         tagged = cut(rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
         # one text of each key against the others that aren't in its component; a key whose texts all are in one is done
-        first = cut(tagged.groupBy("key").agg(F.min(F.struct("node", "fp", "n", "component")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi"))
+        # by turns the one with the smallest id and the one with the smallest set, which a common passage may make up whole
+        first = cut(tagged.groupBy("key").agg(F.min(F.struct(*(["node", "n"] if turn % 2 == 0 else ["n", "node"]), "fp", "component")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi"))
         x = first.select("key", F.col("m.node").alias("a"), F.col("m.fp").alias("af"), F.col("m.n").alias("an"), F.col("m.component").alias("ac"))
         y = tagged.select("key", F.col("node").alias("b"), F.col("fp").alias("bf"), F.col("n").alias("bn"), F.col("component").alias("bc"))
         other = y.join(small(cut(x)), "key").filter(F.col("ac") != F.col("bc"))
         fits = (F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0]) & (F.bit_count(F.col("af").bitwiseXOR(F.col("bf"))) <= wide)
         new = confirmed(other.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if not new.limit(1).count():
+        turn, empty = turn + 1, 0 if new.limit(1).count() else empty + 1
+        if empty == 2:
             break
-        links = cut(links.unionByName(new))
+        links = cut(links.unionByName(new)) if not empty else links
         rest = cut(other.select("key", F.col("b").alias("node"), F.col("bf").alias("fp"), F.col("bn").alias("n")))
     of = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return docs.select("id", "digest").join(of, "digest", "left").select(F.col("id").alias(id), "component_id")

