@@ -65,7 +65,7 @@ def test_clusters_query_sees_all_error_events(spark):
     rows = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'error'").orderBy("ts", "event_id").collect()
     users = [r.user_id for r in rows]
     want = sorted((a, b) for a, b in zip(users[:-1], users[1:], strict=True) if a != b)
-    assert sorted((r.src, r.dst) for r in graphs.user_edges(spark, sf, fifth=False).collect()) == want
+    assert sorted((r.src, r.dst) for r in graphs.user_edges(spark, sf).collect()) == want
     assert {r.node for r in registry.QUERIES["graph_clusters"](spark, sf).collect()} == {x for e in want for x in e}
 
 
