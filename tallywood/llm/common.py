@@ -48,9 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
 SMALL_ROWS = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, a checkpointed table, marked for a broadcast where it is short enough."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, a checkpointed or staged table, marked for a broadcast where it has so few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -40,6 +40,15 @@ def test_equals_brute_force_on_random_documents(spark):
         assert (out[d].text, out[d].n_lines, out[d].n_deleted) == (want, len(lines), len(gone.get(d, ())))
 
 
+def test_a_line_of_every_document_with_other_neighbours(spark):
+    r = random.Random(5)
+    docs = [(d, "\n".join([f"n{r.randint(0, 40)} m", "to all of us", f"p{r.randint(0, 6)} q"])) for d in range(200)]
+    gone = brute(docs, 5)
+    assert gone
+    out = {x.doc_id: x.n_deleted for x in line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), min_words=5).collect()}
+    assert out == {d: len(gone.get(d, ())) for d, _ in docs}
+
+
 def test_nulls_repeats_clashing_names_and_no_rows(spark):
     long = "one two three\nfour five six"
     rows = [(1, long, "a"), (1, long, "a"), (2, long, "b"), (3, None, "c"), (None, "q " + long, None), (4, "", "d"), (5, long + "\n" + long, "e")]
