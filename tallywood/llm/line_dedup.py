@@ -23,7 +23,7 @@ at an earlier place.
 5. Delete the lines of the runs found.
 
 A fingerprint that a third of all places share is no group of one task: both sides of each join are plain tables
-by then, which adaptive execution splits, or the side of earliest places is broadcast, below SMALL_ROWS rows (with neighbours: that by twice min_words).
+by then, which adaptive execution splits, or the side of earliest places is broadcast, below a quarter of SMALL_ROWS rows (with neighbours: that number by twice min_words).
 
 Defined results: a null text stays null; an empty one stays empty; a text that loses all its lines
 becomes empty; rows with equal doc_id and text are one document and treated alike; a null doc_id
@@ -119,7 +119,7 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_wo
 
     shared = positions.groupBy("fingerprint").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     shared = staged(shared.filter(~F.col("first").eqNullSafe(F.col("last"))).select("fingerprint", "first"), "shared")
-    meeting = staged(positions.join(small(shared), "fingerprint"), "meeting")
+    meeting = staged(positions.join(small(shared, SMALL_ROWS // 4), "fingerprint"), "meeting")
     ahead = meeting.filter(F.col("place").eqNullSafe(F.col("first"))).groupBy("fingerprint").agg(F.first(F.struct(F.col("before").alias("qb"), F.col("h").alias("q"))).alias("x"))
     ahead = staged(ahead.select("fingerprint", "x.*"), "ahead")
     b, n, qb, qn = F.col("before"), F.size("h"), F.col("qb"), F.size("q")
@@ -147,7 +147,7 @@ def repeated_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_wo
     rest = staged(rest.select("place", F.xxhash64("h").alias("x"), F.xxhash64(F.lit(1), "h").alias("y"), "cover"), "rest")
     again = rest.groupBy("x", "y").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     again = staged(again.filter(~F.col("first").eqNullSafe(F.col("last"))).select("x", "y", "first"), "again")
-    runs = runs.unionAll(rest.join(small(again), ["x", "y"]).filter(F.col("place") > F.col("first")).select("place", "cover"))
+    runs = runs.unionAll(rest.join(small(again, SMALL_ROWS // 4), ["x", "y"]).filter(F.col("place") > F.col("first")).select("place", "cover"))
     lines = runs.select("place.doc", "place.text_hash", F.explode("cover").alias("line"))
     return lines.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone"))
 
