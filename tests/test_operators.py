@@ -100,3 +100,17 @@ def test_streaming_keeps_the_last_capture(spark, tmp_path):
     q.stop()
     got = sorted((r.key, r.seq, r.moved) for r in spark.table("captures").collect())
     assert [g[:2] for g in got] == [("a", 1), ("a", 2), ("a", 3), ("b", 1)] and {g[2] for g in got if g[0] == "b"} == {"nothing to compare"}
+
+
+def test_prose_with_nulls_and_empty_texts(spark):
+    from tallywood.operators import notes
+
+    t = spark.createDataFrame([(1, None), (2, ""), (3, "see a/b.py:3 and web.dev:443, a/b.py:3-4"), (4, "9:5 x:1")], "id long, text string")
+    got = notes.pointers(t, t.select(F.lit("x").alias("path")))
+    assert sorted((r.id, r.path, r.first, r.last, r.stamp, r.there) for r in got.collect()) == [(3, "a/b.py", 3, 3, None, False), (3, "a/b.py", 3, 4, None, False), (4, "x", 1, 1, None, True)]
+    assert [r.p for r in t.select(notes.phrases(F.col("text")).alias("p")).collect()] == [[], [], [], []]
+    lines = spark.createDataFrame([("f", 1, None), ("f", 2, "# mark-begin"), ("f", 3, "# mark-begin"), ("f", 4, ""), ("g", 12, "# mark"), ("g", 13, "# mark-begin"), ("g", 14, "# mark-end"), ("h", 2, "# mark"), ("h", 3, "# mark-end")], "file string, line int, text string")
+    spans = notes.fixture_spans(lines, "file", "line", "text", "^# mark(-begin|-end)?$")
+    assert sorted(tuple(r) for r in spans.collect()) == [("f", 2, 4), ("g", 13, 14), ("h", 1, 3)]
+    assert notes.opens_block(lines, "file", "line", "text").filter("opens").count() == 0
+    assert notes.deployments(spark.createDataFrame([("a/Dockerfile", None), ("Procfile", None)], "path string, text string")).count() == 1
