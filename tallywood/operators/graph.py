@@ -12,13 +12,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share: that of spark.checkpoint.dir, or a temporary one where it is unset and the master local."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir()
+    if not found:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all its machines share")
+        found = found or tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """df.checkpoint() in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def exported(edges: DataFrame, path: str) -> None:
+    """The edges as JSON lines under path, in order over all its files: the same edges give the same lines."""
+    names = sorted(edges.columns)
+    edges.select(*names).distinct().orderBy(*names).write.mode("overwrite").json(path)
+
+
+def imported(spark: SparkSession, path: str) -> DataFrame:
+    """The edges of an export (src, dst long, kind): answers on them equal those on the graph itself."""
+    return spark.read.schema("src long, dst long, kind string").json(path)
+
+
 class UnknownNode(ValueError):
     """A node that isn't in the graph: refused, never answered with an empty result."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,14 @@ def graph_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.explained(e, _nodes(e), e.agg(F.min("src")).first()[0])
 
 
+@query(f"WITH {USERS} {_DEGREES} SELECT * FROM d")
+def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees from an exported graph that is read again."""
+    path = f"{graph.shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    graph.exported(user_edges(spark, sf_dir), path)
+    return graph.degrees(graph.imported(spark, path))
+
+
 def _nodes(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node")).union(e.select("dst"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import notes
 from .registry import query, table
 
@@ -109,3 +110,30 @@ def block_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a stored and a fresh block don't share."""
     o = table(spark, sf_dir, "orders")
     return notes.line_difference(o.filter("o_orderdate < '1996-01-01'"), o.filter("o_orderdate >= '1995-01-01'"), ["o_custkey", "o_orderpriority"])
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part)
+SELECT k AS file, 'site/api' || k || '/x.py' AS path FROM p WHERE k % 5 <> 4 AND k % 2 = 0""")
+def paths_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that code names by joined parts."""
+    f = _parts(spark, sf_dir, a="open(os.path.join(BASE, \"api{k}\", \"x.py\"))", b="p = ROOT / \"api{k}\" / \"x.py\"", c="p = ROOT.joinpath(\"site\", \"api{k}/\", \"x.py\")", d="q = os.path.join(\"site\", \"api{k}\", \"x.py\")", e="r = os.path.join(\"x.py\")", at="site/api{k}/x.py")
+    m = F.col("k") % 5
+    text = F.when(m == 0, F.col("a")).when(m == 1, F.col("b")).when(m == 2, F.col("c")).when(m == 3, F.col("d")).otherwise(F.col("e"))
+    return notes.joined_paths(f.select(F.col("k").alias("file"), text.alias("text")), f.filter("k % 2 = 0").select(F.col("at").alias("path")))
+
+
+@query("""WITH c AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS nth FROM lineitem)
+SELECT l_suppkey, nth, l_orderkey, l_linenumber, n > 400 AS truncated FROM r JOIN c USING (l_suppkey) WHERE nth <= 400""")
+def capped_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 400 places of each supplier, and whether there are more."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    return notes.capped(li, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"]).drop("l_partkey")
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'tests/test_a' ELSE 'src/b' END || p_size || '.py' AS file, p_partkey % 2 = 0 AND p_partkey % 3 <> 0 AS apart FROM part""")
+def hits_in_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in tests are set apart unless the text names the test."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "tests/test_a").otherwise("src/b"), F.col("p_size").cast("string"), F.lit(".py")).alias("file"))
+    named = F.concat(F.lit("It is checked by `"), F.substring_index("file", "/", -1), F.lit("`. Or x.py, e.g. here."))
+    texts = p.select("k", F.when(F.col("k") % 3 == 0, named).otherwise("See test_a.py.").alias("text"))
+    return notes.hits_apart(p, texts, T.test_in_graph(F.col("file")), "k", "file", "text")
