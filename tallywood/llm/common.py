@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The folder of a local session where spark.checkpoint.dir is unset, as in tests.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and the master local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all its machines share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="spark-"))
+        found = _OWN[0]
     return found.rstrip("/")
 
 
@@ -39,9 +40,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df staged between the rounds of a loop.
+
+    The next plan begins with the size of the files. A checkpoint keeps the estimate of its plan instead, and
+    each join multiplies the estimates of its sides, so over many rounds they grow beyond all bounds.
+    """
+    return staged(df, "cut")
 
 
 #: A broadcast table has at most so many rows of one or two longs.
@@ -49,7 +53,7 @@ SMALL_ROWS = 1_000_000
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, a checkpointed or staged table, marked for a broadcast where it has so few rows."""
+    """df, a staged table, marked for a broadcast where it has so few rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
