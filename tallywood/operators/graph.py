@@ -1,34 +1,41 @@
 """Operators on typed edges: degrees, reachability, paths, components, communities, tours.
 
-Loops run on the driver and each round is one set of joins; rounds are cut by checkpoint() in the
+Loops run on the driver and each round is one set of joins; rounds are cut by a table written in the
 folder of spark.checkpoint.dir, so a lost executor costs one round. Only counts reach the driver.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: The folder of a local session where spark.checkpoint.dir is unset, as in tests.
+_OWN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: that of spark.checkpoint.dir, or a temporary one where it is unset and the master local."""
-    context = spark.sparkContext
-    found = context.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all its machines share")
-        found = found or tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(found)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="spark-"))
+        found = _OWN[0]
     return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written as Parquet in the shared folder and read again: its plan and its estimated size begin anew.
+
+    A checkpoint would keep the estimate of its plan, which each join of a round multiplies.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exported(edges: DataFrame, path: str) -> None:
