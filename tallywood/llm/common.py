@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +59,32 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def running(df: DataFrame, order: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """df, staged, with sums[c] = the sum of the long column c over all rows up to each one in order (nulls first).
+
+    A range shuffle puts the rows in parts, each part is sorted and summed by itself, batch after batch, and takes the
+    sum of the parts before it. What is broadcast is one row for each part. order must tell rows apart, or equal
+    rows must be interchangeable.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    part, *names = free(df, "part", *sums.values())
+    schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), *[T.StructField(n, T.LongType()) for n in names]])
+    arrow, where = to_arrow_schema(schema), [df.columns.index(c) for c in sums]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth, so_far = TaskContext.get().partitionId(), [0] * len(where)
+        for b in batches:
+            more = [np.cumsum(b.column(i).fill_null(0).to_numpy(zero_copy_only=False)) + at for i, at in zip(where, so_far, strict=True)]
+            so_far = [int(m[-1]) if len(m) else at for m, at in zip(more, so_far, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, nth, np.int32)), *[pa.array(m, pa.int64()) for m in more]], schema=arrow)
+
+    parts = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(summed, schema), "running")
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over one row for each part
+    before = parts.groupBy(part).agg(*[F.max(n).alias(n) for n in names]).select(part, *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}__") for n in names])
+    return parts.join(F.broadcast(before), part).select(*df.columns, *[(F.col(n) + F.col(f"{n}__")).alias(out) for n, out in zip(names, sums.values(), strict=True)])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once a row even where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

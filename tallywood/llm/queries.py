@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, lang_id, licenses, line_dedup, quality, simhash, token_store, warc
+from . import bpe, decontaminate, html_text, lang_id, licenses, line_dedup, mixing, periods, quality, simhash, token_store, warc
+from .common import let
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -252,3 +253,73 @@ FROM placed p LEFT JOIN own o USING (path) LEFT JOIN nearest n USING (path)
 
 
 ORACLE_SQL["op10_license_scan"] = _license_sql()
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; with h = crc32(doc_id), g = h div 10 and h % 10 = 0, a text's words from a = g % n on repeat p of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def again(w: Column) -> Column:
+        n = F.greatest(F.size(w), F.lit(1))
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, again)).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's periodic runs: the number, the longest, and digests of all and of the text less its repeats."""
+    found = periods.periodic_runs(_with_repeats(table(spark, sf_dir, "documents")), least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in a mix of all sources, by weights 3, 1, 2 in turn, 150 % of all words long."""
+    found = mixing.amounts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op13_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('13:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), s AS (
+  SELECT *, [3, 1, 2][(nth - 1) % 3 + 1] AS w FROM (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source)
+), total AS (SELECT sum(source_size) AS n, sum(w) AS w FROM s
+), filling AS (
+  SELECT row_number() OVER o AS k, 2 * source_size / s.w::DOUBLE AS full, 1.5::DOUBLE * n - sum(2 * source_size) OVER o AS rest, total.w - sum(s.w) OVER o AS left_w
+  FROM s, total WINDOW o AS (ORDER BY 2 * source_size / s.w::DOUBLE, nth ROWS UNBOUNDED PRECEDING)
+), steps AS (
+  SELECT 0 AS k, 1.5::DOUBLE * n AS rest, w AS left_w FROM total UNION ALL SELECT k, rest, left_w FROM filling
+), level AS (
+  SELECT a.rest, a.left_w FROM steps a LEFT JOIN filling b ON b.k = a.k + 1 WHERE b.k IS NULL OR b.full >= a.rest / a.left_w ORDER BY a.k LIMIT 1
+), t AS (
+  SELECT s.*, CASE WHEN left_w = 0 THEN 2.0 * source_size ELSE least(2.0::DOUBLE * source_size, rest::DOUBLE * w / left_w::DOUBLE) END::DOUBLE AS target FROM s, level
+), lined AS (
+  SELECT d.doc_id, d.size, d.h, t.source_size, t.target, t.nth, t.w, sum(d.size) OVER (PARTITION BY t.nth ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS done
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, unnest([0, 1]) AS copy FROM lined
+), mixed AS (
+  SELECT *, sum(size) OVER (ORDER BY (done + copy * source_size) / w::DOUBLE, nth, copy, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM copies
+)
+SELECT doc_id, size, source_size, target, sum(CASE WHEN upto <= floor(1.5 * (SELECT n FROM total)) THEN size ELSE 0 END)::BIGINT AS taken
+FROM mixed GROUP BY doc_id, size, source_size, target
+"""
