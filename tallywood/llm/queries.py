@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, lang_id, licenses, line_dedup, mixing, periods, quality, simhash, token_store, warc
+from . import bpe, decontaminate, html_text, lang_id, licenses, line_dedup, mixing, periods, phrases, quality, simhash, token_store, warc
 from .common import let
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,3 +323,33 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, sum(CASE WHEN upto <= floor(1.5 * (SELECT n FROM total)) THEN size ELSE 0 END)::BIGINT AS taken
 FROM mixed GROUP BY doc_id, size, source_size, target
 """
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's first 2,000 phrases of 2 to 5 words by their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=5, least=100, share=100, top=2000)
+
+
+ORACLE_SQL["op12_phrases"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang
+), grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM worded, range(1, 6) AS t(size)) GROUP BY ALL HAVING count(*) >= 100
+), found AS (SELECT lang, size, phrase, f AS a FROM grams WHERE size > 1
+), own AS (
+  SELECT * FROM found x WHERE NOT EXISTS (
+    SELECT 1 FROM found y WHERE y.lang = x.lang AND y.size > x.size AND 100 * y.a >= 100 * x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM own)
+), scored AS (
+  SELECT c.*, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * a::HUGEINT * t.n) // (l.f::HUGEINT * r.f::HUGEINT))::BIGINT AS score
+  FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = c.first JOIN grams r ON r.lang = c.lang AND r.phrase = c.rest JOIN totals t ON t.lang = c.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), placed AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score FROM best)
+SELECT * FROM placed WHERE rank <= 2000
+"""
