@@ -1,7 +1,6 @@
-"""Source files (path, text) to symbols, references, tests and steps, and references to files, by built-in expressions.
+"""Source files (path, text) to references of scripts and prose, tests and steps, by built-in expressions.
 
-Files are read line by line, so a statement that runs over several lines is seen where it begins. A null
-or empty text has no line. References are resolved by joins: a name that one file answers to is an edge,
+Files are read line by line; python_source reads Python by its syntax. A null or empty text has no line. References are resolved by joins: a name that one file answers to is an edge,
 a name that several answer to is ambiguous, and any other is external.
 """
 
@@ -27,76 +26,6 @@ def _all(kind: str, pattern: str, name: str) -> Column:
     return F.transform(F.regexp_extract_all("body", F.lit(pattern), 1), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias(name)))
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """(path, line, kind, name) of a Python file's classes and functions at the left edge, its main guard and its interpreter line."""
-    body = F.col("body")
-    found = F.array(
-        F.struct(F.lit("class").alias("kind"), _word(body, r"^class\s+(\w+)").alias("name")),
-        F.struct(F.lit("function").alias("kind"), _word(body, r"^(?:async\s+)?def\s+(\w+)").alias("name")),
-        F.struct(F.lit("main").alias("kind"), F.when(body.rlike(r"^if\s+__name__\s*=="), "__main__").alias("name")),
-        F.struct(F.lit("interpreter").alias("kind"), F.when(F.col("line") == 1, _word(body, r"^#!\s*(\S+)")).alias("name")),
-    )
-    return lines(files, r"\.pyi?$").select("path", "line", F.explode(F.filter(found, lambda x: x["name"].isNotNull())).alias("s")).select("path", "line", "s.*")
-
-
-def python_names(files: DataFrame) -> DataFrame:
-    """(path, name, whole): each dotted name that a Python file answers to; whole is that of its full path."""
-    stem = F.regexp_replace(F.regexp_replace("path", r"\.pyi?$", ""), "(^|/)__init__$", "")
-    parts = F.split(stem, "/")
-    names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.concat_ws(".", F.slice(parts, i, F.size(parts))).alias("name"), (i == 1).alias("whole")))
-    return files.filter(F.col("path").rlike(r"\.pyi?$")).select("path", F.explode(names).alias("n")).select("path", "n.*").filter("name <> ''")
-
-
-def python_imports(files: DataFrame) -> DataFrame:
-    """(path, line, module, symbol): symbol is null where the module itself is imported."""
-    rows = lines(files, r"\.pyi?$").filter(F.col("body").rlike(r"^\s*(?:from|import)\s"))
-    given = F.regexp_replace(F.regexp_extract("body", r"^\s*from\s+[\w.]+\s+import\s+\(?([^#)]*)", 1), r"\s+as\s+\w+", "")
-    symbols = F.filter(F.split(F.trim(given), r"\s*,\s*"), lambda x: x != "")
-    froms = rows.select("path", "line", _word(F.col("body"), r"^\s*from\s+([\w.]+)\s+import").alias("module"), F.explode_outer(symbols).alias("symbol"))
-    whole = F.regexp_replace(F.regexp_extract("body", r"^\s*import\s+([\w., ]+)", 1), r"\s+as\s+\w+", "")
-    plain = rows.select("path", "line", F.explode(F.split(F.trim(whole), r"\s*,\s*")).alias("module"), F.lit(None).cast("string").alias("symbol"))
-    return froms.unionByName(plain).filter("module IS NOT NULL AND module <> ''")
-
-
-def resolved_imports(files: DataFrame) -> DataFrame:
-    """(path, line, module, symbol, dst, by_name, candidates): the file a module names, if just one answers to it.
-
-    A file whose whole path is the name comes before those of which it is the end; by_name marks the latter.
-    """
-    names = python_names(files).select(F.col("name").alias("module"), F.col("path").alias("dst"), "whole")
-    asked = python_imports(files)
-    # two aggregates a name, whatever the number of files that answer to it
-    best = names.groupBy("module").agg(F.count_if("whole").alias("n_whole"), F.min(F.when(F.col("whole"), F.col("dst"))).alias("whole_dst"), F.count(F.lit(1)).alias("n"), F.min("dst").alias("any_dst"))
-    dst = F.when(F.col("n_whole") == 1, F.col("whole_dst")).when((F.coalesce("n_whole", F.lit(0)) == 0) & (F.col("n") == 1), F.col("any_dst"))
-    return asked.join(best, "module", "left").select("path", "line", "module", "symbol", dst.alias("dst"), (F.coalesce("n_whole", F.lit(0)) == 0).alias("by_name"), F.coalesce("n", F.lit(0)).alias("candidates"))
-
-
-def python_edges(files: DataFrame) -> DataFrame:
-    """(src, dst, kind, inferred) of imports, calls and inheritance between files.
-
-    A call or base class whose name was imported leads to the module it came from. A bare call of a name that
-    the file neither imports nor defines leads to the file that alone defines it; that edge is inferred.
-    """
-    found = resolved_imports(files).filter("dst IS NOT NULL AND dst <> path")
-    imports = found.select(F.col("path").alias("src"), "dst", F.lit("import").alias("kind"), F.lit(False).alias("inferred"))
-    rows = lines(files, r"\.pyi?$")
-    called = rows.filter(~F.col("body").rlike(r"^\s*(?:class|def|async\s+def|@|from|import)\b")).select("path", F.explode(F.regexp_extract_all("body", F.lit(r"(?<![\w.])([A-Za-z_]\w*)\("))).alias("symbol")).distinct()
-    based = rows.select("path", F.explode(F.split(F.regexp_extract("body", r"^class\s+\w+\(([^)]*)\)", 1), r"\s*,\s*")).alias("symbol")).filter("symbol <> ''").distinct()
-    uses = called.withColumn("kind", F.lit("calls")).unionByName(based.withColumn("kind", F.lit("inherits")))
-    named = found.filter("symbol IS NOT NULL").select("path", "symbol", "dst").distinct()
-    through = uses.join(named, ["path", "symbol"]).select(F.col("path").alias("src"), "dst", "kind", F.lit(False).alias("inferred"))
-    symbols = python_symbols(files).filter("kind IN ('class', 'function')")
-    own = symbols.select("path", F.col("name").alias("symbol")).unionByName(python_imports(files).filter("symbol IS NOT NULL").select("path", "symbol"))
-    alone = symbols.groupBy(F.col("name").alias("symbol")).agg(F.count_distinct("path").alias("n"), F.min("path").alias("dst")).filter("n = 1")
-    bare = called.join(own.distinct(), ["path", "symbol"], "left_anti").join(alone, "symbol").filter("dst <> path")
-    return imports.unionByName(through).unionByName(bare.select(F.col("path").alias("src"), "dst", F.lit("calls").alias("kind"), F.lit(True).alias("inferred"))).distinct()
-
-
-def external_usage(files: DataFrame) -> DataFrame:
-    """(name, n_files): top names of imported modules that no file answers to, by the number of files."""
-    return resolved_imports(files).filter("candidates = 0").select(F.substring_index("module", ".", 1).alias("name"), "path").groupBy("name").agg(F.count_distinct("path").alias("n_files"))
-
-
 SCRIPT = r"\.(?:js|jsx|ts|tsx|mjs|cjs|mts|cts)$"
 
 
@@ -127,22 +56,6 @@ def script_edges(files: DataFrame, endings: tuple[str, ...] = ("", ".ts", ".tsx"
     return best.select(F.col("path").alias("src"), F.col("m.target").alias("dst"), "kind", "line")
 
 
-def python_routes(files: DataFrame) -> DataFrame:
-    """(path, line, method, route, handler): route decorators and the function below; the method is GET unless one is given."""
-    rows = lines(files, r"\.py$")
-    deco = rows.filter(F.col("body").rlike(r"^\s*@\w+(?:\.\w+)*\.(?:route|get|post|put|patch|delete)\("))
-    verb = F.regexp_extract("body", r"\.(route|get|post|put|patch|delete)\(", 1)
-    method = F.when(verb != "route", F.upper(verb)).otherwise(F.coalesce(_word(F.col("body"), r"methods\s*=\s*\[\s*['\"](\w+)"), F.lit("GET")))
-    below = rows.select("path", (F.col("line") - 1).alias("line"), _word(F.col("body"), r"^\s*(?:async\s+)?def\s+(\w+)").alias("handler"))
-    return deco.select("path", "line", method.alias("method"), F.regexp_extract("body", r"\(\s*['\"]([^'\"]*)", 1).alias("route")).join(below, ["path", "line"], "left")
-
-
-def cli_flags(files: DataFrame) -> DataFrame:
-    """(path, line, flag): options and subcommands a Python file declares to its argument parser."""
-    rows = lines(files, r"\.py$").filter(F.col("body").rlike(r"add_(?:argument|parser)\("))
-    return rows.select("path", "line", F.explode(F.regexp_extract_all(F.regexp_extract("body", r"add_(?:argument|parser)\(([^)=]*)", 1), F.lit(r"['\"]([\w-]+)['\"]"), 1)).alias("flag"))
-
-
 def test_bodies(files: DataFrame) -> DataFrame:
     """(path, line, name, body) of Python tests: the lines below the name that are indented or blank, up to the next test or other code."""
     rows = lines(files, r"\.py$")

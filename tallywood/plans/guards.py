@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, extract, guard
+from ..operators import code, extract, guard, python_source
 from ..sources import files
 from .registry import query, table
 from .trees import PATH, SILENCED, TEXT, made_files
@@ -121,7 +121,7 @@ def file_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the graph of files."""
     f = made_files(spark, sf_dir)
     a = f.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(T.language(F.col("path")) == "python").alias("n_python"))
-    b = code.python_edges(f).agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("inferred").alias("n_inferred"))
+    b = python_source.linked(f)["edges"].select("src", "dst", "kind", "inferred").distinct().agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("inferred").alias("n_inferred"))
     return a.join(b)  # one row each
 
 
@@ -131,7 +131,7 @@ def file_graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unparsed_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code files that no extractor of routes took anything from and that nobody accepted."""
     f = made_files(spark, sf_dir)
-    claimed = code.python_routes(f).select("path").unionByName(extract.express_routes(f.filter(F.col("path").rlike(code.SCRIPT))).select("path")).unionByName(extract.page_routes(f).select("path")).distinct()
+    claimed = python_source.routes(f).select("path").unionByName(extract.express_routes(f.filter(F.col("path").rlike(code.SCRIPT))).select("path")).unionByName(extract.page_routes(f).select("path")).distinct()
     accepted = f.filter("k % 10 = 6").select("path")
     surface = f.filter(F.col("path").rlike(code.SCRIPT) | F.col("path").rlike(r"\.py$") | F.col("path").rlike(r"package\.json$"))
     return surface.select("path").join(claimed, "path", "left_anti").join(accepted, "path", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import code, extract
+from ..operators import code, extract, python_source
 from .registry import query, table
 
 _N = "' || cast({} as string) || '"
@@ -70,7 +70,7 @@ SELECT path, u.line, u.kind, u.name FROM (
   UNION ALL SELECT path, unnest([{line: 1, kind: 'function', name: 'test_one_' || k}, {line: 5, kind: 'function', name: 'test_two'}, {line: 8, kind: 'class', name: 'Other'}, {line: 12, kind: 'function', name: 'test_four_' || k % 3}]) FROM t)""")
 def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and functions of every Python file."""
-    return code.python_symbols(made_files(spark, sf_dir))
+    return python_source.linked(made_files(spark, sf_dir))["symbols"].select("path", "line", F.when(F.col("what") == "def", "function").otherwise("class").alias("kind"), "name")
 
 
 @query(f"""
@@ -79,14 +79,14 @@ SELECT {_path("k", 0)} AS src, {_path("k + 10", 0)} AS dst, u.kind, false AS inf
 UNION ALL SELECT {_path("k", 0)}, {_path("k + 20", 0)}, 'calls', true FROM p WHERE k + 20 <= m""")
 def python_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports, calls and inheritance resolved to files."""
-    return code.python_edges(made_files(spark, sf_dir))
+    return python_source.linked(made_files(spark, sf_dir))["edges"].select("src", "dst", "kind", "inferred").distinct()
 
 
 @query("""SELECT 'os' AS name, count(*) AS n_files FROM part WHERE p_partkey % 10 = 0
 UNION ALL SELECT 'pkg' || (m + 10) % 7, 1 FROM (SELECT max(p_partkey) AS m FROM part WHERE p_partkey % 10 = 0)""")
 def external_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules that no file answers to, by the number of files that import them."""
-    return code.external_usage(made_files(spark, sf_dir))
+    return python_source.linked(made_files(spark, sf_dir))["externals"].select("name", "n_files")
 
 
 @query(f"""
@@ -109,7 +109,7 @@ def web_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes of decorators, of calls and of page files."""
     f = made_files(spark, sf_dir)
     none = F.lit(None).cast("string").alias("handler")
-    a = code.python_routes(f).select("path", "method", "route", "handler")
+    a = python_source.routes(f).select("path", "method", "route", "handler")
     b = extract.express_routes(f.filter(F.col("path").rlike(code.SCRIPT))).select("path", "method", "route", none)
     return a.unionByName(b).unionByName(extract.page_routes(f).select("path", F.lit("GET").alias("method"), "route", none))
 
@@ -175,7 +175,7 @@ def floor_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'src/pkg' || p_partkey % 7 || '/mod' || p_partkey || '.py' AS path, 16 AS line, u.flag FROM (SELECT p_partkey, unnest([{flag: '--size-' || p_partkey}, {flag: '-s'}]) AS u FROM part WHERE p_partkey % 10 = 0)""")
 def cli_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options that Python files declare."""
-    return code.cli_flags(made_files(spark, sf_dir))
+    return python_source.flags(made_files(spark, sf_dir)).select("path", "line", "flag")
 
 
 #: Ways to silence a check (rule, pattern).
