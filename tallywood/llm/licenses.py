@@ -4,8 +4,9 @@ A template is a paragraph of a licence's text or notice, or a line that names it
 units are its lines, their sentences and its paragraphs (lines up to a blank one), so wrapped headers and whole licence
 files are compared too; whole texts are read. Terms are lower-cased runs of letters and digits, joined by
 dots or hyphens inside; STOP words carry no weight. The inverse document frequency is that over the
-templates, ln((1 + n) / (1 + df)) + 1, so a term no template has weighs most. Units without any of WORDS,
-one of which every template has, aren't compared.
+templates, ln((1 + n) / (1 + df)) + 1, so a term no template has weighs most. A unit's cosine to any template is at
+most the share of its known terms in its length; units in which that is below the threshold are dropped where the
+text is read, before any shuffle, and no other unit is.
 
 A unit matches a template at a cosine of threshold or more, and speaks for the licence of its best match, or for
 all of them if licences share a text. A file's license is that with the largest sum of such cosines of lines and
@@ -26,8 +27,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,49 @@ from .license_texts import TEMPLATES
 STOP = ("a", "all", "and", "are", "by", "for", "form", "in", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without", "work")
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 NAMED = r"^(?:LICEN[CS]E|COPYING|NOTICE)"
-#: Every template holds one of these.
-WORDS = r"licen[cs]|copyright|warrant|redistribut|permission|rights reserved|cc0|proprietary|public domain|distribut"
-
-
 def terms(text: str) -> Counter:
     return Counter(t for t in re.findall(TERM, text.lower()) if t not in STOP)
 
 
+def reaching(idf: dict[str, float], unknown: float, threshold: float):
+    """A function from a unit's text to whether its known terms let a cosine reach threshold."""
+    least = (threshold - 1e-4) ** 2
+    most_known, least_unknown = max(idf.values(), default=0.0) ** 2, unknown**2
+    find = re.compile(TERM).findall
+    stop = frozenset(STOP)
+
+    def reaches(unit: str) -> bool:
+        said = find(unit)
+        known = [t for t in said if t in idf]
+        # quick bounds: known terms are all one term, unknown ones are all different
+        if not known or most_known * len(known) ** 2 * (1 - least) < least * least_unknown * (len(said) - len(known) - len([t for t in said if t in stop])):
+            return False
+        mine = sum((f * idf[t]) ** 2 for t, f in Counter(known).items())
+        other = sum(f * f for t, f in Counter(said).items() if t not in idf and t not in stop) * unknown**2
+        return mine >= least * (mine + other)
+
+    return reaches
+
+
+def units(texts: DataFrame, idf: dict[str, float], unknown: float, threshold: float) -> DataFrame:
+    """(path, line, whole) of texts (path, text in lower case): each text's distinct lines, sentences and paragraphs that can reach threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reaches = reaching(idf, unknown, threshold)
+        for b in batches:
+            rows: list[tuple[str, str, bool]] = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines = set(text.split("\n"))
+                whole = lines | set(re.split(r"\n[ \t\r]*\n", text))
+                parts = {s for x in lines for s in re.split(r"[.;][ \t]+", x)}
+                good = {u for u in whole | parts if reaches(u)}
+                rows += [(path, u, True) for u in whole & good] + [(path, u, False) for u in parts & good]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.bool_()), strict=True)], names=["path", "line", "whole"])
+
+    return texts.mapInArrow(run, "path string, line string, whole boolean")
+
+
 def weights(templates: Sequence[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """(number, license, term, weight of unit length by inverse document frequency), frequencies' logs, that of an unknown term."""
     counts = [(n, terms(t)) for n, t in templates]
@@ -60,16 +97,9 @@ def weights(templates: Sequence[tuple[str, str]]) -> tuple[list[tuple[int, str,
 def own_licenses(files: DataFrame, path: str, text: str, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
     """(path, license, cosine) of each file that has one."""
     spark = files.sparkSession
-    if lacking := [t for _, t in templates if not re.search(WORDS, t.lower())]:
-        raise ValueError(f"templates without any of WORDS: {lacking}")
     rows, idf, unknown = weights(templates)
-    whole = F.lower(F.col(f"`{text}`"))
-    lined = F.filter(F.split(whole, "\\n"), lambda x: x.rlike(WORDS))
-    sentences = F.flatten(F.transform(lined, lambda x: F.split(x, r"[.;][ \t]+")))
-    named = lambda of, is_whole: F.transform(of, lambda u: F.struct(u.alias("line"), F.lit(is_whole).alias("whole")))
-    units = F.filter(F.array_distinct(F.concat(named(lined, True), named(sentences, False), named(F.split(whole, r"\n[ \t\r]*\n"), True))), lambda u: u["line"].rlike(WORDS))
-    some = files.filter(whole.rlike(WORDS) & F.col(f"`{path}`").isNotNull())
-    lines = some.select(F.col(f"`{path}`").alias("path"), F.explode(units).alias("u")).select("path", "u.line", "u.whole")
+    texts = files.filter(F.col(f"`{path}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{path}`").alias("path"), F.lower(F.col(f"`{text}`")).alias("text"))
+    lines = units(texts, idf, unknown, threshold)
     tf = lines.distinct().select("path", F.xxhash64("line", "whole").alias("line"), "whole", F.explode(F.regexp_extract_all("line", F.lit(f"({TERM})"))).alias("term")).filter(~F.col("term").isin(*STOP))
     tf = tf.groupBy("path", "line", "whole", "term").agg(F.count(F.lit(1)).alias("f"))
     # as many rows as the templates have terms

@@ -205,7 +205,7 @@ def _license_sql() -> str:
     """The texts of the templates are all that the SQL has of the operator; it weighs them itself."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     given = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))
-    stop, words, term = ", ".join(map(quoted, licenses.STOP)), licenses.WORDS, licenses.TERM
+    stop, term = ", ".join(map(quoted, licenses.STOP)), licenses.TERM
     return rf"""
 WITH files AS (
   SELECT doc_id, text, CASE WHEN length(text) < 1000 THEN source || '/' || lang || '/LICENSE-' || doc_id
@@ -221,8 +221,7 @@ counted AS (
 ), lines AS (
   SELECT DISTINCT path, line, whole FROM (
     SELECT path, unnest(string_split(lower(text), chr(10)) || regexp_split_to_array(lower(text), '\n[ \t\r]*\n')) AS line, true AS whole FROM files
-    UNION ALL SELECT path, unnest(regexp_split_to_array(x, '[.;][ \t]+')), false FROM (SELECT path, unnest(string_split(lower(text), chr(10))) AS x FROM files) WHERE regexp_matches(x, '{words}'))
-  WHERE regexp_matches(line, '{words}')
+    UNION ALL SELECT path, unnest(regexp_split_to_array(x, '[.;][ \t]+')), false FROM (SELECT path, unnest(string_split(lower(text), chr(10))) AS x FROM files))
 ), tf AS (
   SELECT path, line, whole, term, count(*) AS f FROM (SELECT path, line, whole, unnest(regexp_extract_all(line, '{term}')) AS term FROM lines)
   WHERE term NOT IN ({stop}) GROUP BY ALL

@@ -289,7 +289,9 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array([pack(header, sections)], pa.binary())], names=["block"])
 
     order = ["part", "block", "before", "n", "ids", "lens", "tokens"]
-    write_blocks(blocks.select(*order).mapInArrow(encode, "block binary"), "block", END_MARK, f"{path}/ids", blocks_per_file)
+    # staged blocks are read in any order: ranges put the files' blocks in that of the documents
+    ordered = blocks.select(*order).repartitionByRange("part", "block").sortWithinPartitions("part", "block")
+    write_blocks(ordered.mapInArrow(encode, "block binary"), "block", END_MARK, f"{path}/ids", blocks_per_file)
 
 
 def block_ids(header: dict, sections: dict[str, memoryview], table: Table, first: int = 0, last: int | None = None) -> np.ndarray:

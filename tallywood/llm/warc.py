@@ -9,8 +9,8 @@ Of records with equal payloads of at least min_bytes, that with the smallest id
 others are revisits, which hold the digest and the response's id but no payload. Smaller ones are all
 responses.
 
-Defined results: a null payload counts as empty; rows without id are written, but none refers to them
-and they read back without id; rows that repeat the smallest id with its payload are all responses;
+Defined results: a null payload counts as empty; rows without id are written under a name made of their task and place,
+but none refers to them and they read back without id; rows of one id share its record id, and a lookup gives them all; rows that repeat the smallest id with its payload are all responses;
 control characters and blanks in a URL are percent-encoded in the archive, the URL itself stands in the
 index; no rows give no bundles.
 """
@@ -25,6 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,7 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
         frames: list[tuple[bytes, int]] = []
         index: list = []
         raw, size, done, nth = [], 0, 0, 0
+        task = TaskContext.get().partitionId()
 
         def close_frame() -> None:
             nonlocal raw, size, done
@@ -94,7 +96,7 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
 
         for b in batches:
             for r in range(b.num_rows):
-                name, data = record(*[b.column(i)[r].as_py() for i in range(6)], nth=str(nth))
+                name, data = record(*[b.column(i)[r].as_py() for i in range(6)], nth=f"{task}-{nth}")
                 nth += 1
                 index.append((name, len(frames), size, len(data)))
                 raw.append(data)

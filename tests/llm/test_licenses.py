@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 from tallywood.llm import licenses as L
 
 APACHE, MIT = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
@@ -51,3 +56,31 @@ def test_real_headers_and_files(spark):
     df = spark.createDataFrame([(str(i), x) for i, (_, x) in enumerate(cases)], "path string, text string")
     got = {int(r.path): r.own_license for r in L.scan(df).collect()}
     assert [got[i] for i in range(len(cases))] == [n for n, _ in cases]
+
+
+def plain_cosine(unit):
+    """The best cosine of a unit to any template, by the definition."""
+    rows, idf, unknown = L.weights(L.TEMPLATES)
+    mine = {t: f * idf.get(t, unknown) for t, f in L.terms(unit).items()}
+    size = math.sqrt(sum(x * x for x in mine.values()))
+    dots = Counter()
+    for template, _, term, w in rows:
+        dots[template] += mine.get(term, 0.0) * w
+    return round(max(dots.values()) / size, 4) if size else 0.0
+
+
+def test_no_unit_that_reaches_the_threshold_is_dropped(spark):
+    r = random.Random(10)
+    words = [w for _, t in L.TEMPLATES for w in t.split()]
+    made = [" ".join(r.choice(words) if r.random() < share else r.choice(["sea", "wind", "and", "it", "x1"]) for _ in range(r.randint(1, 30))) for share in (0.2, 0.5, 0.8, 1.0) for _ in range(60)]
+    sentences = [s for _, t in L.TEMPLATES for s in re.split(r"[.;][ \t]+", t)]
+    bare = [s for s in sentences if not re.search(r"(?i)licen|copyright|warrant|permission|distribut|rights", s)]
+    assert any(0.6 <= plain_cosine(s) < 1 for s in bare)
+    units = sorted({" ".join(u.replace("\n", " ").split()) for u in made + sentences})
+    units = [u for u in units if not re.search(r"[.;][ \t]", u)]
+    df = spark.createDataFrame([(str(i), u) for i, u in enumerate(units)], "path string, text string")
+    got = {int(x.path): x.cosine for x in L.scan(df).collect()}
+    for i, u in enumerate(units):
+        want = plain_cosine(u)
+        assert (got[i] is None) == (want < 0.6), (u, want, got[i])
+        assert got[i] is None or abs(got[i] - want) <= 1e-4 or got[i] < want  # the named license may have another cosine

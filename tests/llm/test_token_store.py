@@ -64,3 +64,18 @@ def test_files_hold_the_librarys_ids(spark, tmp_path):
     with pytest.raises(ValueError):
         list(S.unpack(bytes(broken)))
     assert zlib.crc32(b"") == 0 and S.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_files_ascend_on_disk(spark, tmp_path):
+    """Parts of uneven size: over files by name, and within each, blocks follow one another without a gap."""
+    df = spark.range(0, 900).selectExpr("id AS doc_id", "repeat('one two three ', CASE WHEN id < 30 THEN 400 ELSE CAST(id % 7 AS INT) END) AS text").repartition(11)
+    path = f"file://{tmp_path}/out"
+    S.write_tokens(df, path, PATH, block_tokens=700, blocks_per_file=3)
+    at, last, files = 0, -1, sorted(read_files(spark, path + "/ids").collect(), key=lambda r: r.path)
+    assert len(files) > 8
+    for f in files:
+        for header, sections in S.unpack(bytes(f.content)):
+            ids = np.frombuffer(sections["ids"], "<i8")
+            assert header["start"] == at and ids[0] > last and (np.diff(ids) > 0).all()
+            at, last = at + header["n"], ids[-1]
+    assert last == 899

@@ -44,3 +44,11 @@ def test_a_bundle_is_a_plain_zstandard_file(spark, tmp_path):
     assert seen == whole and whole.count(b"WARC/1.1\r\n") == 40
     with pytest.raises(ValueError):
         W.Bundle(content[:-1])
+
+
+def test_rows_without_id_have_names_of_their_own(spark, tmp_path):
+    pages = spark.range(40).selectExpr("CAST(NULL AS LONG) AS page_id", "'u' AS url", "concat('page ', id % 3) AS html").repartition(5)
+    path = f"file://{tmp_path}/out"
+    W.write_warc(pages, path)
+    names = [name for f in read_files(spark, path).collect() for name, *_ in W.Bundle(bytes(f.content)).index]
+    assert len(names) == len(set(names)) == 40
