@@ -90,7 +90,7 @@ def segments(name: Column) -> Column:
 
 #: Names of bounds from above and from below: the first are looser when they grow, the others when they fall.
 CEILINGS = ("allowance", "budget", "cap", "ceiling", "max", "retries", "timeout", "tolerance", "upper")
-FLOORS = ("coverage", "floor", "lower", "min", "quorum", "required")
+FLOORS = ("coverage", "floor", "lower", "min", "quorum", "required", "under")
 
 
 def direction(key: Column, before: Column, after: Column) -> Column:

@@ -18,11 +18,11 @@ def unmatched(now: DataFrame, base: DataFrame, keys: Sequence[str], order: str)
     return now.withColumn("__n", F.row_number().over(w)).join(counts, list(keys), "left").filter(F.col("__n") > F.coalesce("__base", F.lit(0))).drop("__n", "__base")
 
 
-def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id): equal rows matched one to one, each once, in the order of their ids."""
+def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(left_id, right_id) and the keys to keep: equal rows matched one to one, each once, in the order of their ids."""
     a = left.select(*keys, left_id, F.row_number().over(Window.partitionBy(*keys).orderBy(left_id)).alias("__n"))
     b = right.select(*keys, right_id, F.row_number().over(Window.partitionBy(*keys).orderBy(right_id)).alias("__n"))
-    return a.join(b, [*keys, "__n"]).select(left_id, right_id)
+    return a.join(b, [*keys, "__n"]).select(*keep, left_id, right_id)
 
 
 def resolved(refs: DataFrame, targets: DataFrame, key: str, ref: str, target: str) -> DataFrame:

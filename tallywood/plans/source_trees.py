@@ -8,13 +8,15 @@ query knows what stands in them, and the tree grows with the table.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import python_source
+from ..functions import text as T
+from ..operators import floor, python_source
 from .registry import query, table
 
 #: Files of one folder.
@@ -152,3 +154,107 @@ def tree_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes, options, subcommands, environment names and how files are run, from syntax trees."""
     known = python_source.facts(tree(spark, sf_dir).select("path", "text"))
     return known.filter("kind IN ('route', 'flag', 'subcommand', 'environment', 'runnable', 'symbol')").select("path", "line", "kind", F.col("a").alias("name"), "b", "c")
+
+
+# Two states of tests, build steps and settings
+
+
+def check_path(k: int) -> str:
+    return (f"tests/test_m{k}.py", f"web/m{k}.test.ts", f"go/m{k}_test.go", f".github/workflows/w{k}.yml", f"svc{k}/pyproject.toml", f"app{k}/package.json", f"src/m{k}.py", f"docs/d{k}.md")[k % 8]
+
+
+def _test(k: int, i: int, r: random.Random) -> list[str]:
+    name, n = f"{r.choice(['one', 'two', 'big', 'odd'])}_{r.randint(1, 4)}", r.randint(1, 9)
+    bound = r.choice([f"x < {n}", f"x >= {n}", f"{n} > x", f"x == {n}", f"f(timeout={n})", f"abs(a - b) < 0.{n}", f"f(min_size={n}, max_delay={n})"])
+    return (
+        [f"def test_{name}():", f"    assert {bound}", *(["    assert f()  # noqa"] if r.random() < 0.1 else []), ""],
+        [f"it('{name}', async () => {{", f"  expect({bound.replace('==', '===')}).toBe(true);", "  if (/[)}]/.test(x)) { y(`${z}`); }", "});"],
+        [f"func Test{name.title()}(t *testing.T) {{", f"\tif {bound} {{", "\t\tt.Fatalf(\"no\")", "\t}", "}"],
+    )[i]
+
+
+def check_text(k: int, r: random.Random) -> str:
+    kind, lines = k % 8, []
+    if kind < 3:
+        for _ in range(r.randint(1, 6)):
+            lines += _test(k, kind, r) + [""] * r.choice([0, 1])
+        if kind == 0 and r.random() < 0.1:
+            lines.append("print 'not python 3'")
+    elif kind == 3:
+        lines = ["name: w", "on: push", "jobs:", "  a:", f"    timeout-minutes: {r.randint(1, 60)}", "    steps:"]
+        for _ in range(r.randint(1, 6)):
+            lines.append("      " + r.choice(["- run: pytest -q", "- run: ruff check .", "- uses: actions/checkout@v4", "- run: pip install x && mypy src", "- npm test", "# - run: pytest", f"- run: cov --fail-under={r.randint(50, 99)}", "- name: lint"]))
+    elif kind == 4:
+        lines = ["[tool.pytest.ini_options]", f"testpaths = [{', '.join(repr(x) for x in r.sample(['tests', 'more', 'e2e', 'unit'], r.randint(1, 4)))}]", f"python_files = {r.choice(['test_*.py', 'test_*.py check_*.py'])}", "[tool.coverage.report]", f"fail_under = {r.randint(50, 99)}", f"max_retries = {r.randint(0, 9)}", "# end"]
+    elif kind == 5:
+        lines = ["{", ' "scripts": {', ",\n".join(f'  "{n}": "{r.choice(["jest", "tsc -p .", "echo 1", "node x.js"])}"' for n in r.sample(["test", "lint", "build", "check:types", "start", "pretest"], r.randint(1, 5))), " },", f' "jest": {{"coverageThreshold": {r.randint(10, 99)}}}', "}"]
+    else:
+        lines = [r.choice(["x = 1", "y = f(x)  # type: ignore", "", "# noqa", "z = 3"]) for _ in range(r.randint(0, 9))]
+    return "\n".join(lines) + r.choice(["", "\n"])
+
+
+def _edited(text: str, r: random.Random) -> str:
+    lines = text.split("\n")
+    for _ in range(r.choice([0, 1, 1, 2, 4])):
+        i = r.randrange(len(lines))
+        how = r.randrange(11)
+        if how < 4:
+            lines[i] = re.sub(r"(?<![\w.])\d+(?!\w)", lambda m: str(max(0, int(m[0]) + r.randint(-3, 3))), lines[i])
+        elif how == 4:
+            del lines[i]
+        elif how == 5:
+            lines.insert(r.randrange(len(lines) + 1), lines.pop(i))
+        elif how == 6:
+            lines.insert(i, lines[i])
+        elif how == 7:
+            lines[i] += r.choice(["  # noqa", " || true", "  // eslint-disable-line", "  # pragma: no cover", " -k 'not slow'", " --no-cov"])
+        elif how == 8:
+            lines[i] = re.sub(r"(one|two|big|odd|One|Two|Big|Odd)_", lambda m: m[1] + "X_", lines[i])
+        elif how == 9:
+            lines[i] = lines[i].replace("tests", "later").replace("pytest", "echo").replace("jest", "true").replace("fail_under", "other")
+        else:
+            lines.insert(i, r.choice(["@pytest.mark.skip", "# comment", "", "it.skip('x', f)", "omit = src/*"]))
+        lines = lines or [""]
+    return "\n".join(lines)
+
+
+def checked(k: int, seed: str, state: str) -> tuple[str, str] | None:
+    """The path and text of k's file in a state, base or now, or None where it isn't there."""
+    r = random.Random(f"{k} {seed} checks")
+    path, text, fate = check_path(k), check_text(k, r), r.random()
+    if state == "base":
+        return None if fate > 0.96 else (path, text)
+    if fate < 0.05:
+        return None
+    if fate < 0.12:
+        return (r.choice([f"old/{k}.txt", f"tests/test_moved{k}.py", f".github/workflows/moved{k}.yml"]), text)
+    return path, _edited(text, r)
+
+
+def checks(spark: SparkSession, sf_dir: str, state: str) -> DataFrame:
+    """(path, text): tests, build steps and settings for every row of part, in the state base or now."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [x for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (x := checked(k, s, state))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.string()) for i in (0, 1)], names=["path", "text"])
+
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "concat_ws(' ', p_name, p_retailprice) AS seed").mapInArrow(run, "path string, text string")
+
+
+def floor_conditions() -> list:
+    p = F.col("path")
+    return [T.test_in_guard(p) | p.rlike(r"_test\.go$"), T.is_ci(p) | p.rlike(r"(?:^|/)package\.json$"), floor.is_config(p)]
+
+
+@query()
+def floor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that a later state of tests, steps and settings lost or silenced, all ten kinds."""
+    return floor.findings(checks(spark, sf_dir, "base"), checks(spark, sf_dir, "now"), *floor_conditions())
+
+
+@query()
+def floor_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of findings and files of each kind."""
+    found = floor.findings(checks(spark, sf_dir, "base"), checks(spark, sf_dir, "now"), *floor_conditions())
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("n_files"))
