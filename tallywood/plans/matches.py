@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import matching, rules
+from ..operators import matching, notes, rules
 from .registry import query, table
 
 _STOP = ("the", "and", "that", "for", "with", "was", "are", "this", "from", "que", "les", "des", "der", "die", "und", "los", "las")
@@ -128,3 +128,37 @@ def companions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = docs.select("source", F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("word"), "doc_id").filter(F.length("word") >= 4).groupBy("source", "word").agg(F.min("doc_id").alias("owner"))
     words = docs.select("source", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})")))).alias("word"))
     return words.join(names, ["source", "word"]).filter("owner <> doc_id").select("doc_id", "word", "owner")
+
+
+#: Words of the given prose after which a turn or a test item names something.
+_CUES = ("with", "from", "for")
+
+
+def _described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations and test items: name (their first three words), tokens and triggers."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.substring_index("text", " ", 3)), "[^a-z]+", "-"), "^-+|-+$", "")
+    shaped = lambda df, id: df.select(id.alias("id"), name.alias("name"), T.tokens(F.col("text"), _STOP).alias("tokens"), notes.phrases(F.col("text"), _CUES).alias("triggers"))
+    return shaped(table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn")), shaped(table(spark, sf_dir, "benchmark"), F.col("item_id"))
+
+
+_CLEAN = "trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))"
+_RELATED = rf"""
+items AS (SELECT 'l' AS side, conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT 'r', item_id, text FROM benchmark),
+shaped AS (SELECT side, id, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^a-z]+', '-', 'g'), '-') AS name, {_TOKENS} AS tokens,
+  list_concat(regexp_extract_all(text, '"([^"\n]+)"', 1), list_filter(regexp_split_to_array(text, '[\s,.;:()"'']+'), lambda x: regexp_matches(x, '^/[a-z][a-z0-9-]+$')),
+    list_transform(regexp_split_to_array(text, '[,.;:()\n]|\s(?:or|nor|and)\s'), lambda x: regexp_extract(x, '(?i)\b(?:{"|".join(_CUES)})\s+([A-Za-z0-9].*)$', 1))) AS said FROM items),
+d AS (SELECT *, list_filter(list_distinct(list_transform(said, lambda x: {_CLEAN})), lambda x: length(x) BETWEEN 3 AND 60) AS triggers,
+  list_filter(list_distinct(string_split(name, '-')), lambda x: x NOT IN ('and', 'skill', 'skills', 'the')) AS parts FROM shaped),
+p AS (SELECT a.id AS l, b.id AS r, a.name AS an, b.name AS bn, list_sort(list_intersect(a.tokens, b.tokens)) AS shared, len(a.tokens) AS n, len(b.tokens) AS m,
+  list_sort(list_intersect(a.triggers, b.triggers)) AS st, len(list_intersect(a.parts, b.parts)) AS np FROM d a, d b WHERE a.side = 'l' AND b.side = 'r'),
+k AS (SELECT *, len(shared) AS s, CASE WHEN n + m > 0 THEN len(shared) / (n + m - len(shared))::DOUBLE ELSE 0 END AS j, CASE WHEN least(n, m) > 0 THEN len(shared) / least(n, m)::DOUBLE ELSE 0 END AS o FROM p),
+h AS (SELECT *, an = bn OR (length(an) > 5 AND contains(bn, an)) OR (length(bn) > 5 AND contains(an, bn)) OR (np >= 2 AND (j >= 0.05 OR len(st) > 0)) AS hit FROM k),
+c AS (SELECT l, r, CASE WHEN an = bn OR (len(st) > 0 AND j >= 0.2) OR j >= 0.35 OR (o >= 0.6 AND s >= 8) THEN 'duplicate' WHEN hit OR len(st) > 0 OR j >= 0.15 OR (o >= 0.4 AND s >= 5) THEN 'sibling' END AS kind,
+  round(j, 3) AS jaccard, round(o, 3) AS overlap, shared[1:12] AS shared_tokens, st AS shared_triggers, an = bn AS same_name FROM h)
+"""
+
+
+@query(f"WITH {_RELATED} SELECT *, row_number() OVER (ORDER BY kind <> 'duplicate', -jaccard, l, r) AS place FROM c WHERE kind IS NOT NULL")
+def collate_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and test items of one kind, by name, trigger phrases and words, duplicates first."""
+    return matching.collated(matching.related(*_described(spark, sf_dir)))
