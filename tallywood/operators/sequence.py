@@ -73,19 +73,44 @@ def as_of(probes: DataFrame, versions: DataFrame, of: Sequence[str], at: str, ve
     return both.withColumn(version, F.last("__v", ignorenulls=True).over(w)).filter("__p = 1").drop("__v", "__p")
 
 
+def swept(marks: DataFrame, places: DataFrame, sums: Sequence[str], last: Sequence[str] = (), block: int = 1024, path: str = "path") -> DataFrame:
+    """The distinct places (path, at) with the sums of the columns sums of all marks (path, at, …) of the path before at, and the
+    values of the columns last of the nearest such mark (the one with the greatest at; ties: the greatest values).
+
+    Places and marks are sorted together within blocks of block lines, and a block gets the totals of those before it. A
+    path with a third of all rows is many blocks, and a window holds the places of one, however many rows ask for them.
+    """
+    held = F.struct(F.col("at").alias("__at"), *last)
+    of = F.floor(F.col("at") / block).alias("__b")
+    m = marks.select(path, "at", of, *sums, held.alias("__last"), F.lit(True).alias("__mark"))
+    p = places.select(path, "at", of, F.lit(False).alias("__mark")).distinct()
+    w = Window.partitionBy(path, "__b").orderBy("at", "__mark", "__last").rowsBetween(Window.unboundedPreceding, -1)  # a mark at the place itself comes after it
+    both = p.unionByName(m, allowMissingColumns=True)
+    within = both.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sums} | {"__near": F.last("__last", ignorenulls=True).over(w)}).filter("NOT __mark")
+    totals = both.groupBy(path, "__b").agg(*[F.sum(c).alias(c) for c in sums], F.max("__last").alias("__last"))
+    b = Window.partitionBy(path).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    before = totals.select(path, "__b", *[F.coalesce(F.sum(c).over(b), F.lit(0)).alias(f"__of_{c}") for c in sums], F.max("__last").over(b).alias("__far"))
+    near = F.coalesce("__near", "__far")
+    return within.join(before, [path, "__b"]).select(path, "at", *[(F.col(f"__in_{c}") + F.col(f"__of_{c}")).alias(c) for c in sums], *[near[c].alias(c) for c in last])
+
+
 def carried(pointers: DataFrame, hunks: DataFrame, path: str = "path") -> DataFrame:
     """pointers (path, id, lo, hi) carried across hunks (path, old_start, old_len, new_len): new_lo, new_hi.
 
-    A pointer moves by the lines that hunks wholly above it add or take away; one that a hunk touches
-    can't be carried and gets nulls. The hunks of a path are an equi-join away; their sum is taken
-    before anything is shuffled again.
+    A pointer moves by the lines that hunks wholly above it add or take away; one that a hunk touches can't be carried and gets
+    nulls. A hunk touches it where more hunks have begun at hi or above than have ended above lo. Both are sums of a sweep.
     """
-    h = hunks.select(path, "old_start", "old_len", "new_len")
+    one = F.lit(1).cast("long")
     end = F.col("old_start") + F.greatest(F.col("old_len"), F.lit(1)) - 1
-    above = F.when(end < F.col("lo"), F.col("new_len") - F.col("old_len")).otherwise(0)
-    meets = (F.col("old_start") <= F.col("hi")) & (end >= F.col("lo"))
-    both = pointers.join(h, path, "left").groupBy(path, "id", "lo", "hi").agg(F.coalesce(F.sum(above), F.lit(0)).alias("shift"), F.max(F.coalesce(meets, F.lit(False))).alias("cut"))
-    return both.select(path, "id", "lo", "hi", F.when(~F.col("cut"), F.col("lo") + F.col("shift")).cast("long").alias("new_lo"), F.when(~F.col("cut"), F.col("hi") + F.col("shift")).cast("long").alias("new_hi"), F.col("cut").alias("changed"))
+    above = hunks.select(path, end.cast("long").alias("at"), (F.col("new_len") - F.col("old_len")).cast("long").alias("shift"), one.alias("ended"))
+    begun = hunks.select(path, F.col("old_start").cast("long").alias("at"), one.alias("begun"))
+    p = pointers.select(path, "id", "lo", "hi")
+    high = swept(begun, p.select(path, (F.col("hi") + 1).cast("long").alias("at")), ["begun"], path=path).select(path, (F.col("at") - 1).alias("hi"), "begun")
+    low = swept(above, p.select(path, F.col("lo").cast("long").alias("at")), ["shift", "ended"], path=path).withColumnRenamed("at", "lo")
+    both = p.join(low, [path, "lo"]).join(high, [path, "hi"])
+    cut = F.col("begun") > F.col("ended")
+    moved = lambda c: F.when(~cut, F.col(c) + F.col("shift")).cast("long")
+    return both.select(path, "id", "lo", "hi", moved("lo").alias("new_lo"), moved("hi").alias("new_hi"), cut.alias("changed"))
 
 
 def stale(regions: DataFrame, hunks: DataFrame, bucket: int = 64, path: str = "path") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import floor, python_source
+from ..operators import aim, floor, graph, python_source
 from .registry import query, table
 
 #: Files of one folder.
@@ -197,8 +197,10 @@ def _edited(text: str, r: random.Random) -> str:
     lines = text.split("\n")
     for _ in range(r.choice([0, 1, 1, 2, 4])):
         i = r.randrange(len(lines))
-        how = r.randrange(11)
-        if how < 4:
+        how = r.randrange(12)
+        if how == 11:
+            lines[i : i + 2] = ["  " + x for x in lines[i : i + 2]]
+        elif how < 4:
             lines[i] = re.sub(r"(?<![\w.])\d+(?!\w)", lambda m: str(max(0, int(m[0]) + r.randint(-3, 3))), lines[i])
         elif how == 4:
             del lines[i]
@@ -219,20 +221,22 @@ def _edited(text: str, r: random.Random) -> str:
 
 
 def checked(k: int, seed: str, state: str) -> tuple[str, str] | None:
-    """The path and text of k's file in a state, base or now, or None where it isn't there."""
+    """The path and text of k's file in a state, base, proof or now, or None where it isn't there."""
     r = random.Random(f"{k} {seed} checks")
     path, text, fate = check_path(k), check_text(k, r), r.random()
     if state == "base":
         return None if fate > 0.96 else (path, text)
     if fate < 0.05:
         return None
+    if state == "proof":
+        return path, _edited(text, random.Random(f"{k} {seed} proof"))
     if fate < 0.12:
         return (r.choice([f"old/{k}.txt", f"tests/test_moved{k}.py", f".github/workflows/moved{k}.yml"]), text)
     return path, _edited(text, r)
 
 
 def checks(spark: SparkSession, sf_dir: str, state: str) -> DataFrame:
-    """(path, text): tests, build steps and settings for every row of part, in the state base or now."""
+    """(path, text): tests, build steps and settings for every row of part, in the state base, proof or now."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -258,3 +262,28 @@ def floor_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of findings and files of each kind."""
     found = floor.findings(checks(spark, sf_dir, "base"), checks(spark, sf_dir, "now"), *floor_conditions())
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("n_files"))
+
+
+def _aimed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pointers, one for every line item, into the files of parts in their earlier state, and what became of those files.
+
+    (pointers, hunks, old lines, new lines, hunks up to a proof, hunks since, proofs)
+    """
+    state = lambda name, text: checks(spark, sf_dir, name).groupBy("path").agg(F.min("text").alias(text))
+    files = graph.cut(state("base", "old").join(state("now", "new"), "path").join(state("proof", "mid"), "path"))
+    lines = lambda text: files.select("path", F.posexplode(F.split(text, "\n")).alias("i", "body")).select("path", (F.col("i") + 1).alias("line"), F.regexp_replace("body", r"^\s+|\s+$", "").alias("said"))
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("k"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("id"), "l_orderkey", F.col("l_quantity").cast("long").alias("q"))
+    n = F.size(F.split("old", "\n"))
+    lo = F.col("l_orderkey") % n + 1
+    hi = F.when(F.col("q") % 3 == 0, F.least(n.cast("long"), lo + F.col("q") % 7)).otherwise(lo)
+    placed = item.join(files.select("path", "old", F.regexp_extract("path", r"(\d+)", 1).alias("k")), "k")
+    pointers = placed.select("path", "id", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), "q").groupBy("path", "id").agg(F.min(F.struct("lo", "hi", "q")).alias("m")).select("path", "id", "m.*")
+    between, after = (aim.hunks(files.select("path", F.col(a).alias("old"), F.col(b).alias("new"))) for a, b in (("old", "mid"), ("mid", "new")))
+    return pointers.drop("q"), aim.hunks(files), lines("old"), lines("new"), between, after, pointers.filter("q % 2 = 0")
+
+
+@query()
+def reaimed_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every pointer into a changed file leads now: kept, moved, proved, found, declined or by hand."""
+    pointers, hunks, old, new, between, after, proofs = _aimed(spark, sf_dir)
+    return aim.reaimed(pointers, graph.cut(hunks), old, new, graph.cut(between), graph.cut(after), proofs)
