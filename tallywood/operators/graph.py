@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,18 +149,23 @@ def _chain(seen: DataFrame, goal) -> list:
     return out
 
 
-def closure_labels(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, label): the smallest node from which each can be reached, itself included."""
+def closure_labels(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node from which each can be reached, itself included.
+
+    Labels only fall, so the rounds end by themselves. After each, a node also takes the label of the node that its own
+    label names, which reaches it as well; so long ways take few rounds.
+    """
     step = cut(edges.select("src", "dst").distinct())
     nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
     labels = cut(nodes.withColumn("label", F.col("node")))
-    for _ in range(rounds):
+    while True:
         near = step.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("near"))
-        new = cut(labels.join(near, "node", "left").select("node", F.least("label", "near").alias("label"), (F.coalesce("near", "label") < F.col("label")).alias("moved")))
+        nearer = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        onward = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
+        new = cut(nearer.join(onward, F.col("label") == F.col("via")).select("node", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")))
         labels = new.select("node", "label")
         if not new.filter("moved").limit(1).count():
             return labels
-    raise RuntimeError("the labels haven't settled")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -198,29 +205,96 @@ def weights(edges: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
-def clusters(edges: DataFrame) -> DataFrame:
+#: A graph with at most so many weighted pairs (a, b, w) is worked in one task; a larger one by sweeps of joins.
+SMALL_PAIRS = 400_000
+
+
+def clusters(edges: DataFrame, small_pairs: int = SMALL_PAIRS) -> DataFrame:
     """(node, community, size): communities by modularity, each named by its smallest node.
 
-    Nodes move until no move gains, then communities become the nodes of the next level, until a level
-    moves nothing. Moves are decided for a sweep at once (see settled) instead of node after node, so no
-    task holds the graph; the communities may differ from those of a sequential pass.
+    Nodes move until no move gains, then communities become the nodes of the next level, until a level moves nothing. While
+    the graph has more than small_pairs pairs, a level's moves are decided for a sweep at once, on all machines
+    (settled), so no task holds it; once it has been contracted below that, which is counted before, one task finishes
+    it node by node (sequential). Both only make moves that raise the modularity, and lose no edge.
     """
     w = cut(weights(edges))
     of = cut(w.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
     while True:
-        labels = settled(w)
+        alone = w.limit(small_pairs + 1).count() <= small_pairs
+        labels = cut(sequential(w)) if alone else settled(w)
         if not labels.filter("node <> c").limit(1).count():
             break
         names = labels.groupBy("c").agg(F.min("node").alias("name"))
         named = cut(labels.join(names, "c").select("node", "name"))
         of = cut(of.join(named.select(F.col("node").alias("community"), "name"), "community").select("node", F.col("name").alias("community")))
-        if named.select("name").distinct().count() == named.count():
+        if alone or named.select("name").distinct().count() == named.count():
             break
         ends = w.join(named.select(F.col("node").alias("a"), F.col("name").alias("x")), "a").join(named.select(F.col("node").alias("b"), F.col("name").alias("y")), "b")
         w = cut(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
     return of.join(of.groupBy("community").agg(F.count(F.lit(1)).alias("size")), "community").select("node", "community", "size")
 
 
+def moved_alone(around: list[dict[int, int]], inner: list[int]) -> list[int]:
+    """The community of each node once no move gains: node after node, in their order, to the neighbours' community that gains
+    most (ties: the smallest). around: each node's neighbours and weights; inner: each node's weight with itself, both ways."""
+    k = [sum(x.values()) + own for x, own in zip(around, inner, strict=True)]
+    total, of, mass = sum(k), list(range(len(k))), list(k)
+    moving = True
+    while moving:
+        moving = False
+        for i, near in enumerate(around):
+            links: dict[int, int] = {of[i]: 0}
+            for j, x in near.items():
+                links[of[j]] = links.get(of[j], 0) + x
+            mass[of[i]] -= k[i]
+            gain = {c: x * total - k[i] * mass[c] for c, x in links.items()}
+            best = min(links, key=lambda c: (-gain[c], c != of[i], c))  # noqa: B023
+            moving |= best != of[i]
+            of[i] = best
+            mass[best] += k[i]
+    return of
+
+
+def sequential(w: DataFrame) -> DataFrame:
+    """(node, c) of a graph that one task can hold, w (a, b, w) both ways: all levels, from nodes apart."""
+    node = w.schema["a"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        names = pc.unique(t["a"]).sort()
+        place = lambda c: pc.index_in(t[c], names).to_pylist()
+        around: list[dict[int, int]] = [{} for _ in names]
+        inner = [0] * len(around)
+        for i, j, x in zip(place("a"), place("b"), t["w"].to_pylist(), strict=True):
+            if i == j:
+                inner[i] += x
+            else:
+                around[i][j] = around[i].get(j, 0) + x
+        label = list(range(len(around)))
+        while True:
+            of = moved_alone(around, inner)
+            number = {c: n for n, c in enumerate(dict.fromkeys(of))}
+            if len(number) == len(of):
+                break
+            level = [number[c] for c in of]
+            label = [level[x] for x in label]
+            larger: list[dict[int, int]] = [{} for _ in number]
+            inside = [0] * len(number)
+            for i, near in enumerate(around):
+                inside[level[i]] += inner[i]
+                for j, x in near.items():
+                    if level[j] == level[i]:
+                        inside[level[i]] += x
+                    else:
+                        larger[level[i]][level[j]] = larger[level[i]].get(level[j], 0) + x
+            around, inner = larger, inside
+        first: dict[int, int] = {}
+        for i, c in enumerate(label):
+            first.setdefault(c, i)
+        return pa.table({"node": names, "c": names.take(pa.array([first[c] for c in label]))})
+
+    return w.groupBy(F.lit(1).alias("all")).applyInArrow(run, f"node {node}, c {node}")  # the caller has counted the pairs
+
+
 def settled(w: DataFrame) -> DataFrame:
     """(node, c) of one level, w (a, b, w) both ways: from nodes apart, until no node gains by a move.
 

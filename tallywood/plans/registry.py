@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import graphs, histories, links, matches, rest, scans, snapshots, trees, guards, prose, source_trees  # noqa: E402,F401  they register themselves
+from . import graphs, histories, links, matches, rest, scans, snapshots, trees, guards, prose, source_trees, commit_graphs  # noqa: E402,F401  they register themselves

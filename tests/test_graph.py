@@ -1,5 +1,5 @@
 import random
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 
@@ -49,6 +49,42 @@ def test_cycles_are_strong_components(spark):
     assert G.cycles(made(spark, [("a", "b")])).count() == 0
 
 
+def modularity(edges, of):
+    """In units of 1 / (2 m) ** 2."""
+    degree, total = Counter(), 2 * len(edges)
+    for a, b in edges:
+        degree[a] += 1
+        degree[b] += 1
+    mass = Counter()
+    for n, k in degree.items():
+        mass[of[n]] += k
+    return sum(2 for a, b in edges if of[a] == of[b]) * total - sum(m * m for m in mass.values())
+
+
+@pytest.mark.parametrize("small_pairs", [0, 10**6])
+def test_clusters_on_all_machines_and_in_one_task(spark, small_pairs):
+    r = random.Random(9)
+    edges = sorted({(f"g{g}n{r.randrange(12):02d}", f"g{g}n{r.randrange(12):02d}") for g in range(5) for _ in range(40)} | {(f"g{r.randrange(5)}n{r.randrange(12):02d}", f"g{r.randrange(5)}n{r.randrange(12):02d}") for _ in range(15)})
+    edges = sorted({tuple(sorted(e)) for e in edges if e[0] != e[1]})
+    got = {x.node: x.community for x in G.clusters(made(spark, edges), small_pairs).collect()}
+    names = sorted({n for e in edges for n in e})
+    place, around = {n: i for i, n in enumerate(names)}, [{} for _ in names]
+    for a, b in edges:
+        around[place[a]][place[b]] = around[place[b]][place[a]] = 1
+    one = G.moved_alone(around, [0] * len(names))
+    assert set(got) == set(names) and all(min(n for n in got if got[n] == c) == c for c in set(got.values()))
+    assert modularity(edges, got) >= 0.9 * modularity(edges, {n: one[place[n]] for n in names})
+    planted = modularity(edges, {n: n[:2] for n in names})
+    assert modularity(edges, got) >= 0.9 * planted
+
+
+def test_estimates_stay_small_over_many_rounds(spark):
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(240)] + [("n240", "n000")]
+    labels = G.closure_labels(made(spark, edges))
+    assert {x.label for x in labels.collect()} == {"n000"}
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 30
+
+
 def test_clusters_part_two_cliques(spark):
     edges = [(f"{s}{i}", f"{s}{j}") for s in "ab" for i in range(5) for j in range(i)] + [("a0", "b0")]
     got = {r.node: r.community for r in G.clusters(made(spark, edges)).collect()}
