@@ -32,20 +32,35 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, small, staged
+from .common import running, sliced, small, staged
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of pieces that a task numbers at a time, bytes that a bucket's database may hold in memory, and the largest bit map.
-CHUNK_BYTES, BUCKET_MEMORY, MAP_BITS = 6 << 20, "300MB", 27
+CHUNK_BYTES, BUCKET_MEMORY, MAP_BITS = 14 << 20, "300MB", 27
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def _pieces_of(langs: pa.Array, texts: pa.Array) -> pa.Table:
+    """(lang, piece, m) of some rows, equal pieces of a language once."""
+    texts = pc.ascii_lower(texts.fill_null(""))
+    listed = pc.split_pattern_regex(texts, r"[.,;:!?\n-\r]")
+    piece = pc.ascii_trim(pc.replace_substring_regex(listed.flatten(), r"[ \t]+", " "), " ")
+    lang = langs.fill_null("und").take(pc.list_parent_indices(listed))
+    some = pc.not_equal(piece, "")
+    rows = pa.table({"lang": lang.cast(pa.string()), "piece": piece}).filter(some)
+    found = rows.group_by(["lang", "piece"], use_threads=False).aggregate([([], "count_all")])
+    return pa.table({"lang": found["lang"], "piece": found["piece"].cast(pa.string()), "m": found["count_all"].cast(pa.int64())})
+
+
 def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, piece, m): the distinct pieces, words joined by one blank, and how often each comes."""
-    cut = F.explode(F.split(F.translate("text", UPPER, LOWER), r"[.,;:!?\n-\r]"))
-    each = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), cut.alias("piece"))
-    plain = each.withColumn("piece", F.trim(F.regexp_replace("piece", r"[ \t]+", " "))).filter("piece <> ''")
-    return plain.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("m"))
+    """(lang, piece, m): the distinct pieces, words joined by one blank, and how often each comes; A-Z in lower case."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in sliced(b, [1], CHUNK_BYTES):
+                yield from _pieces_of(part.column(0), part.column(1)).to_batches(20_000)
+
+    each = docs.select("lang", "text").mapInArrow(run, "lang string, piece string, m long")
+    return each.groupBy("lang", "piece").agg(F.sum("m").alias("m"))
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -90,3 +90,15 @@ def test_the_bit_map_holds_all_of_its_phrases(spark):
     part = pa.table({"lang": [r[0] for r in rows], "piece": [f"{r[1]} end" for r in rows], "m": pa.array([1] * len(rows), pa.int64())})
     kept = P.grams(part, 3, np.full(len(bits), 255, np.uint8)).num_rows
     assert kept == len(rows) and np.unpackbits(bits).sum() <= len(rows) and len(bits) == 8192
+
+
+def test_pieces_of_a_part_of_a_batch():
+    r = random.Random(7)
+    texts, langs = [made(r) if i % 9 else None for i in range(300)], [r.choice(["en", None, "fr"]) for _ in range(300)]
+    want = Counter()
+    for lang, t in zip(langs[90:210], texts[90:210], strict=True):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(LOW)):
+            if w := re.findall(r"[^\x20\x09]+", piece):
+                want[lang or "und", " ".join(w)] += 1
+    got = P._pieces_of(pa.array(langs).slice(90, 120), pa.array(texts, pa.string()).slice(90, 120)).to_pylist()
+    assert {(x["lang"], x["piece"]): x["m"] for x in got} == want and len(got) == len(want)
