@@ -126,6 +126,32 @@ def stale(regions: DataFrame, hunks: DataFrame, bucket: int = 64, path: str = "p
     return met.groupBy(path, "id").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def innermost(spans: DataFrame, points: DataFrame, path: str = "path", block: int = 1024) -> DataFrame:
+    """points (path, at, …) with id, lo and hi of the smallest span (path, id, lo, hi) that holds at, null where none does.
+
+    Spans of a path nest or lie apart; of equal ones that with the greatest id is the innermost. What a stack would hold is told
+    by sums: a span's level is the number of spans open where it begins, itself included, and the innermost span at a place
+    is the last one begun of the level that is open there. So two sweeps find it, and no span meets the points that it holds.
+    """
+    one = F.lit(1).cast("long")
+    of = spans.select(path, "id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    change = of.select(path, F.col("lo").alias("at"), one.alias("open")).unionAll(of.select(path, F.col("hi") + 1, -one))
+    # spans that begin at one line: the outer ones first
+    same = F.row_number().over(Window.partitionBy(path, "lo").orderBy(F.desc("hi"), "id"))
+    # open where a span begins, less those that begin there: what was open before, less what ends there
+    ended = of.select(path, (F.col("hi") + 1).alias("at"), (-one).alias("open"))
+    begun = of.select(path, F.col("lo").alias("at"), one.alias("open"))
+    before = swept(begun, of.select(path, F.col("lo").alias("at")), ["open"], block=block, path=path).withColumnRenamed("open", "b")
+    closed = swept(ended, of.select(path, (F.col("lo") + 1).alias("at")), ["open"], block=block, path=path).select(path, (F.col("at") - 1).alias("at"), F.col("open").alias("e"))
+    level = of.withColumn("same", same).join(before.withColumnRenamed("at", "lo"), [path, "lo"]).join(closed.withColumnRenamed("at", "lo"), [path, "lo"]).withColumn("level", F.col("b") + F.col("e") + F.col("same"))
+    depth = swept(change, points.select(path, (F.col("at") + 1).cast("long").alias("at")), ["open"], block=block, path=path).select(path, (F.col("at") - 1).alias("at"), F.col("open").alias("level"))
+    lane = F.struct(path, "level")
+    marks = level.select(lane.alias("lane"), F.col("lo").alias("at"), F.struct("id", "lo", "hi").alias("span"))
+    asked = depth.filter("level > 0").select(lane.alias("lane"), (F.col("at") + 1).cast("long").alias("at"))
+    last = swept(marks, asked, [], ["span"], block=block, path="lane").select(F.col(f"lane.{path}").alias(path), (F.col("at") - 1).alias("at"), "span")
+    return points.join(last, [path, "at"], "left").select(*points.columns, "span.id", "span.lo", "span.hi")
+
+
 def smallest(df: DataFrame, of: Sequence[str], value: str, k: int) -> DataFrame:
     """(of, first, n): the k smallest values of each key in order, and how many there are.
 

@@ -122,3 +122,21 @@ def judge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.round((F.col("label") + 1) / (1.0 + F.col("m")), 6)
     band, near = judgment(F.col("p"))
     return rows.join(F.broadcast(top)).select("vec_id", p.alias("p")).withColumns({"band": band, "near": near})
+
+
+#: Nested spans of lines: a key's aligned block of 1, 4, 16, … lines, by the number of its line; suppliers' parts are the paths.
+_NESTED = """
+s AS (SELECT DISTINCT l_suppkey AS path, (l_orderkey % 5000) - (l_orderkey % 5000) % (4 ** l_linenumber)::BIGINT AS lo, (4 ** l_linenumber)::BIGINT AS n FROM lineitem),
+s2 AS (SELECT path, n AS id, lo, lo + n - 1 AS hi FROM s),
+p AS (SELECT DISTINCT l_suppkey AS path, l_partkey % 5000 AS at FROM lineitem)
+"""
+
+
+@query(f"""WITH {_NESTED} SELECT p.path, p.at, s2.id, s2.lo, s2.hi FROM p LEFT JOIN s2 ON s2.path = p.path AND p.at BETWEEN s2.lo AND s2.hi
+QUALIFY row_number() OVER (PARTITION BY p.path, p.at ORDER BY s2.lo DESC, s2.hi, s2.id DESC) = 1""")
+def innermost_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest of the nested spans of a path that holds each of its places."""
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("path"), "l_orderkey", "l_partkey", F.pow(F.lit(4), F.col("l_linenumber")).cast("long").alias("n"))
+    at = F.col("l_orderkey") % 5000
+    spans = item.select("path", F.col("n").alias("id"), (at - at % F.col("n")).alias("lo"), (at - at % F.col("n") + F.col("n") - 1).alias("hi")).distinct()
+    return sequence.innermost(spans, item.select("path", (F.col("l_partkey") % 5000).alias("at")).distinct())

@@ -107,3 +107,32 @@ def test_random_hunks_and_blocks(spark):
 def test_no_rows(spark):
     h, q = spark.createDataFrame([], f"path string, {A.HUNK}"), spark.createDataFrame([("a", "1", 2, 4)], "path string, id string, lo long, hi long")
     assert [(r.now_lo, r.now_hi) for r in A.carried(q, h).collect()] == [(2, 4)] and A.translated(q.limit(0), h).count() == 0
+
+
+def nested(r, lo, hi, out):
+    at = lo
+    while at < hi:
+        end = r.randint(at, hi)
+        if r.random() < 0.7:
+            out.append((at, end))
+            if r.random() < 0.6 and (at, end) != (lo, hi):
+                nested(r, at, end, out)
+        at = end + r.randint(1, 4)
+
+
+def test_the_innermost_span_wins(spark):
+    r = random.Random(2)
+    rows = []
+    for p in ("a", "b", "c"):
+        spans = []
+        nested(r, 1, 120, spans)
+        rows += [(p, i, lo, hi) for i, (lo, hi) in enumerate([*spans, *spans[:2]])]
+    points = [(p, at) for p in ("a", "b", "c", "none") for at in range(0, 125)]
+    df, q = spark.createDataFrame(rows, "path string, id long, lo long, hi long"), spark.createDataFrame(points, "path string, at long")
+    want = {}
+    for p, at in points:
+        held = [(lo, -hi, i) for x, i, lo, hi in rows if x == p and lo <= at <= hi]
+        want[p, at] = max(held)[2] if held else None
+    for block in (16, 1024):
+        assert {(x.path, x.at): x.id for x in Q.innermost(df, q, block=block).collect()} == want
+    assert any(v is None for v in want.values()) and Q.innermost(df.limit(0), q).filter("id IS NOT NULL").count() == 0
