@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ledger, rules, sequence
+from ..operators import ledger, mentions, rules, sequence
 from .registry import query, table
 
 
@@ -129,3 +129,35 @@ def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").filter(F.trim("body") != "")
     rows = rules.with_context(rows, "doc_id", r"[!?]$")
     return rows.select("doc_id", "line", F.substring("heading", 1, 40).alias("heading"), F.substring("before", 1, 40).alias("before"))
+
+
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_TABLE = ", ".join(f"({_quoted(r.category)}, {_quoted(r.label)}, {_quoted(r.scope)}, {_quoted(r.pattern)})" for r in mentions.TABLE)
+_MENTIONS = f"""
+rules(category, label, scope, pattern) AS (VALUES {_TABLE}),
+x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line FROM documents),
+c AS (SELECT *, last_value(CASE WHEN regexp_matches(body, '^#+ ') THEN body END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS heading,
+  coalesce(sum(CASE WHEN regexp_matches(body, '^(?:```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) % 2 = 1, false) AS fenced,
+  last_value(CASE WHEN trim(body) <> '' THEN body END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+h AS (SELECT c.*, category, label, scope, regexp_extract_all(body, pattern) AS ms, regexp_split_to_array(body, pattern) AS ps FROM c, rules WHERE regexp_matches(body, pattern)),
+e AS (SELECT *, ms[nth] AS match, list_sum(list_transform(ps[1:nth], lambda y: length(y)))::INT + coalesce(list_sum(list_transform(ms[1:nth - 1], lambda y: length(y))), 0)::INT AS "offset"
+  FROM (SELECT *, unnest(range(1, len(ms) + 1))::INT AS nth FROM h)),
+a AS (SELECT * FROM e WHERE CASE scope WHEN 'code' THEN fenced WHEN 'prose' THEN NOT fenced WHEN 'fetched' THEN regexp_matches(body, {_quoted(mentions.FETCH)}) OR coalesce(regexp_matches(before, {_quoted(mentions.FETCH)}), false)
+  WHEN 'remote' THEN NOT regexp_matches(body, {_quoted(mentions.LOCAL)}) ELSE true END),
+j AS (SELECT doc_id, line, category, label, nth, match, "offset", CASE WHEN scope = 'any' THEN NULL WHEN coalesce(regexp_matches(heading, {_quoted(mentions.WARNS)}), false) THEN 'heading'
+  WHEN regexp_matches(body, '^ *[|].*[|] *$') OR contains(body, ' | ') THEN 'table' WHEN scope IN ('affirmed', 'unquoted') AND len(regexp_extract_all(left(body, "offset"), {_quoted(mentions.QUOTE)})) % 2 = 1 THEN 'quoted'
+  WHEN scope = 'affirmed' AND regexp_matches(regexp_extract(left(body, "offset"), '([^.,;:!?]*)$', 1), {_quoted(mentions.DENIED)}) THEN 'denied' END AS why FROM a)
+"""
+
+
+@query(f"WITH {_MENTIONS} SELECT * FROM j")
+def rule_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of forty rules, judged at its own place."""
+    return mentions.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query(f"""WITH {_MENTIONS} SELECT doc_id, line, category, label, count(*) FILTER (why IS NULL) AS n, count(*) FILTER (why IS NOT NULL) AS mentions,
+  left(coalesce(string_agg(match, ' | ' ORDER BY nth) FILTER (why IS NULL), ''), 120) AS match FROM j GROUP BY ALL""")
+def mention_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line's flags and mentions, each counted apart."""
+    return mentions.flagged(mentions.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
