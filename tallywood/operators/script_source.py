@@ -207,3 +207,44 @@ def facts(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return files.filter(F.col("path").rlike(SCRIPT)).select("path", "text").mapInArrow(run, FACTS)
+
+
+# What a relative reference may leave out, in the order in which it is tried.
+ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+#: A compiled file is asked for where its source lies.
+COMPILED = {".js": (".ts", ".tsx"), ".jsx": (".tsx",), ".mjs": (".mts",), ".cjs": (".cts",)}
+
+
+def linked(files: DataFrame, stage=None) -> dict[str, DataFrame]:
+    """edges (src, dst, kind, line), unresolved (path, spec, kind, line) and externals (name, n_files) of a tree (path, text).
+
+    A relative reference leads to the first file that exists: as written, with an ending, as a folder's index, or at the
+    source of a compiled name. A bare one is a package's, named by its first part, or its first two after an @. String
+    constants that name a file (beside it, at the root, or below static or public) are references and never unresolved.
+    """
+    from .code import joined_path
+    from .graph import cut
+    from .python_source import beneath, first_existing, folder
+
+    known = (stage or cut)(facts(files)).withColumnRenamed("a", "spec")
+    paths, key = files.select("path").distinct(), ["path", "at", "kind", "line", "spec"]
+    asked = known.filter("kind IN ('import', 'reexport', 'require', 'dynamic-import')").select(*key)
+    near = asked.filter(F.col("spec").rlike(r"^\.{1,2}(?:/|$)")).withColumn("base", joined_path(folder(F.col("path")), F.regexp_replace("spec", r"[?#].*$", "")))
+    stem, ending = F.regexp_replace("base", r"\.\w+$", ""), F.regexp_extract("base", r"(\.\w+)$", 1)
+    sources = F.lit(None)
+    for made, of in COMPILED.items():
+        sources = F.when(ending == made, F.array(*[F.concat(stem, F.lit(e)) for e in of])).otherwise(sources)
+    tries = F.concat(F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat(F.col("base"), e)), F.coalesce(sources, F.array().cast("array<string>")))
+    found = near.join(first_existing(near.filter("base IS NOT NULL"), tries, paths, ["path", "at"]), ["path", "at"], "left")
+    literal = known.filter("kind = 'literal'").select(*key)
+    plain = F.regexp_replace("spec", r"^\.?/", "")
+    named = first_existing(literal, F.array(*[beneath(b, plain) for b in (folder(F.col("path")), F.lit(""), F.lit("static"), F.lit("public"))]), paths, ["path", "at", "line"])
+    edges = found.filter("target IS NOT NULL").select(F.col("path").alias("src"), F.col("target").alias("dst"), "kind", "line").unionByName(named.select(F.col("path").alias("src"), F.col("target").alias("dst"), F.lit("references").alias("kind"), "line"))
+    bare = asked.filter(~F.col("spec").rlike(r"^(?:\.{1,2}(?:/|$)|/|[a-z]+://)"))
+    name = F.regexp_extract("spec", r"^(@[^/]+/[^/]+|[^/]+)", 1)
+    return {
+        "facts": known,
+        "edges": edges.filter("src <> dst"),
+        "unresolved": found.filter("target IS NULL").select("path", "spec", "kind", "line"),
+        "externals": bare.groupBy(name.alias("name")).agg(F.count_distinct("path").alias("n_files")),
+    }

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import aim, floor, graph, python_source
+from ..operators import aim, floor, graph, python_source, script_source
 from .registry import query, table
 
 #: Files of one folder.
@@ -104,11 +104,29 @@ def python_text(k: int, r: random.Random) -> str:
     return ("﻿" if r.random() < 0.05 else "") + "\n".join(lines) + r.choice(["", "\n"])
 
 
+def script_text(k: int, r: random.Random) -> str:
+    lines = []
+    for _ in range(r.randint(0, 10)):
+        a = max(1, k + r.randint(-60, 60))
+        own, other = folder_of(k), path_of(a)
+        up = "../" * len(own.split("/"))
+        spec = r.choice([f"./{name_of(a)}", f"./app{a}", f"./view{a}.js", f"{up}{other}", f"{up}{other.rpartition('.')[0]}", "react", "@scope/pkg/deep", "node:fs", "./gone", "../../../../far", f"{up}{folder_of(a)}"])
+        q = r.choice("'\"")
+        lines += r.choice([
+            [f"import x{a} from {q}{spec}{q};"], [f"import {{ a as b,", f"  c }} from {q}{spec}{q}"], [f"import {q}{spec}{q}"], [f"export * from {q}{spec}{q};"], [f"export {{ y }} from {q}{spec}{q}"],
+            [f"const r{a} = require({q}{spec}{q});"], [f"const l = () => import({q}{spec}{q})"], [f"// import z from {q}{spec}{q}"], [f"/* export * from {q}{spec}{q}", "*/"], [f"const t = `import w from {q}{spec}{q}` + /import '[/]x'/.source;"],
+            [f"load({q}{r.choice([name_of(a), path_of(a), 'no.json'])}{q});"], [f"app.{r.choice(['get', 'post'])}({q}/x/{a}{q}, (q, s) => s.send(process.env.KEY_{a % 9}));"], ["const v = a / b / c; if (/[/'\"]/.test(v)) { w(`${v + `${1}`}`); }"],
+        ])
+    return "\n".join([*lines, f"export const v{k} = {r.randint(0, 9)};", ""])
+
+
 def text_of(k: int, seed: str) -> str:
     r, name = random.Random(f"{k} {seed}"), name_of(k)
     if name.endswith(".py"):
         return python_text(k, r)
-    return f"# {seed}\n\nSee [next]({name_of(k + 1)}).\n" if name.endswith(".md") else "{}\n" if name.endswith(".json") else f"export const v{k} = {r.randint(0, 9)};\n"
+    if name.endswith(".md"):
+        return f"# {seed}\n\nSee [next]({name_of(k + 1)}).\n"
+    return "{}\n" if name.endswith(".json") else script_text(k, r)
 
 
 def written(rows: DataFrame, make) -> DataFrame:
@@ -287,3 +305,18 @@ def reaimed_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every pointer into a changed file leads now: kept, moved, proved, found, declined or by hand."""
     pointers, hunks, old, new, between, after, proofs = _aimed(spark, sf_dir)
     return aim.reaimed(pointers, graph.cut(hunks), old, new, graph.cut(between), graph.cut(after), proofs)
+
+
+@query()
+def tree_script_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports, re-exports, required and named files of a tree's scripts, resolved to its files."""
+    found = script_source.linked(tree(spark, sf_dir).select("path", "text"))["edges"]
+    return found.groupBy("src", "dst", "kind").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def tree_script_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes and environment names of a tree's scripts, and references that lead nowhere."""
+    found = script_source.linked(tree(spark, sf_dir).select("path", "text"))
+    told = found["facts"].filter("kind IN ('route', 'environment')").select("path", "line", "kind", F.col("spec").alias("name"))
+    return told.unionByName(found["unresolved"].select("path", "line", F.concat(F.lit("unresolved "), "kind").alias("kind"), F.col("spec").alias("name")))
