@@ -99,7 +99,7 @@ def own_licenses(files: DataFrame, path: str, text: str, templates: Sequence[tup
     spark = files.sparkSession
     rows, idf, unknown = weights(templates)
     texts = files.filter(F.col(f"`{path}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{path}`").alias("path"), F.lower(F.col(f"`{text}`")).alias("text"))
-    lines = units(texts, idf, unknown, threshold)
+    lines = cut(units(texts, idf, unknown, threshold))  # texts are read once
     tf = lines.distinct().select("path", F.xxhash64("line", "whole").alias("line"), "whole", F.explode(F.regexp_extract_all("line", F.lit(f"({TERM})"))).alias("term")).filter(~F.col("term").isin(*STOP))
     tf = tf.groupBy("path", "line", "whole", "term").agg(F.count(F.lit(1)).alias("f"))
     # as many rows as the templates have terms
