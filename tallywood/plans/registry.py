@@ -26,6 +26,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from . import graphs, histories, links, matches, rest, scans, snapshots, trees, guards, prose, source_trees, commit_graphs, map_files  # noqa: E402,F401  they register themselves

@@ -91,15 +91,18 @@ def test_trees(spark, tmp_path):
 
 def test_streaming_keeps_the_last_capture(spark, tmp_path):
     schema = "key string, seq long, result string, metric double"
-    rows = [("a", 1, "pass", 1.0), ("a", 2, "fail", 3.0), ("b", 1, "fail", 1.0), ("a", 3, "pass", 2.0)]
+    rows = [("a", 1, "pass", 1.0), ("a", 2, "fail", 3.0), ("b", 1, "fail", 1.0), ("a", 3, "pass", 2.0), ("b", 2, "pass", None), ("b", 3, "pass", 4.0)]
     for i, part in enumerate((rows[:1], rows[1:3], rows[3:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = history.analysed(stream).writeStream.format("memory").queryName("captures").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    got = sorted((r.key, r.seq, r.moved) for r in spark.table("captures").collect())
-    assert [g[:2] for g in got] == [("a", 1), ("a", 2), ("a", 3), ("b", 1)] and {g[2] for g in got if g[0] == "b"} == {"nothing to compare"}
+    got = sorted((r.key, r.seq, r.moved, r.metric, r.delta) for r in spark.table("captures").collect())
+    assert [g[:2] for g in got] == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3)] and got[3][2] == "nothing to compare"
+    assert [g[3:] for g in got if g[0] == "b"] == [(1.0, None), (None, None), (4.0, None)]  # as in with_previous
+    want = sequence.with_previous(spark.createDataFrame(rows, schema).withColumn("bound", F.lit(None).cast("string")), ["key"], ["seq"])
+    assert {(r.key, r.seq): (r.moved, r.delta) for r in want.collect()} == {g[:2]: (g[2], g[4]) for g in got}
 
 
 def test_prose_with_nulls_and_empty_texts(spark):
