@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, tours
 from .registry import query, table
 
 
@@ -135,3 +135,24 @@ def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {USERS}, x AS (SELECT DISTINCT src, dst, kind FROM e), b AS (SELECT src AS a, dst AS b FROM x UNION ALL SELECT dst, src FROM x) SELECT a, b, count(*) AS w FROM b GROUP BY ALL")
 def edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.weights(user_edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {USERS} {_DEGREES}, h AS (SELECT node FROM d WHERE in_degree > 0 ORDER BY in_degree DESC, out_degree DESC, node LIMIT 15),
+r AS (SELECT h.node AS hub, e.src AS node FROM h JOIN e ON e.dst = h.node UNION SELECT r.hub, e.src FROM r JOIN e ON e.dst = r.node),
+t AS (SELECT user_id AS node FROM events GROUP BY user_id HAVING bool_or(event_type = 'signup'))
+SELECT h.node, (SELECT count(*) FROM r WHERE r.hub = h.node AND r.node <> h.node AND r.node IN (SELECT node FROM t)) AS n_tests FROM h""")
+def hub_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests that depend on each hub: users who signed up stand for tests."""
+    e = graph.cut(user_edges(spark, sf_dir))
+    tests = table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.col("user_id").alias("node"))
+    return tours.test_dependents(e, graph.hubs(e).select("node"), tests)
+
+
+@query()
+def graph_tour_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole order in which to read users by next errors: user 0 is the front page, who buys more than views a program, who mostly
+    views a page, and who signed up more than once a test (G11, T8)."""
+    e = graph.cut(user_edges(spark, sf_dir))
+    of = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.count_if(F.col("event_type") == "purchase").alias("buys"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("views"), F.count_if(F.col("event_type") == "signup").alias("signups"))
+    nodes = of.select("node", (F.col("node") == 0).alias("first"), (F.col("buys") > F.col("views")).alias("program"), (F.col("views") > 2 * F.col("clicks")).alias("page"), (F.col("signups") > F.col("buys") + F.col("clicks")).alias("test"))
+    return tours.tour(e, nodes, 0)
