@@ -190,7 +190,7 @@ def read(text: str | None) -> list[tuple[str, int, str | None, str | None, str |
                 add("test", i, told(k + 1), text[t[i].start : end].replace(told(k + 1), "\1"))
     for i, x in enumerate(t):
         v = _literal(x)
-        if i not in used and v and len(v) < 200 and re.fullmatch(r"(?:\.{0,2}/)?[\w-][\w./-]*\.[A-Za-z]\w*", v):
+        if i not in used and v and len(v) < 200 and re.match(r"(?:\.{0,2}/)?[\w-][\w./-]*\.[A-Za-z]\w*\Z", v):
             add("literal", i, v)
     return rows
 
