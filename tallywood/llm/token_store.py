@@ -183,11 +183,8 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
             whole.append(i)
             continue
         head, *rest = x.split(" ")
-        ids = list(map(known.get, rest))
-        lacks = ()
-        if None in ids:
-            lacks = [r for r, v in zip(rest, ids, strict=True) if v is None]
-            ids = [r if v is None else v for r, v in zip(rest, ids, strict=True)]
+        ids = list(map(known.get, rest, rest))  # a word that isn't known stands for itself
+        lacks = [v for v in ids if v.__class__ is str]
         if uneven(head if rest else "") or any(map(uneven_inside, lacks)):
             whole.append(i)
         else:
@@ -216,7 +213,7 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id: str = "doc_id", text: str = "text", end_id: int = 0, block_tokens: int = 1 << 20, checkpoint_steps: int = 128, blocks_per_file: int = 32) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id: str = "doc_id", text: str = "text", end_id: int = 0, block_tokens: int = 1 << 20, checkpoint_steps: int = 128, blocks_per_file: int = 8) -> None:
     """Writes the ids of every text of df under path."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -263,10 +260,11 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id: str = "doc_i
     counts = np.zeros(max([r.token for r in counted], default=0) + 1, np.int64)
     for r in counted:
         counts[r.token] = r.n
-    parts = sorted((r.part, r.n) for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    base, at = {}, 0
-    for part, n in parts:
-        base[part], at = at, at + n
+    # one row for each partition of the sort
+    parts = sorted((r.part, r.n, r.blocks) for r in blocks.groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")).collect())
+    base, at, nth = {}, 0, 0
+    for part, n, k in parts:
+        base[part], at, nth = (at, nth), at + n, nth + k
     table = Table.of_counts(counts)
     freq = table.freq.astype("<u4").tobytes()
     head = pack({"kind": "table", "scale": SCALE, "crc_of": table.crc}, {"freq": freq})
@@ -285,13 +283,15 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id: str = "doc_i
                 crcs = [zlib.crc32(values[i : i + span].astype("<u4").tobytes()) for i in range(0, len(values), span)]
                 names = ids.values
                 sections = {"ids": np.array(names.fill_null(0), "<i8").tobytes(), "null": np.packbits(np.array(names.is_null())).tobytes(), "lens": lens.as_py(), "states": b"".join(states), "words": words}
-                header = {"kind": "ids", "part": part.as_py(), "block": block.as_py(), "start": base[part.as_py()] + before.as_py(), "n": n.as_py(), "docs": len(names), "lanes": LANES, "every": checkpoint_steps, "reads": reads, "crcs": crcs, "table": table.crc}
+                header = {"kind": "ids", "part": part.as_py(), "block": block.as_py(), "start": base[part.as_py()][0] + before.as_py(), "n": n.as_py(), "docs": len(names), "lanes": LANES, "every": checkpoint_steps, "reads": reads, "crcs": crcs, "table": table.crc}
                 yield pa.RecordBatch.from_arrays([pa.array([pack(header, sections)], pa.binary())], names=["block"])
 
-    order = ["part", "block", "before", "n", "ids", "lens", "tokens"]
-    # staged blocks are read in any order: ranges put the files' blocks in that of the documents
-    ordered = blocks.select(*order).repartitionByRange("part", "block").sortWithinPartitions("part", "block")
-    write_blocks(ordered.mapInArrow(encode, "block binary"), "block", END_MARK, f"{path}/ids", blocks_per_file)
+    # staged blocks are read in any order: each goes to the file that holds its place among all blocks
+    numbers = F.broadcast(spark.createDataFrame([(p, i) for p, (_, i) in base.items()], "part long, nth long"))
+    placed = blocks.join(numbers, "part").withColumn("place", F.col("nth") + F.col("block"))
+    files = max(1, -(-nth // blocks_per_file))
+    ordered = placed.repartitionById(files, (F.col("place") / blocks_per_file).cast("int")).sortWithinPartitions("place")
+    write_blocks(ordered.select("part", "block", "before", "n", "ids", "lens", "tokens").mapInArrow(encode, "block binary"), "block", END_MARK, f"{path}/ids", blocks_per_file)
 
 
 def block_ids(header: dict, sections: dict[str, memoryview], table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
