@@ -50,13 +50,18 @@ def cut(df: DataFrame) -> DataFrame:
     return staged(df, "cut")
 
 
-#: A broadcast table has at most so many rows of one or two longs.
-SMALL_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, a staged table, marked for a broadcast where it has so few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: A broadcast table has at most so many rows, and so many bytes of text in them.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 64 << 20
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """df, a staged table, marked for a broadcast where it has so few rows and so few bytes of text."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    if texts and (df.agg(F.sum(sum(texts[1:], texts[0]))).first()[0] or 0) > size:
+        return df
+    return F.broadcast(df)
 
 
 def running(df: DataFrame, order: Sequence[str], sums: dict[str, str]) -> DataFrame:
