@@ -1,16 +1,19 @@
 """The order in which to read a graph of files, and the tests that depend on its hubs.
 
-What all entries reach is found in one walk, pairs of an entry and a node, and not in a walk for each entry; a round of it is
-one join. Only the entries themselves, with the programs that each of them drives, meet in one task, to be put in order.
+What entries reach is found for strongly connected components, whose nodes all reach the same, and the depth of a node
+for its first entry alone: no table has a row for each entry and node. Only the entries themselves, with the
+components whose programs drive theirs, meet in one task, to be put in order.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut, degrees, ranked
+from .graph import cut, cycles, degrees, ranked, shared_dir
 
 
 def reaches(edges: DataFrame, entries: DataFrame, reverse: bool = False) -> DataFrame:
@@ -37,25 +40,87 @@ def test_dependents(edges: DataFrame, hubs: DataFrame, tests: DataFrame) -> Data
     return hubs.select("node").distinct().join(found.groupBy(F.col("entry").alias("node")).agg(F.count(F.lit(1)).alias("n_tests")), "node", "left").select("node", F.coalesce("n_tests", F.lit(0)).alias("n_tests"))
 
 
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, part): the strongly connected component of each node of edges and of nodes (node), by its smallest node; one alone is its own."""
+    found = cycles(edges)
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(nodes.select("node")).distinct()
+    return cut(ends.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+
+
+def descendants(edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """(top, part): what each of tops (top) reaches over edges (src, dst), itself included. A round's rows are written once, beside those before."""
+    spark, step = edges.sparkSession, cut(edges.select("src", "dst").distinct())
+    path = f"{shared_dir(spark)}/reach-{uuid.uuid4().hex}"
+    new = cut(tops.select("top", F.col("top").alias("part")).distinct())
+    while new.limit(1).count():
+        new.write.mode("append").parquet(path)
+        seen = spark.read.schema(new.schema).parquet(path)
+        met = new.join(step.withColumnRenamed("src", "part"), "part").select("top", F.col("dst").alias("part")).distinct()
+        new = cut(met.join(seen, ["top", "part"], "left_anti"))
+    return spark.read.schema(new.schema).parquet(path) if tops.limit(1).count() else new
+
+
+def depths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, depth): the fewest edges from any of starts (node). A round's rows are written once, beside those before."""
+    spark, step = edges.sparkSession, cut(edges.select("src", "dst"))
+    path, depth = f"{shared_dir(spark)}/depth-{uuid.uuid4().hex}", 0
+    new = cut(starts.select("node", F.lit(0).alias("depth")).distinct())
+    schema = new.schema
+    while new.limit(1).count():
+        new.write.mode("append").parquet(path)
+        depth += 1
+        met = step.join(new.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        new = cut(met.join(spark.read.schema(schema).parquet(path), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+    return spark.read.schema(schema).parquet(path) if depth else new
+
+
 def _emitted(entries: DataFrame) -> DataFrame:
-    """(node, turn) of entries (node, nth, drives): by nth, but what an entry drives (numbers) is read before it."""
+    """(node, turn) of entries (node, nth, part, program, drivers): by nth, but the programs that drive an entry are read before it.
+
+    Those are the programs of drivers, parts that are told once for each part, at its first entry. Once an entry has been begun
+    it is never begun again, so each part's programs are passed through once, however many entries they drive.
+    """
     kind = entries.schema["node"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t["nth"].to_pylist(), t["drives"].to_pylist(), t["node"].to_pylist(), strict=True), key=lambda r: r[0])
-        drives, turn = {n: sorted(d or []) for n, d, _ in rows}, {}
-        for first, _, _ in rows:
-            stack, busy = [(first, iter(drives[first]))], {first}
-            while stack:
-                n, rest = stack[-1]
-                p = next((x for x in rest if x not in turn and x not in busy), None)
-                if p is not None:
-                    busy.add(p)
-                    stack.append((p, iter(drives[p])))
+        rows = sorted(zip(*(t[c].to_pylist() for c in ("nth", "part", "program", "drivers")), strict=True), key=lambda r: r[0])
+        part = {n: p for n, p, _, _ in rows}
+        programs: dict = {}
+        for n, p, is_program, _ in rows:
+            if is_program:
+                programs.setdefault(p, []).append(n)
+        drivers = {p: sorted(d, key=lambda x: programs[x][0]) for _, p, _, d in rows if d}
+        at, begun, turn = dict.fromkeys(programs, 0), set(), {}
+
+        def following(p) -> int | None:
+            """The first program not yet begun that drives the entries of p."""
+            best, left = None, []
+            parts = drivers.get(p, [])
+            for i, d in enumerate(parts):
+                own = programs[d]
+                while at[d] < len(own) and own[at[d]] in begun:
+                    at[d] += 1
+                if at[d] == len(own):
                     continue
-                stack.pop()
-                busy.discard(n)
-                turn.setdefault(n, len(turn) + 1)
+                if best is not None and own[0] > best:
+                    left += parts[i:]
+                    break
+                left.append(d)
+                best = own[at[d]] if best is None else min(best, own[at[d]])
+            drivers[p] = left
+            return best
+
+        for first, _, _, _ in rows:
+            if first in begun:
+                continue
+            stack = [first]
+            begun.add(first)
+            while stack:
+                if (n := following(part[stack[-1]])) is not None:
+                    begun.add(n)
+                    stack.append(n)
+                else:
+                    turn[stack.pop()] = len(turn) + 1
         return pa.table({"node": t["node"], "turn": pa.array([turn[n] for n in t["nth"].to_pylist()], pa.int64())})
 
     return entries.groupBy(F.lit(1).alias("all")).applyInArrow(run, f"node {kind}, turn long")  # entries only, not what they reach
@@ -75,14 +140,24 @@ def tour(edges: DataFrame, nodes: DataFrame, steps: int = 20) -> DataFrame:
     used, uses = inner.select(F.col("dst").alias("node")).distinct(), inner.select(F.col("src").alias("node")).distinct()
     roots = uses.join(used, "node", "left_anti").withColumn("root", F.lit(True))
     entry = cut(n.filter("NOT test AND NOT first").join(roots, "node", "left").filter("program OR page OR root").select("node", "program", "page"))
-    seen = cut(reaches(inner, entry))
-    size = seen.groupBy(F.col("entry").alias("node")).agg((F.count(F.lit(1)) - 1).alias("size"))
+    # all that lie on cycles with each other reach the same: what reaches what is told for components, not for entries and nodes
+    of = components(inner, entry)
+    between = inner.join(of.select(F.col("node").alias("src"), F.col("part").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("part").alias("b")), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    placed_in = cut(entry.join(of, "node"))
+    below = descendants(between, placed_in.select(F.col("part").alias("top")))
+    size = cut(below.join(of.groupBy("part").agg(F.count(F.lit(1)).alias("c")), "part").groupBy(F.col("top").alias("part")).agg((F.sum("c") - 1).alias("size")))
     tier = F.when(F.col("program"), 0).when(F.col("page"), 1).otherwise(2)
-    sized = cut(ranked(entry.join(size, "node").withColumns({"tier": tier, "less": -F.col("size")}), ["less", "tier", "node"], "nth"))
-    drives = seen.filter("depth > 0").join(sized.filter("tier = 0").select("node", F.col("nth").alias("p"), F.col("size").alias("own")), "node").join(sized.select(F.col("node").alias("entry"), "size"), "entry")
-    drives = drives.filter("own * 2 >= size").groupBy(F.col("entry").alias("node")).agg(F.collect_list("p").alias("drives"))
-    turns = cut(_emitted(sized.join(drives, "node", "left").select("node", "nth", "drives")))
-    first = seen.join(turns.select(F.col("node").alias("entry"), "turn"), "entry").groupBy("node").agg(F.min(F.struct("turn", "entry", "depth")).alias("m"))
+    sized = cut(ranked(placed_in.join(size, "part").withColumns({"tier": tier, "less": -F.col("size")}), ["less", "tier", "node"], "nth"))
+    programs = sized.filter("tier = 0").select("part", F.col("size").alias("own")).distinct()
+    drivers = below.join(programs, "part").join(size.withColumnRenamed("part", "top"), "top").filter("own * 2 >= size").groupBy(F.col("top").alias("part")).agg(F.collect_list("part").alias("drivers"))
+    told = sized.groupBy("part").agg(F.min("nth").alias("nth")).join(drivers, "part").select("nth", "drivers")
+    turns = cut(_emitted(sized.join(told, "nth", "left").select("node", "nth", "part", (F.col("tier") == 0).alias("program"), "drivers")))
+    earliest = turns.join(of, "node").groupBy(F.col("part").alias("top")).agg(F.min(F.struct("turn", F.col("node").alias("entry"))).alias("m"))
+    owner = below.join(earliest, "top").groupBy("part").agg(F.min("m").alias("m"))
+    owned = cut(of.join(owner, "part").select("node", "m.turn", "m.entry"))
+    # what lies on the way from the first entry to a node has the same first entry, so depths need only the edges within
+    inside = inner.join(owned.select(F.col("node").alias("src"), F.col("turn").alias("a")), "src").join(owned.select(F.col("node").alias("dst"), F.col("turn").alias("b")), "dst").filter("a = b")
+    first = owned.join(depths(inside, owned.filter("node = entry")), "node").select("node", F.struct("turn", "entry", "depth").alias("m"))
     rows = n.join(first, "node", "left").join(degrees(edges), "node", "left")
     group = F.when(F.col("first"), 0).when(F.col("test"), 3).when(F.col("m").isNotNull(), 1).otherwise(2)
     why = F.when(group == 0, "front page").when(group == 3, "test").when(group == 2, "not reached").when(F.col("m.depth") == 0, "entry").otherwise("reached")

@@ -66,3 +66,21 @@ def test_tests_that_depend_on_hubs(spark):
     assert {(r.node, r.n_tests) for r in T.test_dependents(e, frame("b", "c", "z"), frame("t1", "t2", "t3", "t4")).collect()} == {("b", 3), ("c", 1), ("z", 0)}
     walked = {(r.entry, r.node): (r.depth, r.via) for r in T.reaches(e, frame("t3", "a")).collect()}
     assert walked["t3", "a"] == (3, "b") and walked["a", "a"] == (0, None) and ("a", "c") not in walked
+
+
+def test_tour_has_no_row_for_each_entry_and_node(spark, monkeypatch):
+    most, cut = [0], T.cut
+
+    def counted(df):
+        out = cut(df)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(T, "cut", counted)
+    ring = [f"n{i:02d}" for i in range(40)]
+    edges = sorted(set(zip(ring, ring[1:] + ring[:1], strict=True)) | {(ring[i], ring[-i]) for i in range(1, 20)})
+    nodes = [(n, False, i % 3 > 0, i % 3 == 0, False) for i, n in enumerate(ring)]
+    e = spark.createDataFrame([(a, b, "import") for a, b in edges], "src string, dst string, kind string")
+    got = T.tour(e, spark.createDataFrame(nodes, "node string, first boolean, program boolean, page boolean, test boolean"), 0).orderBy("nth").collect()
+    assert [(x.node, x.why) for x in got] == plain(edges, nodes)
+    assert most[0] < 4 * len(edges), most
