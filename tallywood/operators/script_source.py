@@ -226,8 +226,9 @@ def linked(files: DataFrame, stage=None) -> dict[str, DataFrame]:
     from .graph import cut
     from .python_source import beneath, first_existing, folder
 
-    known = (stage or cut)(facts(files)).withColumnRenamed("a", "spec")
-    paths, key = files.select("path").distinct(), ["path", "at", "kind", "line", "spec"]
+    stage = stage or cut
+    known = stage(facts(files)).withColumnRenamed("a", "spec")
+    paths, key = stage(files.select("path").distinct()), ["path", "at", "kind", "line", "spec"]
     asked = known.filter("kind IN ('import', 'reexport', 'require', 'dynamic-import')").select(*key)
     near = asked.filter(F.col("spec").rlike(r"^\.{1,2}(?:/|$)")).withColumn("base", joined_path(folder(F.col("path")), F.regexp_replace("spec", r"[?#].*$", "")))
     stem, ending = F.regexp_replace("base", r"\.\w+$", ""), F.regexp_extract("base", r"(\.\w+)$", 1)

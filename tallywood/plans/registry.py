@@ -26,3 +26,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of which a task makes files or pairs; a table of small rows comes in few splits, whatever is made of each row.
+SPREAD_ROWS = 20_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key over as many tasks as their number asks for; a number that is told isn't merged again by adaptive execution."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SPREAD_ROWS))
+    return rows.repartition(parts, key)
