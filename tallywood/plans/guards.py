@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import code, extract, guard, python_source
 from ..sources import files
-from .registry import query, table
+from .registry import query, spread, table
 from .trees import PATH, SILENCED, TEXT, made_files
 
 #: What became of the text of the file of key k.
@@ -141,7 +141,7 @@ def unparsed_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folder_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the same brand, type and size at another place."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    return p.select(F.col("p_partkey").alias("part"), "p_brand", "p_type", "p_size").join(p.withColumnRenamed("p_partkey", "copy"), ["p_brand", "p_type", "p_size"]).filter("part <> copy").select("part", "copy")
+    return spread(p, "p_partkey").select(F.col("p_partkey").alias("part"), "p_brand", "p_type", "p_size").join(p.withColumnRenamed("p_partkey", "copy"), ["p_brand", "p_type", "p_size"]).filter("part <> copy").select("part", "copy")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, value FROM events)
