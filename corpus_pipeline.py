@@ -53,8 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
-    back = bpe.bpe_decode(ids, path)
+    back = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return back.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 

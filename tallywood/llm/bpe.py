@@ -324,6 +324,14 @@ def as_lists(parts: list[bytes]) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(ends), values)
 
 
+def decoded_lists(lists: pa.Array, of: list[bytes]) -> pa.Array:
+    """The bytes of each row's ids; none for a null."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.array([decoded(flat[a:b], of) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """df with the array<int> column out: the ids of the column text. Null texts get an empty array."""
 
@@ -339,13 +347,21 @@ def bpe_decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str
 
     def make():
         of = vocabulary(ranks_path)
+        return lambda lists: [decoded_lists(lists, of)]
+
+    return appended(df, make, [ids], [(out, T.BinaryType())])
+
 
-        def f(lists: pa.Array) -> list[pa.Array]:
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            return [pa.array([decoded(flat[a:b], of) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
+def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """df with both columns: the ids of the column text, and the bytes of those ids. One Python worker a task does both."""
+
+    def make():
+        c, of = codec(ranks_path, pattern), vocabulary(ranks_path)
+
+        def f(texts: pa.Array) -> list[pa.Array]:
+            lists = as_lists(c.encode_all([t or "" for t in texts.to_pylist()]))
+            return [lists, decoded_lists(lists, of)]
 
         return f
 
-    return appended(df, make, [ids], [(out, T.BinaryType())])
+    return appended(df, make, [text], [(ids, T.ArrayType(T.IntegerType())), (out, T.BinaryType())])

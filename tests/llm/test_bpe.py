@@ -74,3 +74,16 @@ def test_frames_with_nulls_clashing_names_and_no_rows(spark, reference):
         assert r.token_ids == reference.encode_ordinary(r.text or "")
         assert bytes(r.decoded).decode() == (r.text or "")
     assert bpe.bpe_encode(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_round_trip_is_one_python_step(spark):
+    import public_tokenizers
+    from tallywood.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(0, "one two  three\n"), (1, None), (2, "é ß 漢"), (3, "")], "doc_id long, text string")
+    both = bpe.bpe_round_trip(df, path, public_tokenizers.PATTERN)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = bpe.bpe_decode(bpe.bpe_encode(df, path, public_tokenizers.PATTERN), path)
+    assert sorted(map(tuple, both.collect()), key=lambda r: r[0]) == sorted(map(tuple, apart.collect()), key=lambda r: r[0])
+    assert [bytes(r.decoded).decode() for r in both.orderBy("doc_id").collect()] == ["one two  three\n", "", "é ß 漢", ""]
