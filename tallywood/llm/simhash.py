@@ -22,11 +22,11 @@ for bit segments, so the groups are made otherwise: a text goes to those of its
 of its set, of which two such sets nearly always have one in common. Within the groups the same index
 finds all pairs within wide bits, and each is confirmed on the whole sets. An anchor that more than frequent
 texts have (a passage that many share, a large group of copies) is passed over for the next smallest. A text that
-so has fewer than anchors of them, as in a large group of near copies, is also entered for the smallest of all the shingles
-that frequent texts of its kind or fewer share, and held against one text of each common anchor, round after
-round with what isn't linked yet, until two rounds on end link nothing more. Work stays in proportion to the rows: pairs of
-a large group are never all looked at. What can be missed there are two texts that link with each other, with none
-of the texts they were held against, and share no shingle that few have; that takes the same long deletions.
+so has fewer than anchors of them, as in a large group of near copies, is held against one text of each common anchor, round after
+round with what isn't linked yet, until two rounds on end link nothing more. Such texts are also found exactly among each other:
+their whole sets are ordered from the rarest shingle on, and two that share enough have a common one among the first fifth and one more. Those
+that frequent of them or fewer have make groups as anchors do, all of them; by those that more have, every text outside the largest
+component of the shingle is held against all texts of other components, over chunks, after the rounds. Copies of one component are never paired there.
 
 Defined results: a null text counts as empty; no words give fingerprint zero, linked like any other;
 rows without doc_id carry no links and get the component of their fingerprint (null if no row with a
@@ -275,7 +275,7 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5), wide: int = 24, anchors: int = 4, depth: int = 16, frequent: int = 100) -> DataFrame:
+def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5), wide: int = 24, anchors: int = 4, depth: int = 16, frequent: int = 100, chunk: int = 2000) -> DataFrame:
     """(id, component_id) for each row of df: components of texts that share share (a fraction, as a pair of integers) of their shingles."""
     raw = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
 
@@ -303,10 +303,11 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
 
     held = nodes.select("node", F.explode("low").alias("key"))
     counts = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > frequent).select("key"))
+    none = F.array().cast("array<bigint>")
     if counts.limit(1).count():
         passed = held.join(small(counts), "key").groupBy("node").agg(F.collect_set("key").alias("common"))
         marked = nodes.select("node", "fp", "n", "low").join(passed, "node", "left")
-        common = F.coalesce("common", F.array().cast("array<bigint>"))
+        common = F.coalesce("common", none)
         rare = F.slice(F.array_except("low", common), 1, anchors)
         marked = marked.select("node", "fp", "n", rare.alias("rare"), F.slice(F.array_intersect("low", common), 1, F.greatest(anchors - F.size(rare), F.lit(0))).alias("common"))
         marked = cut(marked)
@@ -314,11 +315,15 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         few = cut(marked.filter(F.size("common") > 0).select(F.col("node").alias("id")))
         spelled = sets_of(few).select(F.col("id").alias("node"), F.explode("s").alias("key")).distinct()
         own = cut(spelled)
-        frequent_ones = cut(own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") == 1) | (F.col("c") > frequent)).select("key"))
-        own = own.join(frequent_ones, "key", "left_anti").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, 2 * anchors).alias("deep"))
-        marked = cut(marked.join(own, "node", "left").withColumn("rare", F.array_union("rare", F.coalesce("deep", F.array().cast("array<bigint>")))).drop("deep"))
+        spread = own.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        # of two sets that share enough, each has one of the common hashes among its first, from the rarest on: n less share of n, and one
+        own = own.join(spread, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("w"))
+        own = own.withColumn("w", F.expr(f"slice(w, 1, CAST(size(w) * {share[1] - share[0]} DIV {share[1]} AS INT) + 1)"))
+        own = own.select("node", F.filter("w", lambda x: (x["c"] > 1) & (x["c"] <= frequent))["key"].alias("deep"), F.filter("w", lambda x: x["c"] > frequent)["key"].alias("often"))
+        marked = marked.join(own, "node", "left").withColumn("rare", F.array_union("rare", F.coalesce("deep", none))).drop("deep")
+        marked = cut(marked.withColumn("often", F.coalesce("often", none)))
     else:
-        marked = nodes.select("node", "fp", "n", F.slice("low", 1, anchors).alias("rare"), F.array().cast("array<bigint>").alias("common"))
+        marked = nodes.select("node", "fp", "n", F.slice("low", 1, anchors).alias("rare"), none.alias("common"), none.alias("often"))
 
     groups = marked.select(F.explode("rare").alias("key"), "node", "fp", "n").repartition("key").sortWithinPartitions("key")
 
@@ -367,6 +372,18 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
             break
         links = cut(links.unionByName(new)) if not empty else links
         rest = cut(other.select("key", F.col("b").alias("node"), F.col("bf").alias("fp"), F.col("bn").alias("n")))
+    # what the rounds have left apart: by each common hash, all that aren't in its largest component against all of other components
+    held = cut(marked.select(F.explode("often").alias("key"), "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    most = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("apart"), F.sum("c").alias("c"))
+    most = cut(most.filter("apart > 1").select("key", "most", F.ceil(F.col("c") / chunk).cast("int").alias("chunks")))
+    if most.limit(1).count():
+        held = held.join(small(most), "key")
+        x = held.filter("component <> most").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
+        y = held.select("key", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+        fits = (F.col("ac") != F.col("bc")) & (F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0])
+        new = confirmed(x.join(y, ["key", "chunk"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        if new.limit(1).count():
+            labels = cut(components(links.unionByName(new)))
     of = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return docs.select("id", "digest").join(of, "digest", "left").select(F.col("id").alias(id), "component_id")
 

@@ -71,6 +71,17 @@ def test_a_large_group_of_near_copies_stays_whole(spark):
     assert {got[i] for i in range(400)} == {0} and len(set(got.values())) == 51
 
 
+def test_a_text_that_links_with_one_of_a_large_group_alone(spark):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    all_texts = [base] + [edited(r, base, 2) for _ in range(60)] + [base[18:], base[40:]]  # the last shares enough with the one before only
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(all_texts)], "doc_id long, text string")
+    sets = [plain(" ".join(w)) for w in all_texts]
+    links = [i for i in range(len(sets) - 1) if 5 * len(sets[i] & sets[-1]) >= 4 * len(sets[i] | sets[-1])]
+    got = dict(S.similar_components(df, frequent=20, chunk=16).select("doc_id", "component_id").collect())
+    assert links == [61] and classes(sets)[-1] == 0 and set(got.values()) == {0}
+
+
 def test_stage_drops_a_near_copy_beyond_four_bits(spark):
     docs = C.dedup_lines(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
