@@ -209,19 +209,22 @@ def weights(edges: DataFrame) -> DataFrame:
 SMALL_PAIRS = 400_000
 
 
-def clusters(edges: DataFrame, small_pairs: int = SMALL_PAIRS) -> DataFrame:
+def clusters(edges: DataFrame, small_pairs: int = SMALL_PAIRS, part_pairs: int = SMALL_PAIRS) -> DataFrame:
     """(node, community, size): communities by modularity, each named by its smallest node.
 
-    Nodes move until no move gains, then communities become the nodes of the next level, until a level moves nothing. While
-    the graph has more than small_pairs pairs, a level's moves are decided for a sweep at once, on all machines
-    (settled), so no task holds it; once it has been contracted below that, which is counted before, one task finishes
-    it node by node (sequential). Both only make moves that raise the modularity, and lose no edge.
+    Nodes move, then communities become the nodes of the next level, until a level moves nothing. While the graph has more
+    than small_pairs pairs, no task holds it: a level's nodes move in parts of about part_pairs pairs (dealt), and where
+    nothing moves within parts any more, by sweeps over the whole graph until no move gains (settled). Once it has been
+    contracted below that, which is counted before, one task finishes it node by node (sequential). All of them only make
+    moves that raise the modularity, and lose no edge.
     """
     w = cut(weights(edges))
     of = cut(w.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
     while True:
         alone = w.limit(small_pairs + 1).count() <= small_pairs
-        labels = cut(sequential(w)) if alone else settled(w)
+        labels = cut(sequential(w)) if alone else dealt(w, part_pairs)
+        if not alone and not labels.filter("node <> c").limit(1).count():
+            labels = settled(w)
         if not labels.filter("node <> c").limit(1).count():
             break
         names = labels.groupBy("c").agg(F.min("node").alias("name"))
@@ -235,10 +238,18 @@ def clusters(edges: DataFrame, small_pairs: int = SMALL_PAIRS) -> DataFrame:
 
 
 def moved_alone(around: list[dict[int, int]], inner: list[int]) -> list[int]:
-    """The community of each node once no move gains: node after node, in their order, to the neighbours' community that gains
-    most (ties: the smallest). around: each node's neighbours and weights; inner: each node's weight with itself, both ways."""
+    """The community of each node once no move gains, from nodes apart. around: each node's neighbours and weights; inner: each
+    node's weight with itself, both ways."""
     k = [sum(x.values()) + own for x, own in zip(around, inner, strict=True)]
-    total, of, mass = sum(k), list(range(len(k))), list(k)
+    return moved_from(around, k, sum(k), list(range(len(k))))
+
+
+def moved_from(around: list[dict[int, int]], k: list[int], total: int, of: list[int]) -> list[int]:
+    """The communities of once no move gains: node after node, in their order, to the neighbours' community that gains most
+    (ties: the smallest). k: the weight of each node in the graph, total: that of all its nodes."""
+    mass: dict[int, int] = {}
+    for i, c in enumerate(of):
+        mass[c] = mass.get(c, 0) + k[i]
     moving = True
     while moving:
         moving = False
@@ -295,6 +306,56 @@ def sequential(w: DataFrame) -> DataFrame:
     return w.groupBy(F.lit(1).alias("all")).applyInArrow(run, f"node {node}, c {node}")  # the caller has counted the pairs
 
 
+def dealt(w: DataFrame, part_pairs: int) -> DataFrame:
+    """(node, c) of one level, w (a, b, w) both ways: from nodes apart, by passes until one moves a hundredth of the nodes or fewer.
+
+    A pass deals whole communities over parts and each part moves its nodes, one after the other, among its own communities. All
+    members of these are there, so links and masses are exact and every move raises the modularity, whatever other parts
+    do. The first pass deals nodes by ranges; later ones send half of the communities, by hash, to that of the
+    other half which they are tied to most, unless too many would meet there. A community of more than part_pairs pairs
+    rests until it is a node of the next level.
+    """
+    big = "decimal(38,0)"
+    degree = w.groupBy(F.col("a").alias("node")).agg(F.sum("w").cast("long").alias("k"), F.count(F.lit(1)).alias("d"))
+    apart = cut(w.filter("a <> b"))
+    parts = -(-2 * apart.count() // part_pairs) or 1
+    labels = cut(degree.repartitionByRange(parts, "node").select("node", F.col("node").alias("c"), "k", "d", F.spark_partition_id().alias("part")))
+    seen = labels.agg(F.sum(F.col("k").cast(big)).alias("total"), F.count(F.lit(1)).alias("nodes")).first()
+    total, nodes, name = int(seen.total or 0), seen.nodes, w.schema["a"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        own, pair = t.filter(pc.is_null(t["b"])), t.filter(pc.is_valid(t["b"]))
+        own = own.sort_by("a")
+        groups = pc.unique(own["c"]).sort()
+        of, around = pc.index_in(own["c"], groups).to_pylist(), [{} for _ in range(own.num_rows)]
+        place = lambda c: pc.index_in(pair[c], own["a"].combine_chunks()).to_pylist()
+        for i, j, x in zip(place("a"), place("b"), pair["w"].to_pylist(), strict=True):
+            around[i][j] = x
+        new = moved_from(around, own["w"].to_pylist(), total, list(of))
+        at = [i for i, c in enumerate(new) if c != of[i]]
+        return pa.table({"node": own["a"].combine_chunks().take(pa.array(at, pa.int64())), "to": groups.take(pa.array([new[i] for i in at], pa.int64()))})
+
+    nth = 0
+    while True:
+        large = labels.groupBy("c").agg(F.sum("d").alias("d")).filter(F.col("d") > part_pairs).select("c")
+        at = labels.join(large, "c", "left_anti")
+        ends = apart.join(at.select(F.col("node").alias("a"), "part"), "a").join(at.select(F.col("node").alias("b"), "part"), ["b", "part"]).select("part", "a", "b", F.col("w").cast("long").alias("w"), F.lit(None).cast(name).alias("c"))
+        alone = at.select("part", F.col("node").alias("a"), F.lit(None).cast(name).alias("b"), F.col("k").alias("w"), "c")
+        moves = cut(ends.unionAll(alone).groupBy("part").applyInArrow(run, f"node {name}, to {name}"))
+        moved, nth = moves.count(), nth + 1
+        labels = cut(labels.join(moves, "node", "left").select("node", F.coalesce("to", "c").alias("c"), "k", "d"))
+        if parts == 1 or moved * 100 <= nodes and nth > 1:
+            return labels.select("node", "c")
+        sizes = cut(labels.groupBy("c").agg(F.sum(F.col("k").cast("double")).alias("mass"), F.sum("d").alias("d")))
+        head = lambda c: F.pmod(F.xxhash64(c, F.lit(nth)), F.lit(2)) == 0  # noqa: B023, E731
+        ties = apart.join(labels.select(F.col("node").alias("a"), F.col("c").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("c").alias("y")), "b").filter(~head("x") & head("y")).groupBy("x", "y").agg(F.sum("w").alias("w"))
+        to = ties.join(sizes.select(F.col("c").alias("y"), "mass"), "y").groupBy(F.col("x").alias("c")).agg(F.max_by("y", F.struct(F.col("w") / F.col("mass"), "y")).alias("key"))
+        keyed = cut(sizes.join(to, "c", "left").select("c", "d", F.coalesce("key", "c").alias("key")))
+        full = keyed.groupBy("key").agg(F.sum("d").alias("d")).filter(F.col("d") > part_pairs).select("key", F.lit(True).alias("full"))
+        part = F.pmod(F.xxhash64(F.when(F.col("full"), F.col("c")).otherwise(F.col("key"))), F.lit(parts)).cast("int")
+        labels = cut(labels.join(keyed.join(full, "key", "left").select("c", part.alias("part")), "c"))
+
+
 def settled(w: DataFrame) -> DataFrame:
     """(node, c) of one level, w (a, b, w) both ways: from nodes apart, until no node gains by a move.
 

@@ -78,6 +78,25 @@ def test_clusters_on_all_machines_and_in_one_task(spark, small_pairs):
     assert modularity(edges, got) >= 0.9 * planted
 
 
+def test_clusters_in_parts_take_few_rounds(spark, monkeypatch):
+    r = random.Random(4)
+    edges = sorted({tuple(sorted((f"g{g:02d}n{r.randrange(15):02d}", f"g{g:02d}n{r.randrange(15):02d}"))) for g in range(12) for _ in range(50)} | {tuple(sorted((f"g{r.randrange(12):02d}n{r.randrange(15):02d}", f"g{r.randrange(12):02d}n{r.randrange(15):02d}"))) for _ in range(40)})
+    edges = [e for e in edges if e[0] != e[1]]
+    sweeps, passes = [], []
+    sweep, part = G.settled, G.dealt
+    monkeypatch.setattr(G, "settled", lambda w: sweeps.append(w.count()) or sweep(w))
+    monkeypatch.setattr(G, "dealt", lambda w, n: passes.append(w.count()) or part(w, n))
+    got = {x.node: x.community for x in G.clusters(made(spark, edges), 400, 150).collect()}
+    names = sorted({n for e in edges for n in e})
+    place, around = {n: i for i, n in enumerate(names)}, [{} for _ in names]
+    for a, b in edges:
+        around[place[a]][place[b]] = around[place[b]][place[a]] = 1
+    one = G.moved_alone(around, [0] * len(names))
+    assert passes and all(n < passes[0] for n in sweeps)  # the whole graph isn't swept
+    assert set(got) == set(names) and all(min(n for n in got if got[n] == c) == c for c in set(got.values()))
+    assert modularity(edges, got) >= 0.9 * modularity(edges, {n: one[place[n]] for n in names})
+
+
 def test_estimates_stay_small_over_many_rounds(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(240)] + [("n240", "n000")]
     labels = G.closure_labels(made(spark, edges))
