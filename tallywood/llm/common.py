@@ -41,13 +41,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df staged between the rounds of a loop.
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, under: str | None = None) -> DataFrame:
+    """df staged between the rounds of a loop, in a folder of its own or in the folder under, which its owner removes.
 
     The next plan begins with the size of the files. A checkpoint keeps the estimate of its plan instead, and
     each join multiplies the estimates of its sides, so over many rounds they grow beyond all bounds.
     """
-    return staged(df, "cut")
+    if under is None:
+        return staged(df, "cut")
+    path = f"{under}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: A broadcast table has at most so many rows, and so many bytes of text in them.

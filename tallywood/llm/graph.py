@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_path, removed
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,16 +13,21 @@ def components(links: DataFrame) -> DataFrame:
 
     In each round a node takes the smallest label of its neighbours, and then that of the node its
     label names, so labels travel twice as far each time. Rounds end when no label changes. Each
-    round's labels are checkpointed, so a lost executor costs one round at most.
+    round's labels are written, so a lost executor costs one round at most, and removed once the next are there.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+    spark = links.sparkSession
+    fixed, held = fresh_path(spark, "links"), fresh_path(spark, "labels")
+    both = cut(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), fixed)
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), held)
     while True:
+        last, held = held, fresh_path(spark, "labels")
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         onward = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = cut(nearer.join(onward, F.col("label") == F.col("via")).select("node", "old", F.least("label", "far").alias("label")))
+        new = cut(nearer.join(onward, F.col("label") == F.col("via")).select("node", "old", F.least("label", "far").alias("label")), held)
+        removed(spark, last)
         moved = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
+            removed(spark, fixed)
             return labels.select("node", F.col("label").alias("component"))

@@ -26,7 +26,9 @@ so has fewer than anchors of them, as in a large group of near copies, is held a
 round with what isn't linked yet, until two rounds on end link nothing more. Such texts are also found exactly among each other:
 their whole sets are ordered from the rarest shingle on, and two that share enough have a common one among the first fifth and one more. Those
 that frequent of them or fewer have make groups as anchors do, all of them; by those that more have, every text outside the largest
-component of the shingle is held against all texts of other components, over chunks, after the rounds. Copies of one component are never paired there.
+component of the shingle is held against all texts of other components, over chunks, after the rounds. Copies of one component are never paired there,
+and of the rest only pairs leave the task whose shingles, counted in BUCKETS by hash, differ so little that they can share enough: such counts never differ
+by more than the sets do, so no link is lost by them.
 
 Defined results: a null text counts as empty; no words give fingerprint zero, linked like any other;
 rows without doc_id carry no links and get the component of their fingerprint (null if no row with a
@@ -45,10 +47,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, cut, free, small
+from .common import appended, cut, free, fresh_path, removed, small
 from .graph import components
 
 FAN = 16
+#: Counts by which two sets are told apart without their shingles.
+BUCKETS = 256
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -275,6 +279,31 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def bucket_counts(h: np.ndarray) -> bytes:
+    """How many of the hashes fall in each of BUCKETS, 255 at most."""
+    return np.minimum(np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def may_share(n: np.ndarray, counts: np.ndarray, component: np.ndarray, x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, indexes of y) of pairs of other components whose sets can share enough, by their sizes n and their counts.
+
+    Two sets that share enough differ by (1 - share) / (1 + share) of their sizes together at most, and counts that are null (all zero) by nothing.
+    """
+    less, of = share
+    y = y[np.argsort(n[y], kind="stable")]
+    told = counts.any(axis=1)
+    for i in x:
+        lo, hi = np.searchsorted(n[y], -(-n[i] * less // of)), np.searchsorted(n[y], n[i] * of // less, side="right")
+        near = y[lo:hi]
+        near = near[component[near] != component[i]]
+        for at in range(0, len(near), 4096):
+            part = near[at : at + 4096]
+            apart = np.abs(counts[part].astype(np.int16) - counts[i]).sum(axis=1, dtype=np.int64)
+            part = part[(apart * (of + less) <= (n[part] + n[i]) * (of - less)) | ~told[part] | ~told[i]]
+            if len(part):
+                yield int(i), part
+
+
 def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5), wide: int = 24, anchors: int = 4, depth: int = 16, frequent: int = 100, chunk: int = 2000) -> DataFrame:
     """(id, component_id) for each row of df: components of texts that share share (a fraction, as a pair of integers) of their shingles."""
     raw = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -297,9 +326,13 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         """(id, s): the whole sets of some rows, from their texts."""
 
         def whole():
-            return lambda texts: [pa.array([shingles(t.as_py() or b"", width).view(np.int64) for t in texts.cast(pa.large_binary())], pa.list_(pa.int64()))]
+            def f(texts: pa.Array) -> list[pa.Array]:
+                sets = [shingles(t.as_py() or b"", width) for t in texts.cast(pa.large_binary())]
+                return [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(list(map(bucket_counts, sets)), pa.binary())]
+
+            return f
 
-        return appended(raw.join(small(ids), "id", "left_semi"), whole, ["text"], [("s", T.ArrayType(T.LongType()))]).select("id", "s")
+        return appended(raw.join(small(ids), "id", "left_semi"), whole, ["text"], [("s", T.ArrayType(T.LongType())), ("counts", T.BinaryType())]).select("id", "s", "counts")
 
     held = nodes.select("node", F.explode("low").alias("key"))
     counts = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > frequent).select("key"))
@@ -313,17 +346,19 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         marked = cut(marked)
         # what sets a member of a large group apart are the shingles that its base doesn't have, wherever they stand
         few = cut(marked.filter(F.size("common") > 0).select(F.col("node").alias("id")))
-        spelled = sets_of(few).select(F.col("id").alias("node"), F.explode("s").alias("key")).distinct()
-        own = cut(spelled)
+        spelled = cut(sets_of(few).withColumnRenamed("id", "node"))
+        # rows that share an id have no counts of their own
+        counted = spelled.groupBy("node").agg(F.nullif(F.min("counts"), F.when(F.min("counts") != F.max("counts"), F.min("counts"))).alias("counts"))
+        own = cut(spelled.select("node", F.explode("s").alias("key")).distinct())
         spread = own.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
         # of two sets that share enough, each has one of the common hashes among its first, from the rarest on: n less share of n, and one
         own = own.join(spread, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("w"))
         own = own.withColumn("w", F.expr(f"slice(w, 1, CAST(size(w) * {share[1] - share[0]} DIV {share[1]} AS INT) + 1)"))
         own = own.select("node", F.filter("w", lambda x: (x["c"] > 1) & (x["c"] <= frequent))["key"].alias("deep"), F.filter("w", lambda x: x["c"] > frequent)["key"].alias("often"))
         marked = marked.join(own, "node", "left").withColumn("rare", F.array_union("rare", F.coalesce("deep", none))).drop("deep")
-        marked = cut(marked.withColumn("often", F.coalesce("often", none)))
+        marked = cut(marked.withColumn("often", F.coalesce("often", none)).join(counted, "node", "left"))
     else:
-        marked = nodes.select("node", "fp", "n", F.slice("low", 1, anchors).alias("rare"), none.alias("common"), none.alias("often"))
+        marked = nodes.select("node", "fp", "n", F.slice("low", 1, anchors).alias("rare"), none.alias("common"), none.alias("often"), F.lit(None).cast("binary").alias("counts"))
 
     groups = marked.select(F.explode("rare").alias("key"), "node", "fp", "n").repartition("key").sortWithinPartitions("key")
 
@@ -342,14 +377,17 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         """The candidates (a, b) whose whole sets share enough, from the texts."""
-        candidates = cut(candidates.distinct())
-        ends = cut(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
+        spark, folder = df.sparkSession, fresh_path(df.sparkSession, "confirmed")
+        candidates = cut(candidates.distinct(), folder)
+        ends = cut(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), folder)
 
-        sets = cut(sets_of(ends).distinct())
+        sets = cut(sets_of(ends).select("id", "s").distinct(), folder)
         x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         ok = both * share[1] >= (F.size("x") + F.size("y") - both) * share[0]
-        return cut(candidates.join(x, "a").join(y, "b").filter(ok).select("a", "b").distinct())
+        found = cut(candidates.join(x, "a").join(y, "b").filter(ok).select("a", "b").distinct())
+        removed(spark, folder)
+        return found
 
     links = confirmed(groups.mapInArrow(near, "a long, b long"))
     rest = cut(marked.select(F.explode("common").alias("key"), "node", "fp", "n"))
@@ -373,15 +411,32 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         links = cut(links.unionByName(new)) if not empty else links
         rest = cut(other.select("key", F.col("b").alias("node"), F.col("bf").alias("fp"), F.col("bn").alias("n")))
     # what the rounds have left apart: by each common hash, all that aren't in its largest component against all of other components
-    held = cut(marked.select(F.explode("often").alias("key"), "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    most = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("apart"), F.sum("c").alias("c"))
-    most = cut(most.filter("apart > 1").select("key", "most", F.ceil(F.col("c") / chunk).cast("int").alias("chunks")))
+    held = cut(marked.filter(F.size("often") > 0).select(F.explode("often").alias("key"), "node", "n", "counts").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    most = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("apart"), F.sum("c").alias("c"), F.max("c").alias("in_most"))
+    pieces = lambda c: F.greatest(F.ceil(c / chunk), F.lit(1)).cast("int")
+    most = cut(most.filter("apart > 1").select("key", "most", pieces(F.col("c") - F.col("in_most")).alias("outer"), pieces(F.col("c")).alias("chunks")))
     if most.limit(1).count():
-        held = held.join(small(most), "key")
-        x = held.filter("component <> most").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-        y = held.select("key", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-        fits = (F.col("ac") != F.col("bc")) & (F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0])
-        new = confirmed(x.join(y, ["key", "chunk"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        held = held.join(small(most), "key").withColumn("out", F.col("component") != F.col("most"))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+        rows = [F.col("node"), F.col("n").cast("long").alias("n"), F.col("component"), F.col("out"), F.coalesce("counts", F.unhex(F.lit("00" * BUCKETS))).alias("counts")]
+        x = held.filter("out").select("key", every("chunks").alias("chunk"), mine("outer").alias("piece"), F.lit(True).alias("left"), *rows)
+        y = held.select("key", mine("chunks").alias("chunk"), every("outer").alias("piece"), F.lit(False).alias("left"), *rows)
+
+        def near_outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, part, piece, left, node, n, component, out, counts in by_groups(batches, 3, 4 * chunk):
+                starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (piece[1:] != piece[:-1]), [True]]))
+                counts = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, BUCKETS)
+                for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                    at = np.arange(lo, hi)
+                    # two that both lie outside meet twice: one of the two is enough
+                    found = [(node[i], v) for i, js in may_share(n, counts, component, at[left[lo:hi]], at[~left[lo:hi]], share) for v in node[js[~out[js] | (node[js] > node[i])]]]
+                    if found:
+                        a, b = np.array(found, np.int64).T
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        met = x.unionAll(y).repartition("key", "chunk", "piece").sortWithinPartitions("key", "chunk", "piece")
+        new = confirmed(met.mapInArrow(near_outer, "a long, b long"))
         if new.limit(1).count():
             labels = cut(components(links.unionByName(new)))
     of = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as C
+import numpy as np
 import pytest
 from tallywood.llm import simhash as S
 
@@ -87,3 +88,32 @@ def test_stage_drops_a_near_copy_beyond_four_bits(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     want = {rows[k][0] for k in classes([plain(t) for _, t in rows])}
     assert {r.doc_id for r in C.near_dedup(spark, docs, SF).collect()} == want and 177 not in want
+
+
+def test_pairs_of_a_common_passage_stay_in_their_task(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(60))
+    texts = [passage + " " + " ".join(word() for _ in range(40)) for _ in range(120)]
+    texts += [f"{texts[7]} {word()}", f"{word()} {texts[90]}"]
+    seen, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df, *where: seen.append(cut(df, *where)) or seen[-1])
+    monkeypatch.setattr(S, "removed", lambda spark, path: None)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in S.similar_components(df, frequent=20, anchors=1, depth=1).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {120: 7, 121: 90}
+    assert max(x.count() for x in seen if x.columns == ["a", "b"]) < 2 * len(texts)
+
+
+def test_counts_lose_no_pair_that_shares_enough():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.permutation(base)[: r.integers(2, 400)], r.integers(0, 2**63, r.integers(0, 60), dtype=np.uint64)])) for _ in range(120)]
+    sets += [x[: len(x) - len(x) // 6] for x in sets]
+    n = np.array([len(x) for x in sets])
+    counts = np.frombuffer(b"".join(map(S.bucket_counts, sets)), np.uint8).reshape(-1, S.BUCKETS)
+    every = np.arange(len(sets))
+    told = {(i, int(j)) for i, js in S.may_share(n, counts, every, every, every, (4, 5)) for j in js}
+    both = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in every for j in every if i != j}
+    want = {p for p, k in both.items() if 5 * k >= 4 * (n[p[0]] + n[p[1]] - k)}
+    assert len(want) > 100 and want <= told and len(told) < len(both) // 2
