@@ -59,12 +59,19 @@ def sections(half: str) -> list[tuple[str, dict[str, str]]]:
     return list(found.items())
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of rows rows: a map is a whole file, and what Python makes of thousands of them at once fills a worker."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def authored_entries(maps: DataFrame) -> DataFrame:
     """(path, id, fields): the authored entries of every map; fields is a map of strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
-        for b in batches:
+        for b in few_rows(batches):
             rows = [(path, id, list(fields.items())) for path, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for id, fields in sections(half)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), kind), strict=True)], names=["path", "id", "fields"])

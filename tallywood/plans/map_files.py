@@ -38,7 +38,7 @@ def written_maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     derived = graph.cut(found.select("k", path.alias("path"), id.alias("id"), F.when(F.col("flag") == "A", "web-ui").otherwise("api").alias("surface"), F.concat(F.lit("src/p.py:"), F.col("n").cast("string")).alias("code"), F.lit("route").alias("note"), F.when(F.col("flag") == "N", "user").otherwise("dev").alias("face")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in maps.few_rows(batches):
             texts = [map_text(k, ids) for k, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(texts, pa.string())], names=["path", "text"])
 

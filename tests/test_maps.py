@@ -72,3 +72,15 @@ def test_null_and_empty_maps(spark):
     none = spark.createDataFrame([], "path string, block string")
     assert M.derived_ids(df).count() == M.authored_entries(df).count() == 0
     assert {(r.path, r.text, r.refused) for r in M.written(df, none).collect()} == {("a", None, True), ("b", "", True), ("c", M.DERIVED[1] + M.DERIVED[0], True)}
+
+
+def test_maps_are_made_and_read_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+    from tallywood.operators import maps as M
+
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(1000)]})
+    parts = list(M.few_rows(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 64 and [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    made = spark.range(1000).selectExpr("CAST(id AS STRING) AS path", f"concat('{M.AUTHORED[0]}\\n### a', id, '\\n{M.AUTHORED[1]}') AS text").coalesce(1)
+    sizes = M.authored_entries(made).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert sum(x.n for x in sizes) == 1000
