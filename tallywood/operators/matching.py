@@ -44,16 +44,16 @@ def prioritized(refs: DataFrame, files: DataFrame, candidates: str, path: str, r
 def token_candidates(left: DataFrame, right: DataFrame, share: float = 0.15, shared: int = 5) -> DataFrame:
     """(l, r): every pair (id, tokens) with a jaccard of share or more, or with shared tokens in common or more, and some others.
 
-    Tokens are ordered from the rarest to the commonest. Two sets of which one has n tokens and that have k in common meet
-    within the first n - k + 1 of each, so a set is looked up by its rarest tokens alone, and the commonest ones, which
-    make most of the pairs, by none.
+    Tokens that only one side has are in no pair and are left out first. The others are ordered from the rarest to the commonest. Two
+    sets that have k in common meet within the first m - k + 1 of the m tokens that each has left, so a set is looked up by
+    its rarest tokens alone, and the commonest ones, which make most of the pairs, by none; one of fewer than k has no pair.
     """
     words = lambda df, side: df.select(F.col("id"), F.lit(side).alias("side"), F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     each = words(left, "l").unionAll(words(right, "r"))
-    known = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    known = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.max("side").alias("hi"), F.min("side").alias("lo")).filter("lo <> hi").select("t", "df")
     least = F.least(F.ceil(F.lit(share) * F.col("n")), F.lit(shared)).cast("int")
     few = each.join(known, "t").groupBy("side", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("w"))
-    few = few.withColumn("t", F.explode(F.slice("w", F.lit(1), F.greatest(F.col("n") - least + 1, F.lit(1)))["t"])).select("side", "id", "n", "t")
+    few = few.withColumn("t", F.explode(F.slice("w", F.lit(1), F.greatest(F.size("w") - F.greatest(least, F.lit(1)) + 1, F.lit(0)))["t"])).select("side", "id", "n", "t")
     a = few.filter("side = 'l'").select(F.col("id").alias("l"), F.col("n").alias("ln"), "t")
     b = few.filter("side = 'r'").select(F.col("id").alias("r"), F.col("n").alias("rn"), "t")
     # a smaller set can't reach the share, unless it can reach the number

@@ -63,3 +63,11 @@ def test_phrases_by_our_own_rule(spark):
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", N.phrases(F.col("t")).alias("p"))
     assert {r.i: r.p for r in df.collect()} == {i: p for i, (_, p) in enumerate(cases)}
+
+
+def test_tokens_of_one_side_make_no_candidates(spark):
+    from tallywood.operators import matching as M
+
+    left = spark.createDataFrame([(1, list("abcdefghij")), (2, list("bcdefghij")), (3, list("bcdefghij"))], "id long, tokens array<string>")
+    right = spark.createDataFrame([(7, list("aklmnopqrs")), (8, list("klmnopqrs")), (9, list("klmnopqrs"))], "id long, tokens array<string>")
+    assert M.token_candidates(left, right).collect() == []
