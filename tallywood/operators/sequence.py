@@ -155,10 +155,10 @@ def innermost(spans: DataFrame, points: DataFrame, path: str = "path", block: in
 def smallest(df: DataFrame, of: Sequence[str], value: str, k: int) -> DataFrame:
     """(of, first, n): the k smallest values of each key in order, and how many there are.
 
-    Taken within salted groups first, so that a hot key's rows never meet in one task.
+    Taken and counted within salted groups first, so that a hot key's rows never meet in one task and df is read once.
     """
     salted = df.select(*of, value).withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
     w = Window.partitionBy(*of, "__salt").orderBy(value)
-    few = salted.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k)
-    first = few.groupBy(*of).agg(F.slice(F.sort_array(F.collect_list(value)), 1, k).alias("first"))
-    return first.join(df.groupBy(*of).agg(F.count(F.lit(1)).alias("n")), list(of))
+    every = F.count(F.lit(1)).over(Window.partitionBy(*of, "__salt"))
+    few = salted.withColumns({"__r": F.row_number().over(w), "__n": every}).filter((F.col("__r") <= k) | (F.col("__r") == 1))
+    return few.groupBy(*of).agg(F.slice(F.sort_array(F.collect_list(F.when(F.col("__r") <= k, F.col(value)))), 1, k).alias("first"), F.sum(F.when(F.col("__r") == 1, F.col("__n"))).alias("n"))

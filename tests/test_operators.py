@@ -117,3 +117,12 @@ def test_prose_with_nulls_and_empty_texts(spark):
     assert sorted(tuple(r) for r in spans.collect()) == [("f", 2, 4), ("g", 13, 14), ("h", 1, 3)]
     assert notes.opens_block(lines, "file", "line", "text").filter("opens").count() == 0
     assert notes.deployments(spark.createDataFrame([("a/Dockerfile", None), ("Procfile", None)], "path string, text string")).count() == 1
+
+
+def test_smallest_reads_its_rows_once(spark):
+    from tallywood.operators import sequence as S
+
+    rows = S.smallest(spark.range(100).selectExpr("id % 3 AS g", "id AS v"), ["g"], "v", 4)
+    assert sorted((r.g, r.first, r.n) for r in rows.collect()) == [(g, [g, g + 3, g + 6, g + 9], 34 - (g > 0)) for g in range(3)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {r.g: (r["first"], r.n) for r in S.smallest(spark.range(2).selectExpr("id AS g", "id AS v"), ["g"], "v", 0).collect()} == {0: ([], 1), 1: ([], 1)}
