@@ -23,7 +23,7 @@ of its set, of which two such sets nearly always have one in common. Within the
 finds all pairs within wide bits, and each is confirmed on the whole sets. An anchor that more than frequent
 texts have (a passage that many share, a large group of copies) is passed over for the next smallest. A text that
 so has fewer than anchors of them, as in a large group of near copies, is held against one text of each common anchor, round after
-round with what isn't linked yet, until two rounds on end link nothing more. Such texts are also found exactly among each other:
+round with what isn't linked yet, while a round still adds a share of 1 / worth to the links (two rounds at least): rounds only save work. Such texts are also found exactly among each other:
 their whole sets are ordered from the rarest shingle on, and two that share enough have a common one among the first fifth and one more. Those
 that frequent of them or fewer have make groups as anchors do, all of them; by those that more have, every text outside the largest
 component of the shingle is held against all texts of other components, over chunks, after the rounds. Copies of one component are never paired there,
@@ -304,7 +304,7 @@ def may_share(n: np.ndarray, counts: np.ndarray, component: np.ndarray, x: np.nd
                 yield int(i), part
 
 
-def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5), wide: int = 24, anchors: int = 4, depth: int = 16, frequent: int = 100, chunk: int = 2000) -> DataFrame:
+def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: tuple[int, int] = (4, 5), wide: int = 24, anchors: int = 4, depth: int = 16, frequent: int = 100, chunk: int = 2000, worth: int = 20) -> DataFrame:
     """(id, component_id) for each row of df: components of texts that share share (a fraction, as a pair of integers) of their shingles."""
     raw = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
 
@@ -391,11 +391,8 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
 
     links = confirmed(groups.mapInArrow(near, "a long, b long"))
     rest = cut(marked.select(F.explode("common").alias("key"), "node", "fp", "n"))
-    turn, empty = 0, 0
-    while True:
-        labels = cut(components(links))
-        if not rest.limit(1).count():
-            break
+    labels, turn = components(links), 0
+    while rest.limit(1).count():
         tagged = cut(rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
         # one text of each key against the others that aren't in its component; a key whose texts all are in one is done
         # by turns the one with the smallest id and the one with the smallest set, which a common passage may make up whole
@@ -405,10 +402,12 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         other = y.join(small(cut(x)), "key").filter(F.col("ac") != F.col("bc"))
         fits = (F.least("an", "bn") * share[1] >= F.greatest("an", "bn") * share[0]) & (F.bit_count(F.col("af").bitwiseXOR(F.col("bf"))) <= wide)
         new = confirmed(other.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        turn, empty = turn + 1, 0 if new.limit(1).count() else empty + 1
-        if empty == 2:
+        turn, more, were = turn + 1, new.count(), links.count()
+        if more:
+            links = cut(links.unionByName(new))
+            labels = components(links)
+        if turn > 1 and more * worth <= were:
             break
-        links = cut(links.unionByName(new)) if not empty else links
         rest = cut(other.select("key", F.col("b").alias("node"), F.col("bf").alias("fp"), F.col("bn").alias("n")))
     # what the rounds have left apart: by each common hash, all that aren't in its largest component against all of other components
     held = cut(marked.filter(F.size("often") > 0).select(F.explode("often").alias("key"), "node", "n", "counts").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -438,7 +437,7 @@ def similar_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
         met = x.unionAll(y).repartition("key", "chunk", "piece").sortWithinPartitions("key", "chunk", "piece")
         new = confirmed(met.mapInArrow(near_outer, "a long, b long"))
         if new.limit(1).count():
-            labels = cut(components(links.unionByName(new)))
+            labels = components(links.unionByName(new))
     of = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return docs.select("id", "digest").join(of, "digest", "left").select(F.col("id").alias(id), "component_id")
 
