@@ -25,10 +25,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse, islice
+from itertools import islice, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ MAGIC, END_MARK = b"TWB1", b"\xf1TWE"
 STOPS = ",.;:!?"
 #: Pieces a worker keeps the ids of; beyond them the later half goes.
 CACHE_ENTRIES = 800_000
+#: Words that the library is asked for in one text.
+LINES = 256
 
 
 class Table:
@@ -148,7 +152,7 @@ def unpack(content: bytes) -> Iterator[tuple[dict, dict[str, memoryview]]]:
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The tokenizer, the type its ids are packed in, the packed ids of pieces seen lately, a pattern of the added
-    tokens' texts (None if there are none), and whether texts may be taken apart at blanks."""
+    tokens' texts (None if there are none), whether texts may be taken apart at blanks, and the id of a line's end (None if it isn't one)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -157,8 +161,9 @@ def tokenizer(path: str):
         made = json.load(f)
     pre = made.get("pre_tokenizer") or {}
     plain = not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    line = t.encode("\n", add_special_tokens=False).ids
     added = [re.escape(x["content"]) for x in made.get("added_tokens", []) if x["content"]]
-    return t, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"), {}, re.compile("|".join(added)) if added else None, plain
+    return t, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"), {}, re.compile("|".join(added)) if added else None, plain, line[0] if plain and len(line) == 1 else None
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
@@ -169,44 +174,73 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     piece; other texts it gets whole, as it does texts that hold an added token's text, and all texts
     where the file names another split or a normalizer.
     """
-    t, kind, known, added, plain = tokenizer(path)
+    t, kind, known, added, plain, line_id = tokenizer(path)
+    if not texts:
+        return []
     if len(known) > CACHE_ENTRIES:  # the commonest pieces came first
         early = dict(islice(known.items(), CACHE_ENTRIES // 2))
         known.clear()
         known.update(early)
-    new: set[str] = set()
-    heads: dict[int, str] = {}
-    found: dict[int, list] = {}
-    whole: list[int] = []
-    for i, x in enumerate(texts):
-        if not plain or (added is not None and added.search(x)):
-            whole.append(i)
-            continue
-        head, *rest = x.split(" ")
-        ids = list(map(known.get, rest, rest))  # a word that isn't known stands for itself
-        lacks = [v for v in ids if v.__class__ is str]
-        if uneven(head if rest else "") or any(map(uneven_inside, lacks)):
-            whole.append(i)
-        else:
-            heads[i], found[i] = head, ids
-            new.update(lacks)
+    # Arrow cuts the texts and numbers their pieces, so that Python sees each different piece of a batch once
+    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    starts = np.asarray(parts.offsets)[:-1].astype(np.int64)
+    coded = parts.values.dictionary_encode()
+    nth, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    counts = np.diff(np.append(starts, len(nth)))
+    text_of = np.repeat(np.arange(len(texts)), counts)
+    after = np.ones(len(nth), bool)  # the pieces that a blank stands before
+    after[starts] = False
+    heads = [words[i] for i in nth[starts].tolist()]
+    held = list(map(known.get, words))
+    lacks = np.fromiter(map(is_, held, repeat(None)), bool, len(words))
+    odd = np.zeros(len(words), bool)
+    odd[[i for i in np.flatnonzero(lacks).tolist() if uneven_inside(words[i])]] = True
+    whole = np.fromiter((not plain or (added is not None and added.search(x) is not None) or (n > 1 and uneven(h)) for x, h, n in zip(texts, heads, counts.tolist(), strict=True)), bool, len(texts))
+    whole[text_of[after & odd[nth]]] = True
+    cuts = after & ~whole[text_of]
+    used = np.zeros(len(words), bool)
+    used[nth[cuts]] = True
+    new = [words[i] for i in np.flatnonzero(used & lacks).tolist()]
     # the split also ends a match between a letter and a stop, so a word is asked for without its stop
     ended = {x: x[:-1] for x in new if x[-1] in STOPS and x[-2:-1].isalpha()}
-    asked = list((new - ended.keys()).union(ended.values()).difference(known))
-    got = t.encode_batch_fast([" " + x for x in asked] + list(STOPS) + list(heads.values()) + [texts[i] for i in whole], add_special_tokens=False)
-    flat = [e.ids for e in got]
-    ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat))) * kind.itemsize
-    packed = np.fromiter(chain.from_iterable(flat), kind, int(ends[-1]) // kind.itemsize).tobytes()
-    cut = map(packed.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))
-    known.update(zip(asked, islice(cut, len(asked)), strict=True))
+    asked = list(set(new).difference(ended).union(ended.values()).difference(known))
+    first = [x if w else h for x, h, w in zip(texts, heads, whole.tolist(), strict=True)]
+
+    def packs(asks: list[str], by_line: bool) -> list[bytes]:
+        """The packed ids of each of asks, or of each of their lines."""
+        flat = [np.array(e.ids, kind) for e in t.encode_batch_fast(asks, add_special_tokens=False)]
+        ids = np.concatenate([*flat, np.zeros(0, kind)])
+        ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))
+        starts = np.append(0, ends[:-1])
+        if by_line:
+            ends = np.flatnonzero(ids == line_id)
+            starts = np.append(0, ends[:-1] + 1)
+        packed = ids.tobytes()
+        return list(map(packed.__getitem__, map(slice, (starts * kind.itemsize).tolist(), (ends * kind.itemsize).tolist())))
+
+    # a line's end is a match of its own before a blank, so many words are asked for as the lines of one text
+    inner = [x for x in asked if "\n" in x] if line_id is not None else asked
+    lines = [x for x in asked if "\n" not in x] if line_id is not None else []
+    asks = [" " + "\n ".join(lines[i : i + LINES]) + "\n" for i in range(0, len(lines), LINES)]
+    if lines:
+        known.update(zip(lines, packs(asks, True), strict=True))
+    cut = iter(packs([" " + x for x in inner] + list(STOPS) + first, False))
+    known.update(zip(inner, islice(cut, len(inner)), strict=True))
     stops = dict(zip(STOPS, islice(cut, len(STOPS)), strict=True))
     for x, word in ended.items():
         known[x] = known[word] + stops[x[-1]]
-    out = [b""] * len(texts)
-    for i, ids in zip([*heads, *whole], cut, strict=True):
-        out[i] = ids
-    for i, ids in found.items():
-        out[i] += b"".join([known[v] if v.__class__ is str else v for v in ids])
+    # the ids of the different pieces one after the other, then those that begin each text; a text is a choice of such stretches
+    for i in np.flatnonzero(lacks).tolist():
+        held[i] = known[words[i]] if used[i] else b""
+    held.extend(cut)
+    sizes = np.fromiter(map(len, held), np.int64, len(held)) // kind.itemsize
+    nth[starts] = len(words) + np.arange(len(texts))
+    taken = np.where(cuts | ~after, sizes[nth], 0)
+    ends = np.cumsum(taken)
+    at = np.repeat((np.cumsum(sizes) - sizes)[nth] - (ends - taken), taken) + np.arange(ends[-1])
+    packed = np.frombuffer(b"".join(held), kind)[at].tobytes()
+    stop = (ends[starts + counts - 1] * kind.itemsize).tolist()
+    out = [packed[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
     for x in [*asked, *ended]:
         if len(x) > CACHE_CHARS:
             known.pop(x, None)
@@ -232,7 +266,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, id: str = "doc_i
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("tokens", pa.binary())]))
 
         for b in batches:
-            for s in sliced(b, [1]):
+            for s in sliced(b, [1], 8 << 20):
                 for i, x in zip(s.column(0).to_pylist(), token_ids(s.column(1).to_pylist(), tokenizer_path), strict=True):
                     ids.append(i)
                     held.append(x + end)

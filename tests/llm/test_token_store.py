@@ -79,3 +79,19 @@ def test_files_ascend_on_disk(spark, tmp_path):
             assert header["start"] == at and ids[0] > last and (np.diff(ids) > 0).all()
             at, last = at + header["n"], ids[-1]
     assert last == 899
+
+
+def test_words_are_asked_for_many_at_a_time(monkeypatch):
+    class Counting:
+        asked = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += len(texts)
+            return lib.encode_batch_fast(texts, **options)
+
+    lib, counting, found = Tokenizer.from_file(PATH), Counting(), S.tokenizer(PATH)
+    monkeypatch.setattr(S, "tokenizer", lambda path: (counting, found[1], {}, *found[3:]))
+    texts = [" ".join(f"w{i}q{i * j}." for i in range(300)) for j in range(1, 5)] + ["a\nb c\r\nd é\n e", " 's 't\t", "", "\n", "x \n y"]
+    got = S.token_ids(texts, PATH)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counting.asked < 60
