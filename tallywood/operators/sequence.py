@@ -73,25 +73,26 @@ def as_of(probes: DataFrame, versions: DataFrame, of: Sequence[str], at: str, ve
     return both.withColumn(version, F.last("__v", ignorenulls=True).over(w)).filter("__p = 1").drop("__v", "__p")
 
 
-def swept(marks: DataFrame, places: DataFrame, sums: Sequence[str], last: Sequence[str] = (), block: int = 1024, path: str = "path") -> DataFrame:
-    """The distinct places (path, at) with the sums of the columns sums of all marks (path, at, …) of the path before at, and the
+def swept(marks: DataFrame, places: DataFrame, sums: Sequence[str], last: Sequence[str] = (), block: int = 1024, path: str | Sequence[str] = "path") -> DataFrame:
+    """The distinct places (path, at) with the sums of the columns sums of all marks (path, at, …) of the path (a column or several) before at, and the
     values of the columns last of the nearest such mark (the one with the greatest at; ties: the greatest values).
 
     Places and marks are sorted together within blocks of block lines, and a block gets the totals of those before it. A
     path with a third of all rows is many blocks, and a window holds the places of one, however many rows ask for them.
     """
+    path = [path] if isinstance(path, str) else list(path)
     held = F.struct(F.col("at").alias("__at"), *last)
     of = F.floor(F.col("at") / block).alias("__b")
-    m = marks.select(path, "at", of, *sums, held.alias("__last"), F.lit(True).alias("__mark"))
-    p = places.select(path, "at", of, F.lit(False).alias("__mark")).distinct()
-    w = Window.partitionBy(path, "__b").orderBy("at", "__mark", "__last").rowsBetween(Window.unboundedPreceding, -1)  # a mark at the place itself comes after it
+    m = marks.select(*path, "at", of, *sums, held.alias("__last"), F.lit(True).alias("__mark"))
+    p = places.select(*path, "at", of, F.lit(False).alias("__mark")).distinct()
+    w = Window.partitionBy(*path, "__b").orderBy("at", "__mark", "__last").rowsBetween(Window.unboundedPreceding, -1)  # a mark at the place itself comes after it
     both = p.unionByName(m, allowMissingColumns=True)
     within = both.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sums} | {"__near": F.last("__last", ignorenulls=True).over(w)}).filter("NOT __mark")
-    totals = both.groupBy(path, "__b").agg(*[F.sum(c).alias(c) for c in sums], F.max("__last").alias("__last"))
-    b = Window.partitionBy(path).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
-    before = totals.select(path, "__b", *[F.coalesce(F.sum(c).over(b), F.lit(0)).alias(f"__of_{c}") for c in sums], F.max("__last").over(b).alias("__far"))
+    totals = both.groupBy(*path, "__b").agg(*[F.sum(c).alias(c) for c in sums], F.max("__last").alias("__last"))
+    b = Window.partitionBy(*path).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    before = totals.select(*path, "__b", *[F.coalesce(F.sum(c).over(b), F.lit(0)).alias(f"__of_{c}") for c in sums], F.max("__last").over(b).alias("__far"))
     near = F.coalesce("__near", "__far")
-    return within.join(before, [path, "__b"]).select(path, "at", *[(F.col(f"__in_{c}") + F.col(f"__of_{c}")).alias(c) for c in sums], *[near[c].alias(c) for c in last])
+    return within.join(before, [*path, "__b"]).select(*path, "at", *[(F.col(f"__in_{c}") + F.col(f"__of_{c}")).alias(c) for c in sums], *[near[c].alias(c) for c in last])
 
 
 def carried(pointers: DataFrame, hunks: DataFrame, path: str = "path") -> DataFrame:
@@ -130,25 +131,25 @@ def innermost(spans: DataFrame, points: DataFrame, path: str = "path", block: in
     """points (path, at, …) with id, lo and hi of the smallest span (path, id, lo, hi) that holds at, null where none does.
 
     Spans of a path nest or lie apart; of equal ones that with the greatest id is the innermost. What a stack would hold is told
-    by sums: a span's level is the number of spans open where it begins, itself included, and the innermost span at a place
-    is the last one begun of the level that is open there. So two sweeps find it, and no span meets the points that it holds.
+    by sums: the spans open at a place are those begun by then less those ended before, and a span's level is the number open where it
+    begins, itself included and the inner ones that begin there left out. The innermost span at a place is the last one begun of the level that
+    is open there. So two sweeps find it, one for the starts of spans and the points together, and no span meets the points that it holds.
     """
+    from .graph import cut
+
     one = F.lit(1).cast("long")
-    of = spans.select(path, "id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-    change = of.select(path, F.col("lo").alias("at"), one.alias("open")).unionAll(of.select(path, F.col("hi") + 1, -one))
+    # each sweep asks for its rows twice, so they are made once
+    of, points = cut(spans.select(path, "id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))), cut(points)
+    change = of.select(path, (F.col("lo") - 1).alias("at"), one.alias("open")).unionAll(of.select(path, "hi", -one))
+    places = points.select(path, F.col("at").cast("long").alias("at")).unionAll(of.select(path, "lo"))
+    depth = cut(swept(change, places, ["open"], block=block, path=path))
     # spans that begin at one line: the outer ones first
-    same = F.row_number().over(Window.partitionBy(path, "lo").orderBy(F.desc("hi"), "id"))
-    # open where a span begins, less those that begin there: what was open before, less what ends there
-    ended = of.select(path, (F.col("hi") + 1).alias("at"), (-one).alias("open"))
-    begun = of.select(path, F.col("lo").alias("at"), one.alias("open"))
-    before = swept(begun, of.select(path, F.col("lo").alias("at")), ["open"], block=block, path=path).withColumnRenamed("open", "b")
-    closed = swept(ended, of.select(path, (F.col("lo") + 1).alias("at")), ["open"], block=block, path=path).select(path, (F.col("at") - 1).alias("at"), F.col("open").alias("e"))
-    level = of.withColumn("same", same).join(before.withColumnRenamed("at", "lo"), [path, "lo"]).join(closed.withColumnRenamed("at", "lo"), [path, "lo"]).withColumn("level", F.col("b") + F.col("e") + F.col("same"))
-    depth = swept(change, points.select(path, (F.col("at") + 1).cast("long").alias("at")), ["open"], block=block, path=path).select(path, (F.col("at") - 1).alias("at"), F.col("open").alias("level"))
-    lane = F.struct(path, "level")
-    marks = level.select(lane.alias("lane"), F.col("lo").alias("at"), F.struct("id", "lo", "hi").alias("span"))
-    asked = depth.filter("level > 0").select(lane.alias("lane"), (F.col("at") + 1).cast("long").alias("at"))
-    last = swept(marks, asked, [], ["span"], block=block, path="lane").select(F.col(f"lane.{path}").alias(path), (F.col("at") - 1).alias("at"), "span")
+    here = Window.partitionBy(path, "lo")
+    same, n = F.row_number().over(here.orderBy(F.desc("hi"), "id")), F.count(F.lit(1)).over(here)
+    level = of.withColumns({"same": same, "n": n}).join(depth.withColumnRenamed("at", "lo"), [path, "lo"]).withColumn("level", F.col("open") - F.col("n") + F.col("same"))
+    marks = cut(level.select(path, "level", F.col("lo").alias("at"), F.struct("id", "lo", "hi").alias("span")))
+    asked = depth.filter("open > 0").select(path, F.col("open").alias("level"), (F.col("at") + 1).alias("at"))
+    last = swept(marks, asked, [], ["span"], block=block, path=[path, "level"]).select(path, (F.col("at") - 1).alias("at"), "span")
     return points.join(last, [path, "at"], "left").select(*points.columns, "span.id", "span.lo", "span.hi")
 
 
