@@ -12,7 +12,7 @@ import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sequence import swept
@@ -101,33 +101,44 @@ def rewritten(pointers: DataFrame, hunks: DataFrame, old: DataFrame, new: DataFr
     return asked.join(alone, ["path", "hunk", "said"]).select("path", "id", F.col("found").cast("long").alias("found"))
 
 
-def reaimed(pointers: DataFrame, hunks: DataFrame, old: DataFrame, new: DataFrame, between: DataFrame | None = None, after: DataFrame | None = None, proofs: DataFrame | None = None) -> DataFrame:
+def reaimed(pointers: DataFrame, hunks: DataFrame, old: DataFrame, new: DataFrame, between: DataFrame | None = None, after: DataFrame | None = None, proofs: DataFrame | Column | None = None) -> DataFrame:
     """pointers with state, now_lo and now_hi.
 
     kept: they stand as they are. moved: no hunk is inside; carried. proved: a hunk is inside, but between holds the hunks up to
-    a proof and after those since, the pointer is among proofs (path, id), and the lines that the proof saw are carried on. found: one
-    line was rewritten around, and stands unchanged in the change once. by hand: one line that isn't found again; now is null. declined: a hunk
-    is inside a range; now is the best reading (translated) and nothing is moved. The file's first line stays what it is.
+    a proof and after those since, the pointer is among proofs ((path, id), or a condition on its columns), and the lines that the proof saw are
+    carried on. found: one line was rewritten around, and stands unchanged in the change once. by hand: one line that isn't found again; now is null.
+    declined: a hunk is inside a range; now is the best reading (translated) and nothing is moved. The file's first line stays what it is.
+
+    Pointers to the same lines go the same way, so the sweeps see each (path, lo, hi) once and without ids, and those that only
+    places with a hunk inside need see only these; pointers then ask for their place in one join.
     """
     from .graph import cut
 
-    pointers = cut(pointers)  # each sweep asks for their places
-    direct = carried(pointers, hunks)
-    best = translated(pointers, hunks).select("path", "id", F.col("now_lo").alias("best_lo"), F.col("now_hi").alias("best_hi"))
-    out = direct.join(best, ["path", "id"])
+    spot, c, columns = ["path", "lo", "hi"], F.col, pointers.columns
+    pointers = cut(pointers)
+    direct = cut(carried(pointers.select(*spot).distinct(), hunks))
+    stuck = direct.filter("now_lo IS NULL").select(*spot)
+    best = translated(stuck, hunks).select(*spot, c("now_lo").alias("best_lo"), c("now_hi").alias("best_hi"))
+    out = direct.join(best, spot, "left")
     names = ["proof_lo", "proof_hi"]
     if between is not None and after is not None:
-        seen = cut(translated(pointers if proofs is None else pointers.join(proofs.select("path", "id").distinct(), ["path", "id"], "left_semi"), between))
-        then = carried(seen.select("path", "id", F.col("now_lo").alias("lo"), F.col("now_hi").alias("hi")), after)
-        out = out.join(then.select("path", "id", F.col("now_lo").alias(names[0]), F.col("now_hi").alias(names[1])), ["path", "id"], "left")
+        seen = cut(translated(stuck, between).select("path", c("lo").alias("__lo"), c("hi").alias("__hi"), c("now_lo").alias("lo"), c("now_hi").alias("hi")))
+        then = carried(seen, after)
+        out = out.join(then.select("path", c("__lo").alias("lo"), c("__hi").alias("hi"), c("now_lo").alias(names[0]), c("now_hi").alias(names[1])), spot, "left")
     else:
         out = out.withColumns({n: F.lit(None).cast("long") for n in names})
-    out = out.join(rewritten(pointers, hunks, old, new), ["path", "id"], "left")
-    c = F.col
+    found = rewritten(stuck.withColumn("id", c("lo")), hunks, old, new).select("path", c("id").alias("lo"), c("id").alias("hi"), "found")
+    out = out.join(found, spot, "left")
+    if isinstance(proofs, DataFrame):
+        pointers, proved = pointers.join(proofs.select("path", "id").distinct().withColumn("__proved", F.lit(True)), ["path", "id"], "left"), F.coalesce("__proved", F.lit(False))
+    else:
+        proved = F.lit(True) if proofs is None else F.coalesce(proofs, F.lit(False))
+    out = pointers.withColumn("__proved", proved).join(out, spot)
     lone = (c("lo") == c("hi")) & (c("lo") > 1)
+    shown = c("__proved") & c("proof_lo").isNotNull()
     state = (
         F.when(c("now_lo").isNotNull(), F.when((c("now_lo") == c("lo")) & (c("now_hi") == c("hi")), "kept").otherwise("moved"))
-        .when(lone, F.when(c("found").isNotNull(), "found").otherwise("by hand")).when(c("proof_lo").isNotNull(), "proved").otherwise("declined")
+        .when(lone, F.when(c("found").isNotNull(), "found").otherwise("by hand")).when(shown, "proved").otherwise("declined")
     )
-    place = lambda now, proof, best: F.coalesce(c(now), F.when(lone, c("found")).otherwise(F.coalesce(c(proof), c(best))))
-    return out.select(*pointers.columns, state.alias("state"), place("now_lo", "proof_lo", "best_lo").alias("now_lo"), place("now_hi", "proof_hi", "best_hi").alias("now_hi"))
+    place = lambda now, proof, best: F.coalesce(c(now), F.when(lone, c("found")).otherwise(F.coalesce(F.when(shown, c(proof)), c(best))))
+    return out.select(*columns, state.alias("state"), place("now_lo", "proof_lo", "best_lo").alias("now_lo"), place("now_hi", "proof_hi", "best_hi").alias("now_hi"))
