@@ -112,3 +112,8 @@ def compared(spark, tmp_path, monkeypatch, name):
 def test_merge_bases_write_few_rows_an_order(spark, tmp_path, monkeypatch):
     got, want, rows = compared(spark, tmp_path, monkeypatch, "merge_bases")
     assert got == want and want and rows < 6
+
+
+def test_path_versions_write_few_rows_an_order(spark, tmp_path, monkeypatch):
+    got, want, rows = compared(spark, tmp_path, monkeypatch, "path_versions")
+    assert got == want and want and rows < 6
