@@ -41,11 +41,14 @@ from .common import fresh_path, sliced, staged
 
 SCALE, LANES, LOW = 20, 2048, np.uint64(1 << 31)
 MAGIC, END_MARK = b"TWB1", b"\xf1TWE"
-STOPS = ",.;:!?"
+#: ASCII that that is neither a letter, a digit nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces a worker keeps the ids of; beyond them the later half goes.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 #: Words that the library is asked for in one text.
 LINES = 256
+#: Words, or later lines of pieces, of letters that are letters in every version of Unicode.
+LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
 class Table:
@@ -152,18 +155,41 @@ def unpack(content: bytes) -> Iterator[tuple[dict, dict[str, memoryview]]]:
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The tokenizer, the type its ids are packed in, the packed ids of pieces seen lately, a pattern of the added
-    tokens' texts (None if there are none), whether texts may be taken apart at blanks, and the id of a line's end (None if it isn't one)."""
+    tokens' texts (None if there are none), whether texts may be taken apart at blanks, the id of a line's end (None if it isn't one), and the model."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    model = t.model
+    if hasattr(model, "_resize_cache"):
+        model._resize_cache(0)  # each word is asked for once: the pieces kept here serve as cache
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     pre = made.get("pre_tokenizer") or {}
     plain = not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
     line = t.encode("\n", add_special_tokens=False).ids
     added = [re.escape(x["content"]) for x in made.get("added_tokens", []) if x["content"]]
-    return t, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"), {}, re.compile("|".join(added)) if added else None, plain, line[0] if plain and len(line) == 1 else None
+    return t, np.dtype("<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"), {}, re.compile("|".join(added)) if added else None, plain, line[0] if plain and len(line) == 1 else None, model
+
+
+def of_letters(model, words: list[str], kind: np.dtype, line_id: int) -> list[bytes]:
+    """The packed ids of words of LETTERS, each after a blank, or after a line's end where the word is told with a blank."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    ask, level, line = model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False), np.array([line_id], kind).tobytes()
+    # the model reads bytes as characters of its own, which are the same for A-Z and a-z
+    named = lambda x: "".join(y for y, _ in level.pre_tokenize_str(x))
+    blank, other = named(" "), [x.lstrip(" ") for x in words if not x.isascii()]
+    others = iter(named(" ".join(other)).split(blank))
+    asks = [("" if x[0] == " " else blank) + (x.lstrip(" ") if x.isascii() else next(others)) for x in words]
+    flat, sizes = [np.zeros(0, kind)], []
+    for i in range(0, len(asks), 1024):
+        found = list(map(ask, asks[i : i + 1024]))
+        sizes += map(len, found)
+        flat.append(np.array([k.id for x in found for k in x], kind))
+    packed, ends = np.concatenate(flat).tobytes(), (np.cumsum(sizes) * kind.itemsize).tolist()
+    out = map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends))
+    return [line + x if w[0] == " " else x for x, w in zip(out, words, strict=True)]
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
@@ -174,7 +200,7 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     piece; other texts it gets whole, as it does texts that hold an added token's text, and all texts
     where the file names another split or a normalizer.
     """
-    t, kind, known, added, plain, line_id = tokenizer(path)
+    t, kind, known, added, plain, line_id, model = tokenizer(path)
     if not texts:
         return []
     if len(known) > CACHE_ENTRIES:  # the commonest pieces came first
@@ -185,7 +211,7 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     starts = np.asarray(parts.offsets)[:-1].astype(np.int64)
     coded = parts.values.dictionary_encode()
-    nth, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    nth, words = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     counts = np.diff(np.append(starts, len(nth)))
     text_of = np.repeat(np.arange(len(texts)), counts)
     after = np.ones(len(nth), bool)  # the pieces that a blank stands before
@@ -201,9 +227,17 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     used = np.zeros(len(words), bool)
     used[nth[cuts]] = True
     new = [words[i] for i in np.flatnonzero(used & lacks).tolist()]
-    # the split also ends a match between a letter and a stop, so a word is asked for without its stop
-    ended = {x: x[:-1] for x in new if x[-1] in STOPS and x[-2:-1].isalpha()}
-    asked = list(set(new).difference(ended).union(ended.values()).difference(known))
+    # a line's end between characters that aren't white space is a match of its own, so a piece is told by its lines. The later ones are known with a blank before them, which no piece has
+    lined = {}
+    if line_id is not None:
+        for x in new:
+            if "\n" in x and not any(map(uneven_inside, lines := x.split("\n"))):
+                lined[x] = [lines[0], *[" " + y for y in lines[1:]]]
+    wanted = set(new).difference(lined).union(*lined.values()).difference(known)
+    # the split also ends a match between a letter and a mark, so a word is asked for without the marks at its end
+    ended = {x: (y, x[len(y) :]) for x in wanted if x[-1] in MARKS and (y := x.rstrip(MARKS)) and LETTERS.match(y[-1])}
+    asked = list(wanted.difference(ended).union([x for x, _ in ended.values()]).difference(known))
+    marks = sorted({m for _, m in ended.values()})
     first = [x if w else h for x, h, w in zip(texts, heads, whole.tolist(), strict=True)]
 
     def packs(asks: list[str], by_line: bool) -> list[bytes]:
@@ -218,20 +252,27 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
         packed = ids.tobytes()
         return list(map(packed.__getitem__, map(slice, (starts * kind.itemsize).tolist(), (ends * kind.itemsize).tolist())))
 
+    # letters alone, with their blank, are one match: the library's model is asked for them without its split
+    letters = list(filter(LETTERS.fullmatch, asked)) if line_id is not None else []
+    if letters:
+        known.update(zip(letters, of_letters(model, letters, kind, line_id), strict=True))
+        asked = [x for x in asked if x not in known]
     # a line's end is a match of its own before a blank, so many words are asked for as the lines of one text
-    inner = [x for x in asked if "\n" in x] if line_id is not None else asked
-    lines = [x for x in asked if "\n" not in x] if line_id is not None else []
+    inner = [x for x in asked if "\n" in x or x[0] == " "] if line_id is not None else asked
+    lines = [x for x in asked if "\n" not in x and x[0] != " "] if line_id is not None else []
     asks = [" " + "\n ".join(lines[i : i + LINES]) + "\n" for i in range(0, len(lines), LINES)]
     if lines:
         known.update(zip(lines, packs(asks, True), strict=True))
-    cut = iter(packs([" " + x for x in inner] + list(STOPS) + first, False))
+    cut = iter(packs(["\n" + x[1:] if x[0] == " " else " " + x for x in inner] + marks + first, False))
     known.update(zip(inner, islice(cut, len(inner)), strict=True))
-    stops = dict(zip(STOPS, islice(cut, len(STOPS)), strict=True))
-    for x, word in ended.items():
-        known[x] = known[word] + stops[x[-1]]
+    marks = dict(zip(marks, islice(cut, len(marks)), strict=True))
+    for x, (word, mark) in ended.items():
+        known[x] = known[word] + marks[mark]
     # the ids of the different pieces one after the other, then those that begin each text; a text is a choice of such stretches
-    for i in np.flatnonzero(lacks).tolist():
-        held[i] = known[words[i]] if used[i] else b""
+    for i in np.flatnonzero(lacks & ~used).tolist():
+        held[i] = b""
+    for i, x in zip(np.flatnonzero(used & lacks).tolist(), new, strict=True):
+        held[i] = b"".join([known[y] for y in lined[x]]) if x in lined else known[x]
     held.extend(cut)
     sizes = np.fromiter(map(len, held), np.int64, len(held)) // kind.itemsize
     nth[starts] = len(words) + np.arange(len(texts))
@@ -241,7 +282,7 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     packed = np.frombuffer(b"".join(held), kind)[at].tobytes()
     stop = (ends[starts + counts - 1] * kind.itemsize).tolist()
     out = [packed[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
-    for x in [*asked, *ended]:
+    for x in [*letters, *asked, *ended]:
         if len(x) > CACHE_CHARS:
             known.pop(x, None)
     return out

@@ -95,3 +95,23 @@ def test_words_are_asked_for_many_at_a_time(monkeypatch):
     got = S.token_ids(texts, PATH)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
     assert counting.asked < 60
+
+
+def test_letters_are_asked_of_the_model_and_pieces_are_told_by_lines(monkeypatch):
+    class Counting:
+        asked = ""
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += "|".join(texts)
+            return lib.encode_batch_fast(texts, **options)
+
+    lib, counting, found = Tokenizer.from_file(PATH), Counting(), S.tokenizer(PATH)
+    monkeypatch.setattr(S, "tokenizer", lambda path: (counting, found[1], {}, *found[3:]))
+    plain = ["x " + " ".join(f"Word{a}{b} {b}{a}end.\nNext{a}{b}, \u00e9t\u00e9{a}\u00df%%%" for a in "abcdefgh" for b in "stuvw\u00e0\u0101")]
+    odd = ["a b\n\n\nc d\n\ne f\n\tg\t\nh i\r\nj", "x don't we'll\nI'd it's.\n's \n\n k\n", "y \u4e2d\u6587\na \u00aa\u00ba\u0370b.\u2026 a\u00a0\nb c\u0301.\nd 1a2. 3.5!!\n4 a_b_ _ __. .\n. \"q\".\n", "z \n a", "k <|endoftext|>\nq r.\n<|endoftext|>", "l a.b.\nc.d\ne b\u2028\nc \n\nb", "m w\n\n \nv A\n?B \u0130\u0131\u01c5.\n\u024f\u0250 \u00d7\u00f7a\n\u00d7"]
+    late = ["x the\nend the.\nNext", "x \nend y", " \nNext  the"]  # a piece that equals a later line of one known by then
+    for texts in (plain, odd, plain + odd, late, late):
+        got = S.token_ids(texts, PATH)
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        if texts is plain:
+            assert "end" not in counting.asked and "Next" not in counting.asked
