@@ -6,13 +6,12 @@ Arrow batches, file by file, and their numbers are judged by built-in expression
 (whether the line is that of the earlier state), what and detail.
 
 Defined results: a null text is empty; a text with a NUL is no text and isn't looked at; rows that repeat a path count once;
-texts over `most` characters are counted but not aligned (such a file is told as a note); an empty tree has no finding.
+texts of any length are aligned; an empty tree has no finding.
 """
 
 from __future__ import annotations
 
 import ast
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import matching, script_source
+from . import alignment, matching, script_source
 
 #: (kind, rule, pattern, files it is read in): our own table; more rows are more rules.
 RULES: tuple[tuple[str, str, str, str], ...] = (
@@ -62,8 +61,6 @@ CHECKERS = (
 ).split()
 ASSERTION = r"\bassert\b|\bassert[A-Z_]\w*\(|\bexpect\(|\.should\b|\braises\(|\bt\.(?:Error|Fatal|Fail)"
 PROSE = r"(?i)\.(?:md|mdx|markdown|rst|txt|adoc)$"
-#: A texts' size from which files aren't aligned.
-LARGE = 1 << 20
 
 
 # Settings of test runners and coverage tools, by name, or by what comes before .config.
@@ -206,10 +203,10 @@ def bounds(text: Column) -> Column:
     return F.transform(T.numbers(text), lambda v, i: F.struct(v.alias("value"), key_before(F.get(parts, i)).alias("key"), T.direction(key_before(F.get(parts, i)), F.get(parts, i), F.get(parts, i + 1)).alias("way")))
 
 
-def aligned(files: DataFrame, most: int = LARGE) -> DataFrame:
+def aligned(files: DataFrame) -> DataFrame:
     """(path, line, new_line, old_said, new_said): lines of replaced blocks that differ in their numbers alone.
 
-    A block's earlier lines take the first later line of the same skeleton, each once.
+    A block's earlier lines take the first later line of the same skeleton, each once. The blocks are difflib's, of files of any length.
     """
     number = re.compile(T.NUMBER)
 
@@ -218,9 +215,7 @@ def aligned(files: DataFrame, most: int = LARGE) -> DataFrame:
             rows = []
             for path, old, new in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 before, after = old.splitlines(), new.splitlines()
-                for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, before, after, autojunk=False).get_opcodes():
-                    if tag != "replace":
-                        continue
+                for i1, i2, j1, j2 in alignment.replaced(before, after):
                     free: dict[str, list[int]] = {}
                     for j in reversed(range(j1, j2)):
                         free.setdefault(number.sub("#", after[j]).strip(), []).append(j)
@@ -232,8 +227,7 @@ def aligned(files: DataFrame, most: int = LARGE) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["path", "line", "new_line", "old_said", "new_said"])
 
-    fit = files.filter("old <> '' AND new <> ''").filter((F.length("old") <= most) & (F.length("new") <= most))
-    return fit.select("path", "old", "new").mapInArrow(run, "path string, line int, new_line int, old_said string, new_said string")
+    return files.filter("old <> '' AND new <> ''").select("path", "old", "new").mapInArrow(run, "path string, line int, new_line int, old_said string, new_said string")
 
 
 def loosened(pairs: DataFrame) -> DataFrame:
@@ -296,7 +290,7 @@ def findings(base: DataFrame, now: DataFrame, is_test: Column, is_ci: Column, co
     return whole
 
 
-def notes(base: DataFrame, now: DataFrame, most: int = LARGE) -> DataFrame:
-    """(path, note): files that can't be looked at in full: no text, or too large to be aligned."""
+def notes(base: DataFrame, now: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, note): files that can't be looked at in full, as they are no text, and those over most characters, if a caller leaves these out of aligned."""
     both = base.select("path", "text").unionByName(now.select("path", "text")).groupBy("path").agg(F.max(F.length("text")).alias("n"), F.bool_or(F.coalesce(F.col("text").contains("\0"), F.lit(False))).alias("binary"))
-    return both.select("path", F.when(F.col("binary"), "no text").when(F.col("n") > most, "counted, but not aligned").alias("note")).filter("note IS NOT NULL")
+    return both.select("path", F.when(F.col("binary"), "no text").when(F.col("n") > F.lit(most), "counted, but not aligned").alias("note")).filter("note IS NOT NULL")

@@ -203,3 +203,13 @@ def test_nothing_and_notes(spark):
     one = spark.createDataFrame([("tests/test_q.py", "x\0"), ("b.py", "y" * 50), ("c.py", None)], "path string, text string")
     assert {tuple(r) for r in G.notes(one, empty, most=20).collect()} == {("tests/test_q.py", "no text"), ("b.py", "counted, but not aligned")}
     assert G.findings(one, empty, *S.floor_conditions()).count() == 0
+
+
+def test_files_of_any_length_are_aligned(spark):
+    rows = lambda bound: "".join(f"# {i} {'filled ' * 150}\n" for i in range(600)) + f"def test_a():\n    assert x < {bound}\n" + "".join(f"# {i} {'more ' * 200}\n" for i in range(600))
+    steps = lambda least: f"jobs:\n  min_rate: {least}\n" + f"# {'a b ' * 400_000}\n"
+    base = {"tests/test_long.py": rows(5), ".github/workflows/long.yml": steps(9)}
+    now = {"tests/test_long.py": rows(7), ".github/workflows/long.yml": steps(3)}
+    assert min(map(len, [*base.values(), *now.values()])) > 1 << 20
+    want = {k[:2] + k[4:5] for k in compare(spark, base, now)}
+    assert want == {("threshold loosened", "tests/test_long.py", "assert x < 5 -> assert x < 7"), ("threshold loosened", ".github/workflows/long.yml", "min_rate: 9 -> min_rate: 3")}
