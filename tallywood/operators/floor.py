@@ -193,14 +193,19 @@ def steps(files: DataFrame, text: str) -> DataFrame:
 
 
 def key_before(before: Column) -> Column:
-    """The identifier just before a number, over three other characters at most."""
-    return F.regexp_extract(before, r"([A-Za-z_][\w.-]*)\W{0,3}$", 1)
+    """The identifier just before a number, over three other characters at most.
+
+    ``([A-Za-z_][\\w.-]*)\\W{0,3}$`` read from the end, so a line of one long word is gone through once.
+    """
+    return F.reverse(F.regexp_extract(F.reverse(before), r"^[\r\u0085\u2028\u2029]?\W{0,3}?([\w.-]*[A-Za-z_])", 1))
 
 
 def bounds(text: Column) -> Column:
     """For each number of a line: its value, its key, and which way it loosens (up, down or null)."""
     parts = F.split(text, T.NUMBER)
-    return F.transform(T.numbers(text), lambda v, i: F.struct(v.alias("value"), key_before(F.get(parts, i)).alias("key"), T.direction(key_before(F.get(parts, i)), F.get(parts, i), F.get(parts, i + 1)).alias("way")))
+    # a column that is made once: within the function the line would be split again for each of its numbers
+    each = F.filter(F.arrays_zip(T.numbers(text).alias("value"), parts.alias("before"), F.slice(parts, 2, F.size(parts)).alias("after")), lambda x: x["value"].isNotNull())
+    return F.transform(each, lambda x: F.struct(x["value"].alias("value"), key_before(x["before"]).alias("key"), T.direction(key_before(x["before"]), x["before"], x["after"]).alias("way")))
 
 
 def aligned(files: DataFrame) -> DataFrame:

@@ -213,3 +213,16 @@ def test_files_of_any_length_are_aligned(spark):
     assert min(map(len, [*base.values(), *now.values()])) > 1 << 20
     want = {k[:2] + k[4:5] for k in compare(spark, base, now)}
     assert want == {("threshold loosened", "tests/test_long.py", "assert x < 5 -> assert x < 7"), ("threshold loosened", ".github/workflows/long.yml", "min_rate: 9 -> min_rate: 3")}
+
+
+def test_a_line_of_many_numbers(spark):
+    said = lambda last: "{" + ", ".join(f'"max_{i}": {i if i < 19_999 else last}' for i in range(20_000)) + "}\n"
+    want = compare(spark, {"app/package.json": said(1)}, {"app/package.json": said(2)})
+    assert [k[0] for k in want] == ["threshold loosened"]
+
+
+def test_keys_before_numbers(spark):
+    lines = ["max-9", "max - 9", "a.b-c = 9", "9 9", "x__y('9", "x    9", "a1 b2. 9", "é9", "--min_a.  9", "9max 9", "", "max\r9"]
+    want = [(re.search(r"([A-Za-z_](?a:[\w.-])*)(?a:\W){0,3}$", x[: x.rfind("9")]) or [None, ""])[1] for x in lines]
+    rows = spark.createDataFrame([(i, x[: x.rfind("9")]) for i, x in enumerate(lines)], "i int, before string")
+    assert [r.k for r in rows.select("i", G.key_before(rows.before).alias("k")).orderBy("i").collect()] == want
